@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import SPACE, table
+from quillstone.llm.common import table
 
 SYMBOLS = "#*$%&|<>"
 GAP = r"[\x20\x09-\x0D]+"
+#: A word that only separates links.
+MARK = r"(?<![^\x20\x09-\x0D])(?:[|/»›>·•]|::|->)(?![^\x20\x09-\x0D])"
 
 #: Lines with one of these are boilerplate.
 BOILERPLATE = (
@@ -23,7 +25,7 @@ BOILERPLATE = (
 
 @dataclass(frozen=True)
 class LineRules:
-    """max_symbols: symbols a character of a line's words. max_marks: share of a line's words that are mere separators.
+    """max_symbols: symbols a character of a line. max_marks: share of a line's words that are mere separators.
     max_loss: share of a document's words that may go with failing lines."""
 
     max_symbols: float = 0.1
@@ -38,10 +40,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
@@ -63,17 +61,16 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(_let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))))
 
 
-def line_passes(line: Column, rules: LineRules) -> Column:
-    """Whether a line with words stays: it ends a sentence somewhere, isn't a row of symbols or links, isn't boilerplate."""
-    chars = F.length(_without(line, SPACE))
-    symbols = chars - F.length(_without(line, SPACE + SYMBOLS))
-    marks = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])(?:[|/»›>·•]|::|->)(?![^\x20\x09-\x0D])"))
-    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    plain = F.lower(line)
+def line_passes(line: Column, plain: Column, n_words: Column, n_symbols: Column, rules: LineRules) -> Column:
+    """Whether a line with words stays: it ends a sentence somewhere, isn't a row of symbols or links, isn't boilerplate.
+
+    plain is the line in lower case. The costly count of separators runs only on lines that hold one.
+    """
+    marks = F.when(line.rlike("[|/»›>·•]|::"), F.regexp_count(line, F.lit(MARK))).otherwise(0)
     boilerplate = plain.contains(BOILERPLATE[0])
     for phrase in BOILERPLATE[1:]:
         boilerplate |= plain.contains(phrase)
-    return line.rlike(r"[.!?…。！？]") & (symbols <= rules.max_symbols * chars) & (marks <= rules.max_marks * words) & ~boilerplate
+    return line.rlike(r"[.!?…。！？]") & (n_symbols <= rules.max_symbols * F.length(line)) & (marks <= rules.max_marks * n_words) & ~boilerplate
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
@@ -87,26 +84,34 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
     """
     body = F.coalesce(F.col(text), F.lit(""))
 
-    def verdict(words: Column, lines: Column) -> Column:
+    def split_up(line: Column) -> Column:
+        return F.struct(line.alias("line"), _words(line).alias("words"), F.regexp_count(line, F.lit(f"[{SYMBOLS}]")).alias("symbols"))
+
+    def judged(parts: Column, plain: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            n = F.size(p.words)
+            return F.struct(p.line.alias("line"), n.alias("n"), ((n == 0) | line_passes(p.line, F.get(plain, i), n, p.symbols, rules)).alias("ok"))
+
+        return F.transform(parts, one)
+
+    def verdict(words: Column, parts: Column, lines: Column) -> Column:
         full = F.filter(lines, lambda x: x["n"] > 0)
+        bad = F.filter(lines, lambda x: ~x.ok)
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(_without(body, SPACE)).cast("long").alias("word_chars"),
-            (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p.symbols).alias("n_symbols"),
             (F.size(full) - F.size(F.array_distinct(F.transform(full, lambda x: x.line)))).cast("long").alias("n_dup_lines"),
             _repeated(words).cast("long").alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
-            F.size(F.filter(lines, lambda x: ~x.ok)).cast("long").alias("n_failed_lines"),
-            F.aggregate(F.filter(lines, lambda x: ~x.ok), F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_lost_words"),
+            F.size(bad).cast("long").alias("n_failed_lines"),
+            F.aggregate(bad, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_lost_words"),
             F.array_join(F.transform(F.filter(lines, lambda x: x.ok), lambda x: x.line), "\n").alias("clean_text"),
         )
 
-    def judged(line: Column) -> Column:
-        n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-        return F.struct(line.alias("line"), n.alias("n"), ((n == 0) | line_passes(line, rules)).alias("ok"))
-
-    lines = F.transform(F.split(body, "\n"), judged)
-    made = _let(F.struct(_words(body).alias("words"), lines.alias("lines")), lambda v: verdict(v.words, v.lines))
+    parts = F.transform(F.split(body, "\n"), split_up)
+    read = _let(F.struct(parts.alias("parts"), F.split(F.lower(body), "\n").alias("plain")), lambda v: F.struct(v.parts.alias("parts"), judged(v.parts, v.plain).alias("lines"), F.flatten(F.transform(v.parts, lambda p: p.words)).alias("words")))
+    made = _let(read, lambda v: verdict(v.words, v.parts, v.lines))
     base = (F.col("quality.n_words") < rules.min_words) | (100 * F.col("quality.n_repeat_words") > rules.max_repeat_percent * F.col("quality.n_words"))
     out = docs.withColumn("quality", made)
     out = out.withColumn("quality", F.col("quality").withField("base_failed", base))
@@ -138,7 +143,7 @@ ln AS (
 lj AS (
   SELECT doc_id, line, n, n = 0 OR (
       regexp_matches(line, '[.!?…。！？]')
-      AND length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) <= 0.1::DOUBLE * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))
+      AND length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) <= 0.1::DOUBLE * length(line)
       AND len(list_filter(lw, lambda x: x IN ('|', '/', '»', '›', '>', '·', '•', '::', '->'))) <= 0.2::DOUBLE * n
       AND NOT ({_PHRASES})) AS ok FROM ln),
 ls AS (
