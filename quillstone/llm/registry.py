@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from quillstone.llm import quality_rules
+from quillstone.llm import language_id, quality_rules, toxicity
 
-QUERIES = {"op2_quality_rules": quality_rules.op2_quality_rules}
+QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_language_id": language_id.op6_language_id,
+}
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,13 @@ from quillstone.llm.common import held_out, table
 class MachineConfig:
     """max_rows: labelled rows fitted at most, those of the smallest hash of text; the bound on what reaches the driver.
     buckets: hashed terms. by_contrast, by_support: terms that get weights, for their contrast between the classes and for
-    their number of toxic rows (which may matter in pairs only). factors: length of a term's vector."""
+    their number of toxic rows (which may matter in pairs only). least_contrast: standard errors between the classes. factors: length of a term's vector."""
 
     max_rows: int = 20_000
     buckets: int = 1 << 18
     by_contrast: int = 3072
     by_support: int = 1024
+    least_contrast: float = 2.5
     factors: int = 8
     epochs: int = 12
     batch: int = 256
@@ -45,21 +47,25 @@ class Machine:
 
 
 class Terms:
-    """Hashed distinct terms of texts: words at white space, in lower case, without punctuation at their ends."""
+    """Hashed distinct terms of texts: words at white space, in lower case, without punctuation at their ends, and the first
+    4 and 5 letters of longer words, which stand for their inflected forms."""
 
     def __init__(self, buckets: int, most: int = 200_000) -> None:
         self.buckets, self.most, self.known = buckets, most, {}
 
+    def of(self, word: str) -> tuple[int, ...]:
+        term = word.lower().strip(_EDGES)
+        heads = [f"^{term[:n]}" for n in (4, 5) if len(term) >= n] if term else []
+        return tuple(zlib.crc32(x.encode("utf-8", "replace")) % self.buckets for x in ([term, *heads] if term else []))
+
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
+        words = {*(text or "").split()}
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in {*words} - known.keys():
-            term = w.lower().strip(_EDGES)
-            known[w] = zlib.crc32(term.encode("utf-8", "replace")) % self.buckets if term else -1
-        found = np.unique(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        return found[1:] if found.size and found[0] < 0 else found
+        for w in [w for w in words if w not in known]:
+            known[w] = self.of(w)
+        return np.array(sorted({*chain.from_iterable(map(known.__getitem__, words))}), np.int64)
 
 
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»“”‘’/\\_~`+=@^"
@@ -109,9 +115,9 @@ def learn(docs: list[np.ndarray], y: np.ndarray, config: MachineConfig = Machine
     clean = np.bincount(flat, minlength=config.buckets) - toxic
     a, b = toxic / y.sum(), clean / (len(y) - y.sum())
     contrast = np.abs(a - b) / np.sqrt((toxic + clean + 1) / len(y) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    contrast[toxic + clean < 3] = 0
+    contrast[(toxic + clean < 3) | (contrast < config.least_contrast)] = 0
     pick = np.argsort(-contrast, kind="stable")[: config.by_contrast]
-    pick = np.union1d(pick[contrast[pick] > 0], np.argsort(-toxic, kind="stable")[: config.by_support])
+    pick = np.union1d(pick[contrast[pick] > 0], np.argsort(-toxic, kind="stable")[: min(config.by_support, int(y.sum()))])
     place[pick] = np.arange(pick.size)
     own = place[flat]
     used, owner = own[own >= 0], owner[own >= 0]
