@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.llm import language_id, quality_rules, toxicity
+from quillstone.llm import byte_bpe, chat_format, language_id, packing, quality_rules, toxicity
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_language_id": language_id.op6_language_id,
 }
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}
