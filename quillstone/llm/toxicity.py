@@ -17,11 +17,11 @@ from quillstone.llm.common import held_out, table
 
 @dataclass(frozen=True)
 class MachineConfig:
-    """max_rows: labelled rows fitted at most, those of the smallest hash of text; the bound on what reaches the driver.
+    """max_rows: labelled rows fitted at most, drawn by a hash of their ids; the bound on what reaches the driver.
     buckets: hashed terms. by_contrast, by_support: terms that get weights, for their contrast between the classes and for
     their number of toxic rows (which may matter in pairs only). least_contrast: standard errors between the classes. factors: length of a term's vector."""
 
-    max_rows: int = 20_000
+    max_rows: int = 16_000
     buckets: int = 1 << 18
     by_contrast: int = 3072
     by_support: int = 1024
@@ -80,24 +80,28 @@ def score_terms(terms: np.ndarray, m: Machine) -> float:
     return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def fit(rows: DataFrame, config: MachineConfig = MachineConfig()) -> Machine:
-    """Learn from rows (text, toxic), of which at most max_rows are drawn; rows with a null are left out.
+def fit(docs: DataFrame, labels: DataFrame, config: MachineConfig = MachineConfig()) -> Machine:
+    """Learn from docs (doc_id, text) with labels (doc_id, toxic), of which about max_rows at most are drawn, by a hash of the
+    id; rows with a null are left out, and what the draw exceeds the bound by is cut off.
 
-    Only hashed terms of the drawn rows reach the driver. With rows of one class or none the machine is its bias alone.
+    The drawn labels, bounded so, are broadcast to the documents, which aren't shuffled; only hashed terms reach the driver.
+    With rows of one class or none the machine is its bias alone.
     """
-    rows = rows.where("text IS NOT NULL AND toxic IS NOT NULL").select("text", "toxic")
-    total = rows.count()
-    part = config.max_rows / max(1, total)
+    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic")
+    part = config.max_rows / max(1, labels.count())
     if part < 1:
-        rows = rows.where((F.xxhash64("text") % 1_000_003 + 1_000_003) % 1_000_003 < int(part * 1_000_003)).limit(config.max_rows)
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(config.buckets)
         for pdf in batches:
             yield pd.DataFrame({"terms": [terms(t).astype("<i4").tobytes() for t in pdf.text], "toxic": (pdf.toxic > 0).astype("int32")})
 
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "toxic")
     got = rows.mapInPandas(hashed, "terms binary, toxic int").toPandas()
     got = got.sort_values(["terms", "toxic"], kind="stable", ignore_index=True)
+    if len(got) > config.max_rows:
+        got = got.sample(config.max_rows, random_state=config.seed)
     return learn([np.frombuffer(t, "<i4") for t in got.terms], got.toxic.to_numpy(np.float32), config)
 
 
@@ -108,20 +112,17 @@ def learn(docs: list[np.ndarray], y: np.ndarray, config: MachineConfig = Machine
     none = Machine(place, float(np.log(rate / (1 - rate))), np.zeros(0, np.float32), np.zeros((0, config.factors), np.float32), config)
     if not len(y) or y.min() == y.max():
         return none
-    lengths = np.array([d.size for d in docs])
-    flat = np.concatenate(docs)
-    owner = np.repeat(np.arange(len(docs)), lengths)
-    toxic = np.bincount(flat, weights=y[owner], minlength=config.buckets)
-    clean = np.bincount(flat, minlength=config.buckets) - toxic
+    toxic, clean = np.zeros(config.buckets), np.zeros(config.buckets)
+    for terms, label in zip(docs, y):
+        (toxic if label else clean)[terms] += 1
     a, b = toxic / y.sum(), clean / (len(y) - y.sum())
     contrast = np.abs(a - b) / np.sqrt((toxic + clean + 1) / len(y) * (1 / y.sum() + 1 / (len(y) - y.sum())))
     contrast[(toxic + clean < 3) | (contrast < config.least_contrast)] = 0
     pick = np.argsort(-contrast, kind="stable")[: config.by_contrast]
     pick = np.union1d(pick[contrast[pick] > 0], np.argsort(-toxic, kind="stable")[: min(config.by_support, int(y.sum()))])
     place[pick] = np.arange(pick.size)
-    own = place[flat]
-    used, owner = own[own >= 0], owner[own >= 0]
-    edges = np.searchsorted(owner, np.arange(len(docs) + 1))
+    docs = [place[terms] for terms in docs]
+    docs = [own[own >= 0] for own in docs]
 
     rng = np.random.default_rng(config.seed)
     w, v, bias = np.zeros(pick.size, np.float32), rng.normal(0, 0.02, (pick.size, config.factors)).astype(np.float32), none.bias
@@ -132,7 +133,7 @@ def learn(docs: list[np.ndarray], y: np.ndarray, config: MachineConfig = Machine
             rows = order[k : k + config.batch]
             x = np.zeros((rows.size, pick.size), np.float32)
             for i, r in enumerate(rows):
-                x[i, used[edges[r] : edges[r + 1]]] = 1
+                x[i, docs[r]] = 1
             s = x @ v
             raw = bias + x @ w + 0.5 * ((s * s).sum(axis=1) - x @ (v * v).sum(axis=1))
             e = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) / rows.size
@@ -170,5 +171,5 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    machine = fit(docs.join(labels, "doc_id"))
+    machine = fit(docs, labels)
     return score(docs, machine).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
