@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import byte_bpe, chat_format, language_id, packing, quality_rules, toxicity
+from quillstone.llm import byte_bpe, chat_format, language_id, packing, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_language_id": language_id.op6_language_id,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}
