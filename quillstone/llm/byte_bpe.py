@@ -148,7 +148,7 @@ class Encoder:
     that takes a space only before what it leads can cross such a cut, so the ids of a cut-out are kept for its repeats.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 120_000) -> None:
         self.merger, self.find, self.keep = Merger(ranks), regex.compile(pattern).findall, keep
         self.whole: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
