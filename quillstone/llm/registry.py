@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import byte_bpe, chat_format, embedding_dedup, language_id, packing, quality_rules, simhash, toxicity
+from quillstone.llm import byte_bpe, chat_format, embedding_dedup, language_id, packing, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_language_id": language_id.op6_language_id,
     "op8_simhash": simhash.op8_simhash,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}
