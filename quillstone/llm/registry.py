@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import byte_bpe, chat_format, embedding_dedup, language_id, packing, quality_rules, simhash, substring_dedup, toxicity
+from quillstone.llm import byte_bpe, chat_format, embedding_dedup, language_id, packing, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_language_id": language_id.op6_language_id,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
