@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillstone.plans import measure
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measure.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measure.ORACLE_SQL}
