@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import table
+from quillstone.llm.common import table, texts_of
 
 _NONE = np.int64(1 << 62)
 #: Pieces of at most so many bytes are merged side by side in arrays; longer ones one by one.
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         for column in texts:
             yield pd.Series([ids for group in _groups([t or "" for t in column]) for ids in encoder.encode(group)], dtype=object)
 
-    return docs.withColumn("ids", encoded(F.col(text))).withColumn("n_tokens", F.floor(F.length("ids") / 4))
+    return texts_of(docs).withColumn("ids", encoded(F.col(text))).withColumn("n_tokens", F.floor(F.length("ids") / 4))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """docs, whose texts are about to be sent to Python: in batches of few megabytes, whatever their lengths, so that workers
+    hold little at a time. The setting is the session's and stays."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return docs
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage of df by a table in the shared folder, which survives lost executors."""
     spark = df.sparkSession

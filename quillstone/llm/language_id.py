@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import held_out, table
+from quillstone.llm.common import held_out, table, texts_of
 
 UNKNOWN = "und"
 
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for column in texts:
             yield pd.DataFrame([mixture(t, own) for t in column], columns=["lang_pred", "score", "lang_set", "lang_shares"])
 
-    out = docs.withColumn("_mixture", guess(F.col("text")))
+    out = texts_of(docs).withColumn("_mixture", guess(F.col("text")))
     for name in ("lang_pred", "score", "lang_set", "lang_shares"):
         out = out.withColumn(name, F.col(f"_mixture.{name}"))
     return out.drop("_mixture")

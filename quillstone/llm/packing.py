@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import stored, table, union_all
+from quillstone.llm.common import stored, table, texts_of, union_all
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, config:
             yield pd.Series(rows)
 
     others = [c for c in docs.columns if c not in ("text", "piece", "start", "length", "ids", "ids_crc32")]
-    return docs.select(*others, F.explode(cut(F.col("text"))).alias("_p")).select(*others, "_p.*")
+    return texts_of(docs).select(*others, F.explode(cut(F.col("text"))).alias("_p")).select(*others, "_p.*")
 
 
 # --- packing ------------------------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, forest, stored, table
+from quillstone.llm.common import components, forest, stored, table, texts_of
 
 BYTES = 8
 
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, config: SimHashConfig = SimHashConfig(), text:
         for column in texts:
             yield pd.Series(np.array([fingerprint(t, config) for t in column], np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", made(F.col(text)))
+    return texts_of(docs).withColumn("fp", made(F.col(text)))
 
 
 def index_positions() -> list[tuple[int, int, int]]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import held_out, table
+from quillstone.llm.common import held_out, table, texts_of
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for column in texts:
             yield pd.Series([score_terms(terms(t), own) for t in column], dtype="float64")
 
-    out = docs.withColumn("score", scored(F.col("text")))
+    out = texts_of(docs).withColumn("score", scored(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= machine.config.threshold).cast("int"))
 
 
