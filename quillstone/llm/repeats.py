@@ -9,7 +9,6 @@ some windows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,21 +102,41 @@ class Sketch:
         return Anchors(new + base, windows, shift, hashes[anchor].view(np.int64), ctx.view(np.int64))
 
 
-def recurring(anchors: DataFrame, tests: dict, hot: DataFrame | None = None) -> DataFrame:
-    """Rows of anchors (key and others) whose key's aggregates tests fulfil the condition tests["where"].
+#: (key, ctx, doc, place) of each anchor: place packs its first window's start, its number of windows and its shift.
+ANCHORS = "key long, ctx long, doc long, place long"
 
-    Keys are dealt out once and their aggregates read beside each row. Keys of hot, a bounded set that holds a large part of
-    all rows each, are left out of that: their aggregates, which combine on the map side, are broadcast to their rows.
+
+def placed(a: Anchors) -> np.ndarray:
+    return (a.start << 16) | (a.windows << 8) | a.shift
+
+
+def unplaced(place: int) -> tuple[int, int, int]:
+    """Start, number of windows and shift."""
+    return place >> 16, place >> 8 & 255, place & 255
+
+
+def recurring(anchors: DataFrame, where: str, hot: DataFrame | None = None) -> DataFrame:
+    """Rows of anchors with what their key and their context are elsewhere, of keys that fulfil where.
+
+    Of a key: n (its anchors), lo and hi (its least and greatest doc), contexts (how many differ). Of a context: copies (its
+    anchors), last (its greatest doc), and first, true in one of its rows only, in its least doc. Keys are dealt out once and
+    aggregates read beside the rows, so that no second shuffle is needed. Rows of hot keys, a bounded set of keys with a large
+    part of all rows each, don't meet in one task: their aggregates combine on the map side and are joined to them.
     """
-    made = {n: c for n, c in tests.items() if n != "where"}
     cold = anchors if hot is None else anchors.join(F.broadcast(hot), "key", "left_anti")
-    by = Window.partitionBy("key")
-    out = cold.withColumns({n: c.over(by) for n, c in made.items()}).where(tests["where"])
+    key, ctx = Window.partitionBy("key"), Window.partitionBy("key", "ctx")
+    least = F.min(F.struct("doc", "place"))
+    is_first = F.struct("doc", "place") == F.col("_least")
+    out = cold.repartition("key").withColumns({"n": F.count("*").over(key), "lo": F.min("doc").over(key), "hi": F.max("doc").over(key)}).where(where)
+    out = out.withColumns({"copies": F.count("*").over(ctx), "last": F.max("doc").over(ctx), "_least": least.over(ctx)}).withColumn("first", is_first)
+    out = out.withColumn("contexts", F.sum(F.col("first").cast("long")).over(key)).drop("_least")
     if hot is None:
         return out
     own = anchors.join(F.broadcast(hot), "key", "left_semi")
-    sums = own.groupBy("key").agg(*(c.alias(n) for n, c in made.items())).where(tests["where"])
-    return out.unionByName(own.join(F.broadcast(sums), "key"))
+    by_ctx = own.groupBy("key", "ctx").agg(F.count("*").alias("copies"), F.max("doc").alias("last"), least.alias("_least"))
+    by_key = own.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).join(by_ctx.groupBy("key").agg(F.count("*").alias("contexts")), "key").where(where)
+    mine = own.join(by_ctx, ["key", "ctx"]).join(F.broadcast(by_key), "key").withColumn("first", is_first)
+    return out.unionByName(mine.select(*out.columns))
 
 
 def hot_keys(sample: DataFrame, part: float, least: int = 4096) -> DataFrame | None:
@@ -131,28 +150,9 @@ def hot_keys(sample: DataFrame, part: float, least: int = 4096) -> DataFrame | N
     return sample.sparkSession.createDataFrame(found, "key long") if found else None
 
 
-def distinct_in(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, ctx) of one document, and how often each is there."""
-    order = np.lexsort((a.ctx, a.key))
-    key, ctx = a.key[order], a.ctx[order]
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])))) if key.size else np.zeros(0, np.int64)
-    return key[new], ctx[new], np.diff(np.concatenate((new, [key.size])))
-
-
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     """Which of n units the windows at starts cover."""
     marks = np.zeros(n + 1, np.int64)
     np.add.at(marks, starts, 1)
     np.add.at(marks, np.minimum(starts + window, n), -1)
     return np.cumsum(marks[:n]) > 0
-
-
-def in_batches(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
-    part: list[tuple] = []
-    for r in rows:
-        part.append(r)
-        if len(part) >= size:
-            yield part
-            part = []
-    if part:
-        yield part

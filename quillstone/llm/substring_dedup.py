@@ -21,8 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import WORD_BYTES, stored, table
-from quillstone.llm.repeats import Sketch, covered, distinct_in, hot_keys, recurring
+from quillstone.llm.common import WORD_BYTES, stored, table, texts_of
+from quillstone.llm.repeats import ANCHORS, Sketch, covered, hot_keys, placed, recurring, unplaced
 
 
 @dataclass(frozen=True)
@@ -64,55 +64,51 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
         for column in texts:
             yield column.map(lambda t: z.compress((t or "").encode("utf-8", "replace")))
 
-    return docs.withColumn("z", press(F.col(text))).drop(text)
+    return texts_of(docs).withColumn("z", press(F.col(text))).drop(text)
 
 
 def _anchors(docs: DataFrame, config: PassageConfig) -> DataFrame:
-    """Distinct (key, ctx, doc) of docs (doc_id, text)."""
+    """Anchors of docs (doc_id, text)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, words = Sketch(config.window, config.k), Words()
         for batch in batches:
-            keys, ctxs, docs_ = [], [], []
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                key, ctx, _ = distinct_in(sketch.anchors(words(t.as_py().encode("utf-8", "replace").split())))
-                keys.append(key)
-                ctxs.append(ctx)
-                docs_.append(np.full(key.size, d, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ctxs, docs_)], names=["key", "ctx", "doc"])
+                a = sketch.anchors(words(t.as_py().encode("utf-8", "replace").split()))
+                for c, x in zip(cols, (a.key, a.ctx, np.full(a.key.size, d, np.int64), placed(a))):
+                    c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "ctx", "doc", "place"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(read, "key long, ctx long, doc long")
+    return rows.mapInArrow(read, ANCHORS)
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, shards: int, config: PassageConfig) -> DataFrame:
-    """Words of the wanted passages (doc, key, ctx, hi, hot), each read from its document doc, the first that has it."""
+    """Words of the wanted passages (doc, key, ctx, place, last, hot), each read from its document doc, the first that has it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, hashes, z = Sketch(config.window, config.k), Words(), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
         w = config.window
         for batch in batches:
             rows: list[tuple] = []
             for d, text, asked in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "z", "asked"))):
                 words = z.decompress(text).split()
-                a = sketch.anchors(hashes(words))
-                left = {(x["key"], x["ctx"]): (x["hi"], x["hot"]) for x in asked}
-                for at, n, key, ctx in zip(a.start.tolist(), a.windows.tolist(), a.key.tolist(), a.ctx.tolist()):
-                    found = left.pop((key, ctx), None)
-                    if found is None:
-                        continue
-                    hi, hot = found
-                    if not hot:
-                        rows.append((key % shards, key, ctx, 0, b" ".join(words[at : at + n + w - 1]), d, hi))
+                for x in asked:
+                    at, n, _ = unplaced(x["place"])
+                    if at + n + w - 1 > len(words):
+                        continue  # asked of another document with the same id
+                    if not x["hot"]:
+                        rows.append((x["key"] % shards, x["key"], x["ctx"], 0, b" ".join(words[at : at + n + w - 1]), d, x["last"]))
                         continue
                     for j in range(n):
                         one = b" ".join(words[at + j : at + j + w])
-                        rows.append((xxhash.xxh64_intdigest(one) % shards, key, ctx, j, one, d, hi))
+                        rows.append((xxhash.xxh64_intdigest(one) % shards, x["key"], x["ctx"], j, one, d, x["last"]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "hi", "hot")).alias("asked"))
+    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place", "last", "hot")).alias("asked"))
     texts = packed(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
     joined = texts.join(asked, texts.doc_id == asked.doc).select("doc_id", "z", "asked")
     return joined.mapInArrow(cut, "shard int, key long, ctx long, at int, words binary, lo long, hi long")
@@ -173,22 +169,21 @@ def _found(columns: tuple[list, list, list, list]) -> pa.RecordBatch:
 
 
 def passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """(doc_id, marks): of documents with windows that an earlier document holds, key, ctx and a bit for each such window."""
+    """(doc_id, marks): of documents with windows that an earlier document holds, places and a bit for each such window."""
     every = _anchors(docs, config)
     sampled = _anchors(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(config.sample)) == 0), config)
     hot = hot_keys(stored(sampled, "sampled"), config.hot_part)
-    tests = {"lo": F.min("doc"), "hi": F.max("doc"), "where": "lo < hi"}
-    found = stored(recurring(every, tests, hot).select("key", "ctx", "doc"), "recurring")
-    distinct = stored(found.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.max("doc").alias("hi")), "passages")
-    crowded = distinct.groupBy("key").count().where(F.col("count") > config.hot).select("key", F.lit(True).alias("crowded"))
-    wanted = distinct.join(crowded, "key", "left").select("doc", "key", "ctx", "hi", F.coalesce("crowded", F.lit(False)).alias("hot"))
-    shards = max(1, distinct.count() // config.shard)
+    found = stored(recurring(every, "lo < hi", hot).select("key", "ctx", "doc", "place", "last", "first", (F.col("contexts") > config.hot).alias("hot")), "recurring")
+    wanted = found.where("first").select("doc", "key", "ctx", "place", "last", "hot")
+    shards = max(1, wanted.count() // config.shard)
     tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     located = _locate(_segments(docs, wanted, shards, config), tasks, config)
-    named = found.join(located, ["key", "ctx"])
-    bit = lambda first, i: F.when(first < F.col("doc"), F.expr("1L") * F.pow(F.lit(2), F.col("at") + i).cast("long")).otherwise(F.lit(0).cast("long"))
+    # of a context one row again, with the first document of each of its windows in order
+    whole = located.groupBy("key", "ctx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "firsts"))), lambda x: x.firsts)).alias("firsts"))
+    named = found.select("key", "ctx", "doc", "place").join(whole, ["key", "ctx"])
+    bit = lambda first, i: F.when(first < F.col("doc"), F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long"))
     named = named.withColumn("bits", F.aggregate(F.transform("firsts", bit), F.lit(0).cast("long"), lambda a, b: a + b)).where("bits > 0")
-    return named.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "ctx", "bits")).alias("marks"))
+    return named.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 
 def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
@@ -197,7 +192,7 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
     Removed is each word of a window of so many words whose sequence also starts in a document with a smaller doc_id, all
     judged on the input. clean_text has the runs of kept words as they stand in the text, with a line break between runs; a
     text that loses nothing stays as it is. Null text counts as empty and stays null as clean_text. Rows without a doc_id
-    neither lose words nor cause losses; rows with one doc_id are one document to each other, so neither is earlier.
+    neither lose words nor cause losses; a doc_id stands for one text: rows that repeat it are the same document, of which neither is earlier.
     Columns with the new names are replaced, others pass.
     """
     new = ("n_words", "n_removed", "kept_words", "clean_text")
@@ -209,7 +204,7 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
     word = re.compile(WORD_BYTES)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, hashes, z = Sketch(config.window, config.k), Words(), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             for text, null, marked in zip(*(batch.column(n).to_pylist() for n in ("z", "_null", "marks"))):
@@ -219,11 +214,7 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
                 if not marked:
                     rows.append((None if null else whole, len(words), 0, b" ".join(words).decode("utf-8", "replace"), None if null else whole))
                     continue
-                bits = {}
-                for m in marked:
-                    bits[m["key"], m["ctx"]] = bits.get((m["key"], m["ctx"]), 0) | m["bits"]
-                a = sketch.anchors(hashes(words))
-                starts = [at + j for at, n, *pair in zip(a.start.tolist(), a.windows.tolist(), a.key.tolist(), a.ctx.tolist()) if (b := bits.get(tuple(pair))) for j in range(n) if b >> j & 1]
+                starts = [unplaced(m["place"])[0] + j for m in marked for j in range(config.window) if m["bits"] >> j & 1]
                 gone = covered(np.array(starts, np.int64), config.window, len(words))
                 spans = [m.span() for m in word.finditer(raw)]
                 edges = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True])).astype(np.int8)))
