@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import stored, table
-from quillstone.llm.repeats import Powers, Prefixes, Sketch, covered, distinct_in, hot_keys, mixed, recurring
+from quillstone.llm.repeats import ANCHORS, Powers, Prefixes, Sketch, covered, hot_keys, mixed, placed, recurring, unplaced
 from quillstone.llm.substring_dedup import packed
 
 
@@ -38,8 +38,6 @@ class SuffixConfig:
 
 #: A 64-bit unit for each byte.
 _UNITS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Documents without an id, among anchors.
-_NO_ID = -(1 << 63)
 
 
 def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,50 +105,46 @@ def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, grou
 
 
 def _anchors(docs: DataFrame, config: SuffixConfig) -> DataFrame:
-    """Distinct (key, ctx, doc) of docs (doc_id, text), and how often each is there (many: more than once)."""
+    """Anchors of docs (_doc, text)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(config.length, config.k)
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                raw = np.frombuffer(t.as_py().encode("utf-8", "replace"), np.uint8)
-                key, ctx, n = distinct_in(sketch.anchors(_UNITS[raw]))
-                for c, x in zip(cols, (key, ctx, np.full(key.size, _NO_ID if d is None else d, np.int64), n > 1)):
+            for d, t in zip(batch.column("_doc").to_pylist(), batch.column("text")):
+                a = sketch.anchors(_UNITS[np.frombuffer(t.as_py().encode("utf-8", "replace"), np.uint8)])
+                for c, x in zip(cols, (a.key, a.ctx, np.full(a.key.size, d, np.int64), placed(a))):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "ctx", "doc", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "ctx", "doc", "place"])
 
-    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(read, "key long, ctx long, doc long, many boolean")
+    return docs.where("text IS NOT NULL").select("_doc", "text").mapInArrow(read, ANCHORS)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, shards: int, config: SuffixConfig) -> DataFrame:
-    """Bytes of the wanted contexts (doc, key, ctx, copied, hot), each read from its document doc. A context has n windows, and
-    is one row of its key's shard; of hot keys each window is a row of the shard of its own hash."""
+    """Bytes of the wanted contexts (doc, key, ctx, place, copied, hot), each read from its document doc. A context is one row of
+    its key's shard; of hot keys each window is a row of the shard of its own hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, z = Sketch(config.length, config.k), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             rows: list[tuple] = []
             for text, asked in zip(*(batch.column(n).to_pylist() for n in ("z", "asked"))):
                 raw = z.decompress(text)
-                a = sketch.anchors(_UNITS[np.frombuffer(raw, np.uint8)])
-                left = {(x["key"], x["ctx"]): (x["copied"], x["hot"]) for x in asked}
-                for at, n, shift, key, ctx in zip(*(x.tolist() for x in (a.start, a.windows, a.shift, a.key, a.ctx))):
-                    found = left.pop((key, ctx), None)
-                    if found is None:
-                        continue
-                    if not found[1]:
-                        rows.append((key % shards, key, ctx, 0, shift, found[0], raw[at : at + n + config.length - 1]))
+                for x in asked:
+                    at, n, shift = unplaced(x["place"])
+                    key, ctx = x["key"], x["ctx"]
+                    if not x["hot"]:
+                        rows.append((key % shards, key, ctx, 0, shift, x["copied"], raw[at : at + n + config.length - 1]))
                         continue
                     for j in range(n):
                         one = raw[at + j : at + j + config.length]
-                        rows.append((int.from_bytes(hashlib.blake2b(one, digest_size=6).digest(), "little") % shards, key, ctx, j, shift - j, found[0], one))
+                        rows.append((int.from_bytes(hashlib.blake2b(one, digest_size=6).digest(), "little") % shards, key, ctx, j, shift - j, x["copied"], one))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "copied", "hot")).alias("asked"))
-    texts = packed(docs.where("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text"))
+    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place", "copied", "hot")).alias("asked"))
+    texts = packed(docs.where("text IS NOT NULL").select(F.col("_doc").alias("doc"), "text"))
     return texts.join(asked, "doc").select("z", "asked").mapInArrow(cut, "shard int, key long, ctx long, at int, shift int, copied boolean, bytes binary")
 
 
@@ -205,42 +199,40 @@ def _located(contexts: DataFrame, tasks: int, config: SuffixConfig) -> DataFrame
 
 
 def repeated_strings(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """(doc, marks): of documents with strings that start elsewhere too, key, ctx, at and bits of their starts; bits are null where
-    all windows of a context do, at is the first window that bits tell of."""
+    """(_doc, marks): of documents (_doc, text) with strings that start elsewhere too, places and parts: from which window on, bits
+    of those that do; parts are null where all windows of a place do."""
     every = _anchors(docs, config)
-    sampled = _anchors(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(config.sample)) == 0), config)
+    sampled = _anchors(docs.where(F.pmod(F.xxhash64("_doc"), F.lit(config.sample)) == 0), config)
     hot = hot_keys(stored(sampled, "sampled"), config.hot_part)
-    tests = {"n": F.count("*"), "m": F.max("many"), "low": F.min("ctx"), "high": F.max("ctx"), "where": "n > 1 OR m"}
-    found = stored(recurring(every, tests, hot).select("key", "ctx", "doc", "many", (F.col("low") != F.col("high")).alias("several")), "recurring")
-    distinct = found.where("several").groupBy("key", "ctx").agg(F.min("doc").alias("doc"), ((F.count("*") > 1) | F.max("many")).alias("copied"))
-    distinct = stored(distinct, "contexts")
-    crowded = distinct.groupBy("key").count().where(F.col("count") > config.hot).select("key", F.lit(True).alias("crowded"))
-    wanted = distinct.join(crowded, "key", "left").select("doc", "key", "ctx", "copied", F.coalesce("crowded", F.lit(False)).alias("hot"))
-    shards = max(1, distinct.count() // config.shard)
+    picked = ("key", "ctx", "doc", "place", "first", (F.col("copies") > 1).alias("copied"), (F.col("contexts") > 1).alias("several"), (F.col("contexts") > config.hot).alias("hot"))
+    found = stored(recurring(every, "n > 1", hot).select(*picked), "recurring")
+    wanted = found.where("several AND first").select("doc", "key", "ctx", "place", "copied", "hot")
+    shards = max(1, wanted.count() // config.shard)
     tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     located = _located(_contexts(docs, wanted, shards, config), tasks, config)
-    some = found.where("several").select("key", "ctx", "doc").join(located, ["key", "ctx"])
-    all_ = found.where("NOT several").select("key", "ctx", "doc", F.lit(0).alias("at"), F.lit(None).cast("binary").alias("bits"))
-    return some.select(*all_.columns).unionByName(all_).groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "at", "bits")).alias("marks"))
+    whole = located.groupBy("key", "ctx").agg(F.collect_list(F.struct("at", "bits")).alias("parts"))  # of one context, so at most its windows
+    some = found.where("several").select("key", "ctx", "doc", "place").join(whole, ["key", "ctx"]).select("doc", "place", "parts")
+    all_ = found.where("NOT several").select("doc", "place", F.lit(None).cast("array<struct<at:int,bits:binary>>").alias("parts"))
+    return some.unionByName(all_).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("place", "parts")).alias("marks"))
 
 
 def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """Each row of docs (doc_id, text and others) with n_bytes, n_removed, spans (array of start and end) and kept (binary).
 
     Removed is each byte of the UTF-8 text that a string of so many bytes covers which also starts anywhere else, in this row
-    or another, all judged on the input; overlaps count. Null text counts as empty. Rows without an id, and rows with one id,
-    are texts like others. Columns with the new names are replaced, others but text pass.
+    or another, all judged on the input; overlaps count. Null text counts as empty. A doc_id stands for one text, as do rows
+    without one; rows that repeat it are copies. Columns with the new names are replaced, others but text pass.
     """
     new = ("n_bytes", "n_removed", "spans", "kept")
     others = [c for c in docs.columns if c not in (*new, "text")]
-    marks = repeated_strings(docs.select("doc_id", "text"), config)
-    texts = packed(docs.select(*others, F.coalesce("doc_id", F.lit(_NO_ID)).alias("_doc"), "text"))
-    joined = texts.join(marks.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*others, "z", "marks")
+    own = docs.select(*others, F.coalesce("doc_id", F.xxhash64("text")).alias("_doc"), "text")
+    marks = repeated_strings(own.select("_doc", "text"), config)
+    joined = packed(own).join(marks, "_doc", "left").select(*others, "z", "marks")
     kinds = [*(f"`{c}` {t}" for c, t in docs.dtypes if c in others), "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"]
     types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, z = Sketch(config.length, config.k), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             for text, marked in zip(*(batch.column(n).to_pylist() for n in ("z", "marks"))):
@@ -248,15 +240,15 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
                 if not marked:
                     rows.append((len(raw), 0, [], raw))
                     continue
-                bits: dict[tuple, list] = {}
-                for m in marked:
-                    bits.setdefault((m["key"], m["ctx"]), []).append((m["at"], m["bits"]))
                 units = np.frombuffer(raw, np.uint8)
-                a = sketch.anchors(_UNITS[units])
                 starts = [np.zeros(0, np.int64)]
-                for at, n, *pair in zip(a.start.tolist(), a.windows.tolist(), a.key.tolist(), a.ctx.tolist()):
-                    for j, b in bits.get(tuple(pair), ()):
-                        starts.append(at + (np.arange(n) if b is None else j + np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little"))))
+                for m in marked:
+                    at, n, _ = unplaced(m["place"])
+                    if m["parts"] is None:
+                        starts.append(at + np.arange(n))
+                        continue
+                    for part in m["parts"]:
+                        starts.append(at + part["at"] + np.flatnonzero(np.unpackbits(np.frombuffer(part["bits"], np.uint8), bitorder="little")))
                 gone = covered(np.concatenate(starts), config.length, units.size)
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
                 rows.append((len(raw), int(gone.sum()), [{"start": x, "end": y} for x, y in edges.tolist()], units[~gone].tobytes()))
