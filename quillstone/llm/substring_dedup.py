@@ -198,8 +198,8 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
     new = ("n_words", "n_removed", "kept_words", "clean_text")
     others = [c for c in docs.columns if c not in (*new, "text")]
     marks = passages(docs.select("doc_id", "text"), config)
-    texts = packed(docs.select(*others, F.col("text"), F.col("text").isNull().alias("_null")))
-    joined = texts.join(marks, "doc_id", "left")
+    texts = packed(docs.select(F.struct(*others).alias("_row"), "doc_id", "text", F.col("text").isNull().alias("_null")))
+    joined = texts.join(marks, "doc_id", "left").select("_row", "z", "_null", "marks")
     kinds = [*(f"`{c}` {t}" for c, t in docs.dtypes if c in others), "text string", "n_words long", "n_removed long", "kept_words string", "clean_text string"]
     word = re.compile(WORD_BYTES)
 
@@ -222,9 +222,9 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
                 kept = b" ".join(x for x, g in zip(words, gone.tolist()) if not g)
                 rows.append((whole, len(words), int(gone.sum()), kept.decode("utf-8", "replace"), b"\n".join(runs).decode("utf-8", "replace")))
             made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *made], names=[*others, "text", *new])
+            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*others, "text", *new])
 
-    return joined.select(*others, "z", "_null", "marks").mapInArrow(clean, ", ".join(kinds))
+    return joined.mapInArrow(clean, ", ".join(kinds))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,9 +225,9 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """
     new = ("n_bytes", "n_removed", "spans", "kept")
     others = [c for c in docs.columns if c not in (*new, "text")]
-    own = docs.select(*others, F.coalesce("doc_id", F.xxhash64("text")).alias("_doc"), "text")
+    own = docs.select(F.struct(*others).alias("_row"), F.coalesce("doc_id", F.xxhash64("text")).alias("_doc"), "text")
     marks = repeated_strings(own.select("_doc", "text"), config)
-    joined = packed(own).join(marks, "_doc", "left").select(*others, "z", "marks")
+    joined = packed(own).join(marks, "_doc", "left").select("_row", "z", "marks")
     kinds = [*(f"`{c}` {t}" for c, t in docs.dtypes if c in others), "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"]
     types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
@@ -253,7 +253,7 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
                 rows.append((len(raw), int(gone.sum()), [{"start": x, "end": y} for x, y in edges.tolist()], units[~gone].tobytes()))
             made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *made], names=[*others, *new])
+            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*others, *new])
 
     return joined.mapInArrow(clean, ", ".join(kinds))
 
