@@ -162,7 +162,7 @@ for _suffix, _lexicon, _source in (("", LATIN, None), ("_zh", CHINESE, "zh_docs"
         read = docs if source is None else (lambda spark, _: table_of(spark, source))
         name, prefix = ("documents", "") if source is None else (source, f"{source} AS ({sql_table(source)}),")
         features = [f"f_{f[0]}" for f in D.FEATURES]
-        six = [F.round(f, 6).alias(f) for f in features]
+        six = lambda: [F.round(f, 6).alias(f) for f in features]
         sql6 = ", ".join(f"round({f}, 6) AS {f}" for f in features)
         reasons = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {lit(r)} END" for r, c, _ in risk_sql(x)) + "], lambda r: r IS NOT NULL)"
         rated = f"{base_sql(x, name)}, r AS (SELECT doc_id, sent_idx, sent, {points_sql(risk_sql(x), 20)} AS risk, {reasons} AS reasons FROM s)"
@@ -175,7 +175,7 @@ SELECT doc_id, sent_idx, risk, CASE WHEN risk >= 60 THEN 'high' WHEN risk >= 45
         ORACLE_SQL[f"sentence_stats{suffix}"] = f"""WITH {prefix}{base_sql(x, name)}, n AS (SELECT doc_id, length({bare('sent')}) AS n FROM s)
 SELECT doc_id, count(*) AS n, round(avg(n), 6) AS avg_len, round(stddev_pop(n), 6) AS std_len,
        round(CASE WHEN avg(n) > 0 THEN stddev_pop(n) / avg(n) ELSE 0 END, 6) AS cv FROM n GROUP BY doc_id"""
-        QUERIES[f"detect_features{suffix}"] = lambda s, d: D.detect(read(s, d), x).select("doc_id", "chars", "sentences", "paragraphs", *six)
+        QUERIES[f"detect_features{suffix}"] = lambda s, d: D.detect(read(s, d), x).select("doc_id", "chars", "sentences", "paragraphs", *six())
         ORACLE_SQL[f"detect_features{suffix}"] = f"WITH {prefix}{feature_sql(x, name)} SELECT doc_id, chars, sentences, paragraphs, {sql6} FROM f"
         QUERIES[f"detect_probability{suffix}"] = lambda s, d: D.detect(read(s, d), x).select("doc_id", "probability", "level", "confidence", F.size("warnings").alias("n_warnings"))
         ORACLE_SQL[f"detect_probability{suffix}"] = f"""WITH {prefix}{feature_sql(x, name)}
@@ -191,8 +191,8 @@ SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ri
 SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r WHERE risk >= 40) WHERE reason IN ({raising}) GROUP BY reason"""
         QUERIES[f"span_scores{suffix}"] = lambda s, d: S.scored_spans(read(s, d), x).select("doc_id", "sent_idx", "start", "end", "risk", "label")
         ORACLE_SQL[f"span_scores{suffix}"] = f'WITH {prefix}{spans_sql(x, name)} SELECT doc_id, sent_idx, "start", "end", risk, label FROM sc'
-        rounded = [F.round(c, 2).alias(c) for c in ("ai_share", "suspected_share", "human_share", "composite")]
-        QUERIES[f"span_ratios{suffix}"] = lambda s, d: S.ratios(read(s, d), x).select("doc_id", "n", *rounded, "composite_label")
+        rounded = lambda: [F.round(c, 2).alias(c) for c in ("ai_share", "suspected_share", "human_share", "composite")]
+        QUERIES[f"span_ratios{suffix}"] = lambda s, d: S.ratios(read(s, d), x).select("doc_id", "n", *rounded(), "composite_label")
         share = lambda k: f"sum(CASE WHEN label = '{k}' THEN weight ELSE 0 END) * 100.0::DOUBLE / sum(weight)"
         ORACLE_SQL[f"span_ratios{suffix}"] = f"""WITH {prefix}{spans_sql(x, name)},
 k AS (SELECT doc_id, count(*) AS n, {share('ai')} AS a, {share('suspected')} AS b, {share('human')} AS c FROM sc GROUP BY doc_id)
