@@ -32,7 +32,7 @@ class PassageConfig:
     many documents is read to find keys that hold over hot_part of all anchors."""
 
     window: int = 13
-    k: int = 3
+    k: int = 4
     shard: int = 2000
     hot: int = 2000
     sample: int = 64
