@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import audits, measure
+from quillstone.plans import audits, cleaning, measure
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measure.QUERIES, **audits.QUERIES}
-ORACLE_SQL: dict[str, str] = {**measure.ORACLE_SQL, **audits.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measure.QUERIES, **audits.QUERIES, **cleaning.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measure.ORACLE_SQL, **audits.ORACLE_SQL, **cleaning.ORACLE_SQL}
