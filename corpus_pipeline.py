@@ -72,7 +72,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: SQL can't express mixtures fitted per document or best-fit packing; tests hold the pipeline against a brute-force version.
+#: SQL can't express mixtures fitted per document or best-fit packing. A brute-force test of the whole pipeline is still to come.
 ORACLE_SQL = None
 
 
