@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import language_id, packing, quality_rules, simhash, substring_dedup
+from quillstone.llm import language_id, near_text, packing, quality_rules, substring_dedup
 from quillstone.llm.common import held_out, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose main language has a smaller share than this is no text of that language.
 LEAST_SHARE = 0.4
+#: The rule of the near-duplicate stage; op8 has its own.
+NEAR = near_text.NearConfig(shingle=5, least=0.8)
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -43,14 +45,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id; of repeated rows of that document one. Documents
-    without an id can't be told apart and stay."""
-    docs = docs.select(*COLUMNS)
-    found = stored(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id"), "kept")
-    kept = docs.join(found.distinct(), "doc_id", "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """Of each group of near-duplicates the document of the smallest doc_id. Near-duplicates have word shingles of a Jaccard
+    similarity of NEAR.least or more, and what they are near of. Documents without an id can't be told apart and stay."""
+    return near_text.first_of_groups(docs.select(*COLUMNS), NEAR)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

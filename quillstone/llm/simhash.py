@@ -29,23 +29,32 @@ class SimHashConfig:
     block: int = 4096
 
 
-def fingerprint(text: str | None, config: SimHashConfig = SimHashConfig()) -> int:
-    """Bits that over half the shingles' XXH64 have set; 0 without words."""
+def shingle_hashes(text: str | None, n: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of n words, of all words if there are fewer; none without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    joined, n = b" ".join(words), config.shingle
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     stops = (ends - 1)[min(n, len(words)) - 1 :].tolist()
-    digest, seed = xxhash.xxh64_intdigest, config.seed
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that over half the hashes have set."""
     ones = np.zeros(64, np.int64)
     for k in range(0, hashes.size, 8192):
         ones += np.unpackbits(hashes[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > hashes.size, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, config: SimHashConfig = SimHashConfig()) -> int:
+    """Bits that over half the shingles' XXH64 have set; 0 without words."""
+    return majority(shingle_hashes(text, config.shingle, config.seed))
+
+
 def fingerprints(docs: DataFrame, config: SimHashConfig = SimHashConfig(), text: str = "text") -> DataFrame:
     """Each row of docs with fp, the fingerprint as a signed 64-bit integer. Null text counts as empty."""
 
