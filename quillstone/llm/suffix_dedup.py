@@ -3,7 +3,8 @@
 Anchors (see repeats) tell which stretches may hold a string that starts elsewhere too. The suffixes that start at their
 windows are sorted, bucket by bucket, by a mergesort whose comparisons find the common extension of two suffixes by binary
 search over prefix polynomial hashes; neighbours in order whose extension reaches the length are repeats, which their bytes
-confirm. Which positions start a repeat is joined back to all documents.
+confirm. Windows of keys with very many contexts are counted by a 128-bit digest instead. Which positions start a repeat is
+joined back to all documents.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from quillstone.llm.substring_dedup import packed
 @dataclass(frozen=True)
 class SuffixConfig:
     """length: bytes of a string that counts. k: bytes of an anchor's k-gram. shard: contexts sorted at a time, about. hot: a key
-    with more distinct contexts than this has its suffixes dealt out one by one. sample, hot_part: see repeats.hot_keys."""
+    with more distinct contexts than this has its windows counted, not sorted. sample, hot_part: see repeats.hot_keys."""
 
     length: int = 200
     k: int = 50
@@ -123,7 +124,7 @@ def _anchors(docs: DataFrame, config: SuffixConfig) -> DataFrame:
 
 def _contexts(docs: DataFrame, wanted: DataFrame, shards: int, config: SuffixConfig) -> DataFrame:
     """Bytes of the wanted contexts (doc, key, ctx, place, copied, hot), each read from its document doc. A context is one row of
-    its key's shard; of hot keys each window is a row of the shard of its own hash."""
+    its key's shard; of hot keys each window is a row without shard or bytes, but with a digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -135,17 +136,17 @@ def _contexts(docs: DataFrame, wanted: DataFrame, shards: int, config: SuffixCon
                     at, n, shift = unplaced(x["place"])
                     key, ctx = x["key"], x["ctx"]
                     if not x["hot"]:
-                        rows.append((key % shards, key, ctx, 0, shift, x["copied"], raw[at : at + n + config.length - 1]))
+                        rows.append((key % shards, key, ctx, 0, shift, x["copied"], raw[at : at + n + config.length - 1], None))
                         continue
                     for j in range(n):
                         one = raw[at + j : at + j + config.length]
-                        rows.append((int.from_bytes(hashlib.blake2b(one, digest_size=6).digest(), "little") % shards, key, ctx, j, shift - j, x["copied"], one))
+                        rows.append((None, key, ctx, j, shift - j, x["copied"], None, hashlib.blake2b(one, digest_size=16).digest()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*_KINDS, pa.binary()])], names=[*_NAMES, "digest"])
 
     asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place", "copied", "hot")).alias("asked"))
     texts = packed(docs.where("text IS NOT NULL").select(F.col("_doc").alias("doc"), "text"))
-    return texts.join(asked, "doc").select("z", "asked").mapInArrow(cut, "shard int, key long, ctx long, at int, shift int, copied boolean, bytes binary")
+    return texts.join(asked, "doc").select("z", "asked").mapInArrow(cut, "shard int, key long, ctx long, at int, shift int, copied boolean, bytes binary, digest binary")
 
 
 _NAMES = ["shard", "key", "ctx", "at", "shift", "copied", "bytes"]
@@ -198,6 +199,16 @@ def _located(contexts: DataFrame, tasks: int, config: SuffixConfig) -> DataFrame
     return contexts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "key long, ctx long, at int, bits binary")
 
 
+def _counted(windows: DataFrame) -> DataFrame:
+    """(key, ctx, at, bits): of windows of hot keys (key, ctx, at, copied, digest), a bit: whether its string starts elsewhere too.
+
+    Equal windows have equal keys, so digests tell them apart. They are counted on the map side: a window that stands in many
+    contexts is a row of each task. Both sides of the join are tables, so that Spark can split a digest with many rows."""
+    times = windows.groupBy("digest").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("times"))
+    again = stored(times.where("times > 1").select("digest", F.lit(True).alias("again")), "repeated-windows")
+    return windows.join(again, "digest", "left").select("key", "ctx", "at", F.expr("if(again, X'01', X'00')").alias("bits"))
+
+
 def repeated_strings(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """(_doc, marks): of documents (_doc, text) with strings that start elsewhere too, places and parts: from which window on, bits
     of those that do; parts are null where all windows of a place do."""
@@ -207,9 +218,15 @@ def repeated_strings(docs: DataFrame, config: SuffixConfig = SuffixConfig()) ->
     picked = ("key", "ctx", "doc", "place", "first", (F.col("copies") > 1).alias("copied"), (F.col("contexts") > 1).alias("several"), (F.col("contexts") > config.hot).alias("hot"))
     found = stored(recurring(every, "n > 1", hot).select(*picked), "recurring")
     wanted = found.where("several AND first").select("doc", "key", "ctx", "place", "copied", "hot")
-    shards = max(1, wanted.count() // config.shard)
+    cold, dealt = wanted.agg(F.count_if(~F.col("hot")), F.count_if("hot")).first()
+    shards = max(1, cold // config.shard)
     tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    located = _located(_contexts(docs, wanted, shards, config), tasks, config)
+    contexts = _contexts(docs, wanted, shards, config)
+    if dealt:  # read twice
+        contexts = stored(contexts, "contexts")
+    located = _located(contexts.where("digest IS NULL"), tasks, config)
+    if dealt:
+        located = located.unionByName(_counted(contexts.where("digest IS NOT NULL").select("key", "ctx", "at", "copied", "digest")))
     whole = located.groupBy("key", "ctx").agg(F.collect_list(F.struct("at", "bits")).alias("parts"))  # of one context, so at most its windows
     some = found.where("several").select("key", "ctx", "doc", "place").join(whole, ["key", "ctx"]).select("doc", "place", "parts")
     all_ = found.where("NOT several").select("doc", "place", F.lit(None).cast("array<struct<at:int,bits:binary>>").alias("parts"))

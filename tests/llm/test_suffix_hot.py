@@ -1,0 +1,23 @@
+"""op7 on a passage that many documents share between different neighbours: no task may get all its contexts."""
+
+from pyspark.sql import functions as F
+
+from quillstone.llm import suffix_dedup
+from tests.llm.test_operators import brute_strings, prose
+
+
+def test_no_shard_gets_all_contexts_of_a_shared_passage(spark, monkeypatch):
+    shared = prose(1, 20)
+    texts = [prose(100 + 2 * i, 12) + " " + shared + " " + prose(101 + 2 * i, 12) for i in range(90)] + [shared] * 2
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    most, real = [], suffix_dedup._located
+
+    def located(contexts, *rest):
+        most.append(contexts.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return real(contexts, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_located", located)
+    config = suffix_dedup.SuffixConfig(length=40, k=10, shard=5, hot=5)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(docs, config).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_strings(texts, 40)
+    assert len(most) == 1 and most[0] < 40
