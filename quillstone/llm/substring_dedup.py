@@ -2,12 +2,14 @@
 
 Anchors (see repeats) tell which passages may recur in other documents. Their words, once for each distinct passage, go to
 shards; each shard confirms the windows that two documents hold, compiles them into an Aho-Corasick automaton over words, and
-streams the passages of its documents through it, which locates every occurrence. What each occurrence means for a document
+streams the passages of its documents through it, which locates every occurrence. Windows of keys with very many passages are
+grouped by a 128-bit digest instead. What each occurrence means for a document
 (does an earlier one hold the same?) is joined back to all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,7 @@ from quillstone.llm.repeats import ANCHORS, Sketch, covered, hot_keys, placed, r
 @dataclass(frozen=True)
 class PassageConfig:
     """window: words that must recur in a row. k: words of an anchor's k-gram. shard: passages of an automaton, about. hot: a
-    key with more distinct passages than this has its windows dealt out one by one, each by its own words. sample: one in so
+    key with more distinct passages than this has its windows grouped, not compiled. sample: one in so
     many documents is read to find keys that hold over hot_part of all anchors."""
 
     window: int = 13
@@ -86,7 +88,8 @@ def _anchors(docs: DataFrame, config: PassageConfig) -> DataFrame:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, shards: int, config: PassageConfig) -> DataFrame:
-    """Words of the wanted passages (doc, key, ctx, place, last, hot), each read from its document doc, the first that has it."""
+    """Words of the wanted passages (doc, key, ctx, place, last, hot), each read from its document doc, the first that has it.
+    Of hot keys each window is a row without shard or words, but with a digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -100,18 +103,18 @@ def _segments(docs: DataFrame, wanted: DataFrame, shards: int, config: PassageCo
                     if at + n + w - 1 > len(words):
                         continue  # asked of another document with the same id
                     if not x["hot"]:
-                        rows.append((x["key"] % shards, x["key"], x["ctx"], 0, b" ".join(words[at : at + n + w - 1]), d, x["last"]))
+                        rows.append((x["key"] % shards, x["key"], x["ctx"], 0, b" ".join(words[at : at + n + w - 1]), d, x["last"], None))
                         continue
                     for j in range(n):
                         one = b" ".join(words[at + j : at + j + w])
-                        rows.append((xxhash.xxh64_intdigest(one) % shards, x["key"], x["ctx"], j, one, d, x["last"]))
+                        rows.append((None, x["key"], x["ctx"], j, None, d, x["last"], hashlib.blake2b(one, digest_size=16).digest()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*_KINDS, pa.binary()])], names=[*_NAMES, "digest"])
 
     asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place", "last", "hot")).alias("asked"))
     texts = packed(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
     joined = texts.join(asked, texts.doc_id == asked.doc).select("doc_id", "z", "asked")
-    return joined.mapInArrow(cut, "shard int, key long, ctx long, at int, words binary, lo long, hi long")
+    return joined.mapInArrow(cut, "shard int, key long, ctx long, at int, words binary, lo long, hi long, digest binary")
 
 
 _NAMES = ["shard", "key", "ctx", "at", "words", "lo", "hi"]
@@ -163,6 +166,16 @@ def _locate(segments: DataFrame, tasks: int, config: PassageConfig) -> DataFrame
     return dealt.mapInArrow(run, "key long, ctx long, at int, firsts array<long>")
 
 
+def _grouped(windows: DataFrame) -> DataFrame:
+    """(key, ctx, at, firsts) as of _locate, of the windows of hot keys (key, ctx, at, lo, hi, digest).
+
+    Equal windows are grouped on the map side: one that stands in many passages is a row of each task. Both sides of the join
+    are tables, so that Spark can split a digest with many rows."""
+    least = windows.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    firsts = stored(least.select("digest", F.col("lo").alias("first")), "first-documents")
+    return windows.join(firsts, "digest", "left").select("key", "ctx", "at", F.array("first").alias("firsts"))
+
+
 def _found(columns: tuple[list, list, list, list]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "ctx", "at", "firsts"])
@@ -175,9 +188,15 @@ def passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFr
     hot = hot_keys(stored(sampled, "sampled"), config.hot_part)
     found = stored(recurring(every, "lo < hi", hot).select("key", "ctx", "doc", "place", "last", "first", (F.col("contexts") > config.hot).alias("hot")), "recurring")
     wanted = found.where("first").select("doc", "key", "ctx", "place", "last", "hot")
-    shards = max(1, wanted.count() // config.shard)
+    cold, dealt = wanted.agg(F.count_if(~F.col("hot")), F.count_if("hot")).first()
+    shards = max(1, cold // config.shard)
     tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    located = _locate(_segments(docs, wanted, shards, config), tasks, config)
+    segments = _segments(docs, wanted, shards, config)
+    if dealt:  # read twice
+        segments = stored(segments, "segments")
+    located = _locate(segments.where("digest IS NULL"), tasks, config)
+    if dealt:
+        located = located.unionByName(_grouped(segments.where("digest IS NOT NULL").select("key", "ctx", "at", "lo", "hi", "digest")))
     # of a context one row again, with the first document of each of its windows in order
     whole = located.groupBy("key", "ctx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "firsts"))), lambda x: x.firsts)).alias("firsts"))
     named = found.select("key", "ctx", "doc", "place").join(whole, ["key", "ctx"])

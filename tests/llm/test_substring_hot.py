@@ -1,0 +1,32 @@
+"""op9 on a passage that many documents share between different neighbours: no task may get all its passages."""
+
+from pyspark.sql import functions as F
+
+from quillstone.llm import substring_dedup
+from tests.llm.test_operators import prose
+
+
+def test_no_shard_gets_all_passages_of_a_shared_one(spark, monkeypatch):
+    shared = prose(1, 20)
+    texts = [prose(100 + 2 * i, 15) + " " + shared + " " + prose(101 + 2 * i, 15) for i in range(90)] + [shared] * 2
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    most, real = [], substring_dedup._locate
+
+    def locate(segments, *rest):
+        most.append(segments.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return real(segments, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_locate", locate)
+    got = {r.doc_id: r.kept_words for r in substring_dedup.dedup(docs, substring_dedup.PassageConfig(shard=5, hot=5)).collect()}
+    first = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        for i in range(len(words) - 12):
+            first.setdefault(tuple(words[i : i + 13]), d)
+    for d, text in enumerate(texts):
+        words, gone = text.split(), set()
+        for i in range(len(words) - 12):
+            if first[tuple(words[i : i + 13])] < d:
+                gone |= {*range(i, i + 13)}
+        assert got[d] == " ".join(w for i, w in enumerate(words) if i not in gone)
+    assert len(most) == 1 and most[0] < 40
