@@ -163,9 +163,9 @@ class Encoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Packed ids of each text."""
         if len(self.whole) > self.keep:
-            self.whole.clear()
+            self.whole = {}
         if len(self.parts) > self.keep:
-            self.parts.clear()
+            self.parts = {}
         cuts = [self._cut(t) for t in texts]
         new = {c for cut in cuts for c in cut if c not in self.whole}
         found = {c: self.find(c) for c in new}

@@ -126,7 +126,7 @@ def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
                 turn_no += 1
             if rows:
                 yield _batch(rows, _SEGMENTS)
-                rows.clear()
+                rows = []
         ended()
         if rows:
             yield _batch(rows, _SEGMENTS)
@@ -146,9 +146,10 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 _READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
 
-def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
+def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate(), in_order: bool = False) -> DataFrame:
     """Of each conversation, what its joined segments say: turns by the marks, not by the segments' kinds, and the text under
-    the loss mask. One turn is held at a time."""
+    the loss mask. One turn is held at a time. in_order: the segments stand as format_chats makes them, each conversation in
+    one partition and in order, so that they needn't be shuffled again; segments that were stored or filtered must be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(template)
@@ -185,12 +186,14 @@ def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
                     n, rest = n + 1, ""
             if out:
                 yield _batch(out, _READ)
-                out.clear()
+                out = []
         ended()
         if out:
             yield _batch(out, _READ)
 
-    dealt = segments.select("conv_id", "segment", "text", "loss", "complete").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    dealt = segments.select("conv_id", "segment", "text", "loss", "complete")
+    if not in_order:
+        dealt = dealt.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     return dealt.mapInArrow(run, READ)
 
 
@@ -198,4 +201,4 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(turns.unionByName(planted)))
+    return read_back(format_chats(turns.unionByName(planted)), in_order=True)

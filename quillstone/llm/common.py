@@ -63,24 +63,62 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df but those named, quoted, so that dots in them are no paths."""
+    return [quoted(c) for c in df.columns if c not in names]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys at most that a table of hot keys holds, and rows that a key has at least to be one.
+HOT_KEYS, HOT_ROWS = 4096, 256
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined to facts, which has one row for each key and in n how many rows hold it; total: rows there are.
+
+    Keys with over a 4096th of all rows are at most 4096. Those are broadcast, so that their rows stay where they are and no
+    task gets all of one key; the others meet in a shuffle.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = facts.where(F.col(n) > most)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.where(F.col(n) <= most), on)
+    return rest.unionByName(rows.join(F.broadcast(hot), on))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, as (node, component): component is the smallest node reachable.
 
     edges has long columns a and b; null ends are not allowed, loops and repeats are. Alternates large-star and small-star
     rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), which take O(log^2 n) rounds; each round
     is a written table, so no lineage grows. A star's centre is a node's smallest neighbour, found by an aggregate that
-    combines on the map side, so that no node's neighbours are gathered in one place. Only nodes with an edge are returned.
+    combines on the map side; nodes with many neighbours take it from a broadcast (join_facts), so that no node's neighbours
+    are gathered in one place. Only nodes with an edge are returned. Graphs that need more than max_rounds are refused by an
+    error; nothing is left out.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+
+    def starred(pairs: DataFrame, total: int) -> DataFrame:
+        return join_facts(pairs, pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], "n", total).drop("n")
+
     for _ in range(max_rounds):
-        stars = now.agg(F.count("*") == F.countDistinct("u")).first()[0]
-        if stars and now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        size, centres = now.agg(F.count("*"), F.countDistinct("u")).first()
+        if size == centres and now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = starred(both, 2 * size).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = stored(large.distinct(), "large-star")
-        star = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        star = starred(large, large.count())
         star = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
         now = stored(star.distinct(), "small-star")
     else:

@@ -15,13 +15,11 @@ from quillstone.llm.common import components, forest, stored, table
 
 @dataclass(frozen=True)
 class TileConfig:
-    """threshold: least cosine of a link. tile: vectors of a tile, at least. max_tiles: tiles at most, so that their bounds, which
-    are broadcast, have a fixed size; more vectors make larger tiles. lead: leading dimensions read first. bounds: leading
-    dimensions of a tile's bounds. strip: rows of a tile compared at a time."""
+    """threshold: least cosine of a link. tile: vectors of a tile, about; a task holds two. lead: leading dimensions read first.
+    bounds: leading dimensions of a tile's bounds. strip: rows of a tile compared at a time."""
 
     threshold: float = 0.95
     tile: int = 4096
-    max_tiles: int = 4096
     lead: int = 16
     bounds: int = 4
     strip: int = 512
@@ -103,13 +101,28 @@ def _links(a: np.ndarray, b: np.ndarray, same: bool, axes: np.ndarray, config: T
             yield i, j
 
 
+def _partners(placed: DataFrame, bounds: int, config: TileConfig) -> DataFrame:
+    """(tile, other), both ways: pairs of tiles, each with itself too, that may hold a link by their bounds in the leading
+    dimensions of placed (tile, lead). For unit vectors of cosine c the squared distance is 2 - 2c, and that of some coordinates is no
+    more. Tiles meet by cells of the first coordinate that are as wide as the distance; the bounds decide."""
+    most = 2 - 2 * config.threshold + 1e-6
+    reach = most**0.5
+    box = [f(F.col("lead")[k]).alias(f"{name}{k}") for k in range(bounds) for name, f in (("low", F.min), ("high", F.max))]
+    boxes = stored(placed.groupBy("tile").agg(*box), "tile-bounds")
+    cell = lambda x: F.floor(x / reach)
+    own = boxes.withColumn("cell", F.explode(F.sequence(cell(F.col("low0")), cell(F.col("high0")))))
+    theirs = boxes.select(*(F.col(c).alias(f"other_{c}") for c in boxes.columns), F.explode(F.sequence(cell(F.col("low0") - reach), cell(F.col("high0") + reach))).alias("cell"))
+    gaps = [F.greatest(F.lit(0.0), F.col(f"low{k}") - F.col(f"other_high{k}"), F.col(f"other_low{k}") - F.col(f"high{k}")) for k in range(bounds)]
+    near = own.join(theirs, "cell").where(sum(g * g for g in gaps) <= most)
+    found = near.select("tile", F.col("other_tile").alias("other"))
+    return found.unionByName(found.select(F.col("other").alias("tile"), F.col("tile").alias("other"))).distinct()
+
+
 def _compare(nodes: DataFrame, d: int, n: int, config: TileConfig) -> DataFrame:
     """nodes (node, copies, embedding), all of d components: rows of node, links (copies that it links with) and parent, which
     connects what links connect (null in rows that only count)."""
-    spark = nodes.sparkSession
     axes = _axes(nodes, d)
-    wide = max(config.tile, -(-n // config.max_tiles))
-    tiles = max(1, -(-n // wide))
+    tiles = max(1, -(-n // config.tile))
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,19 +135,7 @@ def _compare(nodes: DataFrame, d: int, n: int, config: TileConfig) -> DataFrame:
     placed = stored(ordered.repartitionByRange(tiles, F.col("lead")[0], "node").withColumn("range", F.spark_partition_id()), "tiles")
     ranges = placed.agg(F.max("range")).first()[0] + 1
     placed = placed.withColumn("tile", F.floor(F.col("range") * min(tiles, ranges) / ranges).cast("int"))  # where more ranges were made
-    at = [F.struct(*(f(F.col("lead")[k]).alias(f"x{k}") for k in range(min(config.bounds, d)))) for f in (F.min, F.max)]
-    edges = {r.tile: (np.array([*r.low]), np.array([*r.high])) for r in placed.groupBy("tile").agg(at[0].alias("low"), at[1].alias("high")).collect()}
-    # cosine c of unit vectors: their squared distance is 2 - 2c, and that of some coordinates is no more
-    most = 2 - 2 * config.threshold + 1e-6
-    names = sorted(edges)
-    partners = {t: [u for u in names if (np.maximum(0, np.maximum(edges[t][0] - edges[u][1], edges[u][0] - edges[t][1])) ** 2).sum() <= most] for t in names}
-    with_whom = spark.createDataFrame([(t, u) for t in names for u in partners[t]], "tile int, other int") if len(names) * len(names) <= 65_536 else None
-    if with_whom is None:
-        shared = spark.sparkContext.broadcast(partners)
-        others = F.udf(lambda t: shared.value[t], "array<int>")
-        sent = placed.withColumn("other", F.explode(others("tile")))
-    else:
-        sent = placed.join(F.broadcast(with_whom), "tile")
+    sent = placed.join(_partners(placed, min(config.bounds, d), config), "tile")
     sent = sent.select(F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "node", "copies", "embedding")
 
     def tile_pair(keys: tuple, both: pa.Table) -> pa.Table:
@@ -160,6 +161,9 @@ def _compare(nodes: DataFrame, d: int, n: int, config: TileConfig) -> DataFrame:
 def near_vectors(vectors: DataFrame, config: TileConfig = TileConfig()) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding).
 
+    A row without a vec_id links with nothing, has no component and is kept. Rows that repeat a vec_id are vectors of their own,
+    each of which counts as a link; all rows whose vec_id is that of their component are kept.
+
     Links are the pairs with cosine at or over the threshold, all of them: every pair of tiles is compared whose bounds
     allow one. Vectors that are null, empty, zero or hold a null or a component that isn't finite link with nothing, as do
     vectors of different lengths with each other. Equal vectors become one node with a count before anything is compared;
@@ -182,9 +186,10 @@ def near_vectors(vectors: DataFrame, config: TileConfig = TileConfig()) -> DataF
     graph = components(found.where("parent IS NOT NULL").select(F.col("node").alias("a"), F.col("parent").alias("b")))
     known = nodes.join(counts, "node", "left").join(graph, "node", "left")
     known = known.select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(known, "embedding", "left")
+    out = rows.withColumn("embedding", F.when(F.col("vec_id").isNotNull(), F.col("embedding"))).join(known, "embedding", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(True))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import held_out, table, texts_of
+from quillstone.llm.common import fresh, held_out, others, table, texts_of
 
 UNKNOWN = "und"
 
@@ -18,13 +18,13 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class MixtureConfig:
     """buckets: hashed n-grams a table of each language holds (a power of 2). orders: lengths of the n-grams, in code points.
-    max_languages: languages learned at most, the most frequent ones; it bounds the model that is broadcast.
+    max_model_mb: a model that would be larger is refused by an error; no language is left out.
     penalty: log-likelihood a further language must add per language and log of n-grams, as in BIC.
     floor: a language of the chosen set has this share at least."""
 
     buckets: int = 1 << 16
     orders: tuple[int, ...] = (2, 3)
-    max_languages: int = 64
+    max_model_mb: int = 1024
     rounds: int = 12
     penalty: float = 0.5
     floor: float = 0.1
@@ -81,11 +81,15 @@ def fit(docs: DataFrame, config: MixtureConfig = MixtureConfig()) -> LanguageMod
     """Learn n-gram likelihoods of each language from all rows of docs (text, lang); rows with a null are left out.
 
     Tasks add up n-grams in arrays of fixed size, one for each language they meet, and send only those, so what is shuffled
-    is bounded by partitions x languages x buckets and what reaches the driver by max_languages x buckets.
+    is bounded by partitions x languages x buckets and what reaches the driver by languages x buckets. Every value of lang is
+    learned; so many that the model passes max_model_mb (some 1300 languages) raise a ValueError.
     """
     spark = docs.sparkSession
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.max_languages).collect()]
+    most = config.max_model_mb * (1 << 20) // (12 * config.buckets)
+    names = [r.lang for r in rows.select("lang").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} values of lang: raise max_model_mb or lower buckets")
     if not names:
         return LanguageModel([], np.zeros((config.buckets, 0), np.float32), config)
     names.sort()
@@ -107,8 +111,7 @@ def fit(docs: DataFrame, config: MixtureConfig = MixtureConfig()) -> LanguageMod
         return pd.DataFrame({"lang": [key[0]], "block": [key[1]], "counts": [np.asarray(total).tobytes()]})
 
     schema = "lang string, block int, counts binary"
-    known = rows.where(F.col("lang").isin(names))
-    found = known.mapInPandas(count, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
+    found = rows.mapInPandas(count, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
     counts = np.zeros((config.buckets, len(names)))
     step = config.buckets // 16
     for r in found:
@@ -186,10 +189,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for column in texts:
             yield pd.DataFrame([mixture(t, own) for t in column], columns=["lang_pred", "score", "lang_set", "lang_shares"])
 
-    out = texts_of(docs).withColumn("_mixture", guess(F.col("text")))
-    for name in ("lang_pred", "score", "lang_set", "lang_shares"):
-        out = out.withColumn(name, F.col(f"_mixture.{name}"))
-    return out.drop("_mixture")
+    new = ("lang_pred", "score", "lang_set", "lang_shares")
+    kept, own = others(docs, *new), fresh(docs, "mixture")
+    out = texts_of(docs).select(*kept, guess(F.col("text")).alias(own))
+    return out.select(*kept, *(F.col(own)[n].alias(n) for n in new))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

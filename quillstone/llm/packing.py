@@ -9,17 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillstone.llm.common import stored, table, texts_of, union_all
+from quillstone.llm.common import others, stored, table, texts_of, union_all
 
 
 @dataclass(frozen=True)
 class PackConfig:
-    """slack: bins with at most so much room are done. per_task: items that a task packs, about. fan_in: tasks of a round whose
-    underfull bins meet in one task of the next."""
+    """slack: bins with at most so much room are done. per_task: items that a task of the first round packs, about. fan_in: tasks
+    of a round whose underfull bins meet in one task of the next, which gets at most so many times per_task of them."""
 
     capacity: int = 4096
     slack: int = 16
@@ -73,9 +75,9 @@ class WordTokens:
         if _WHOLE(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > self.keep:
-            self.words.clear()
+            self.words = {}
         if len(self.parts) > self.keep:
-            self.parts.clear()
+            self.parts = {}
         words, known, long = text.lower().split(), self.words, {}
         for w in {*words}:
             if w not in known:
@@ -87,7 +89,8 @@ class WordTokens:
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, config: PackConfig = PackConfig()) -> DataFrame:
     """Pieces of at most the capacity of each document's ids, its end id included: the columns of docs but text, and piece,
-    start, length, ids (binary) and ids_crc32. Null and empty texts have one piece, which is their end id.
+    start, length, ids (binary) and ids_crc32, which replace columns of these names. Null and empty texts have one piece,
+    which is their end id.
 
     The tokenizer's file, which has a fixed size, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
@@ -105,8 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, config:
                 rows.append([(k, k * config.capacity, len(p) // 4, p, zlib.crc32(p)) for k, p in enumerate(parts)])
             yield pd.Series(rows)
 
-    others = [c for c in docs.columns if c not in ("text", "piece", "start", "length", "ids", "ids_crc32")]
-    return texts_of(docs).select(*others, F.explode(cut(F.col("text"))).alias("_p")).select(*others, "_p.*")
+    return texts_of(docs).select(*others(docs, "text", "piece", "start", "length", "ids", "ids_crc32"), F.inline(cut(F.col("text"))))
 
 
 # --- packing ------------------------------------------------------------------------------------------------------------
@@ -142,34 +144,27 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bins, places, fill
 
 
-_COLUMNS = "item long, total long, at long, done boolean"
-
-
 def _round(items: DataFrame, tasks: int, number: int, config: PackConfig) -> DataFrame:
-    """items: rows of item (rows with the same are one item), total (its size) and at (a row's place in it). Best-fit,
-    largest items first, in each task; the same rows with the bins as items, and done for those that are nearly full."""
-    keep = [c for c in items.columns if c not in ("item", "total", "at", "done")]
-    order = [F.desc("total"), "item", "at"]
-    dealt = items.repartition(tasks, F.xxhash64("item", F.lit(number))).sortWithinPartitions(*order)
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches], ignore_index=True) if (batches := [*batches]) else None
-        if rows is None or rows.empty:
+    """items: rows of _row (passed on), item (rows with the same are one item), total (its size) and at (a row's place in it).
+    Best-fit, largest items first, in each task; the same rows with the bins as items, and done for those that are nearly full."""
+    dealt = items.repartition(tasks, F.xxhash64("item", F.lit(number))).sortWithinPartitions(F.desc("total"), "item", "at")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches]) if (batches := [*batches]) else None
+        if rows is None or not rows.num_rows:
             return
-        item = rows["item"].to_numpy()
+        item, total, at = (rows.column(c).to_numpy() for c in ("item", "total", "at"))
         first = np.r_[True, item[1:] != item[:-1]]
-        bins, places, fill = best_fit(rows["total"].to_numpy()[first].tolist(), config.capacity)
+        bins, places, fill = best_fit(total[first].tolist(), config.capacity)
         own = np.cumsum(first) - 1
         b, base = np.array(bins)[own], np.array(places)[own]
-        rows["at"] += base
-        rows["total"] = np.array(fill)[b]
-        rows["item"] = (np.int64(number) << 56) + (np.int64(TaskContext.get().partitionId()) << 28) + b
-        rows["done"] = rows["total"] >= config.capacity - config.slack
-        for a in range(0, len(rows), 20_000):
-            yield rows.iloc[a : a + 20_000]
+        sums = np.array(fill)[b]
+        made = (np.int64(number) << 56) + (np.int64(TaskContext.get().partitionId()) << 28) + b
+        columns = [rows.column("_row"), *map(pa.array, (made, sums, at + base, sums >= config.capacity - config.slack))]
+        yield from pa.table(columns, names=["_row", "item", "total", "at", "done"]).to_batches(max_chunksize=20_000)
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in items.dtypes if c in keep)
-    return dealt.select(*keep, "item", "total", "at").mapInPandas(pack, f"{kinds}, {_COLUMNS}" if kinds else _COLUMNS)
+    kinds = StructType([items.schema["_row"]]).add("item", "long").add("total", "long").add("at", "long").add("done", "boolean")
+    return dealt.select("_row", "item", "total", "at").mapInArrow(pack, kinds)
 
 
 def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
@@ -177,15 +172,15 @@ def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
 
     pieces has length, from 1 to the capacity. Each task packs some tens of thousands of pieces by best fit; sequences that
     are nearly full are out, and the others meet those of other tasks as items of further rounds, until one task holds them
-    or a round joins none. What a round reads is a written table, so that a task that runs again packs the same. Equal rows
-    are packed each by itself. Columns named sequence_id and offset are replaced.
+    or a round joins fewer than one in fifty. What a round reads is a written table, so that a task that runs again packs the
+    same. Equal rows are packed each by itself. Columns named sequence_id and offset are replaced, all others pass.
     """
-    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset", "item", "total", "at", "done")]
-    now = stored(pieces.select(*keep, F.monotonically_increasing_id().alias("item"), F.col("length").cast("long").alias("total"), F.lit(0).cast("long").alias("at")), "pieces")
+    row = F.struct(*others(pieces, "sequence_id", "offset")).alias("_row")
+    now = stored(pieces.select(row, F.monotonically_increasing_id().alias("item"), F.col("length").cast("long").alias("total"), F.lit(0).cast("long").alias("at")), "pieces")
     count = now.count()
+    tasks = max(1, -(-count // config.per_task))
     out, number = [], 1
     while True:
-        tasks = max(1, -(-count // config.per_task))
         packed = stored(_round(now, tasks, number, config), f"packed-{number}")
         rest = packed.where("NOT done")
         left = rest.select("item").distinct().count()
@@ -193,9 +188,9 @@ def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
             out.append(packed)
             break
         out.append(packed.where("done"))
-        # at least fan_in tasks' bins meet in one
-        now, count, number = rest.drop("done"), min(left, -(-tasks // config.fan_in) * config.per_task), number + 1
-    return union_all(out).select(*keep, F.col("item").alias("sequence_id"), F.col("at").alias("offset"))
+        tasks = max(-(-tasks // config.fan_in), -(-left // (config.fan_in * config.per_task)), 1)
+        now, count, number = rest.drop("done"), left, number + 1
+    return union_all(out).select("_row.*", F.col("item").alias("sequence_id"), F.col("at").alias("offset"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

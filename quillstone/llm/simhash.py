@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, forest, stored, table, texts_of
+from quillstone.llm.common import components, forest, join_facts, stored, table, texts_of
 
 BYTES = 8
 
@@ -102,7 +102,7 @@ def link(classes: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFra
     """Edges (a, b) between nodes of classes (node, fp; each fp once) that connect what fingerprints' links connect.
 
     Posting lists are keyed by a triple of positions and the bytes there. Lists of one are dropped after a count that
-    combines on the map side. A list over the block size goes to pairs of blocks, so that no task gets all of it; lists
+    combines on the map side; keys of many fingerprints find theirs by a broadcast (join_facts). A list over the block size goes to pairs of blocks, so that no task gets all of it; lists
     yield forests, never all their pairs.
     """
     triples = index_positions()
@@ -115,9 +115,10 @@ def link(classes: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFra
 
     postings = classes.select("node", "fp", F.explode(F.array(*(key(t, k) for k, t in enumerate(triples)))).alias("key"))
     lists = postings.groupBy("key").count().where("count > 1")
+    total = len(triples) * classes.count()
     blocks = F.ceil(F.col("count") / config.block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    parts = postings.join(lists, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    parts = join_facts(postings, lists, ["key"], "count", total).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     parts = parts.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,9 +60,9 @@ class Terms:
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = {*(text or "").split()}
+        if len(self.known) > self.most:
+            self.known = {}
         known = self.known
-        if len(known) > self.most:
-            known.clear()
         for w in [w for w in words if w not in known]:
             known[w] = self.of(w)
         return np.array(sorted({*chain.from_iterable(map(known.__getitem__, words))}), np.int64)
