@@ -12,34 +12,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import held_out, table, texts_of
+from quillstone.llm.common import held_out, stored, table, texts_of
 
 
 @dataclass(frozen=True)
 class MachineConfig:
-    """max_rows: labelled rows fitted at most, drawn by a hash of their ids; the bound on what reaches the driver.
-    buckets: hashed terms. by_contrast, by_support: terms that get weights, for their contrast between the classes and for
-    their number of toxic rows (which may matter in pairs only). least_contrast: standard errors between the classes. factors: length of a term's vector."""
+    """max_rows, max_terms: labelled rows fitted at most, and hashed terms in them, drawn by hashes; the bound on what reaches the
+    driver. buckets: hashed terms, all of which have a weight and a vector. factors: length of a term's vector. rate_v: rate of
+    the vectors. full, floor: see _scale. decay, decay_v: pull of weights and vectors towards zero, when their terms occur."""
 
-    max_rows: int = 16_000
+    max_rows: int = 8_000
+    max_terms: int = 4_000_000
     buckets: int = 1 << 18
-    by_contrast: int = 3072
-    by_support: int = 1024
-    least_contrast: float = 2.5
     factors: int = 8
     epochs: int = 12
     batch: int = 256
     rate: float = 0.1
+    rate_v: float = 0.02
+    full: float = 4.0
+    floor: float = 0.05
     decay: float = 1e-4
+    decay_v: float = 1e-4
     seed: int = 7
     threshold: float = 0.3
 
 
 @dataclass
 class Machine:
-    """place: of a hashed term, its row in weights and vectors; -1 if it has none."""
+    """A bias, and a weight and a vector of each hashed term."""
 
-    place: np.ndarray
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
@@ -73,80 +74,94 @@ _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»“”‘’/\\_~`+=@^"
 
 def score_terms(terms: np.ndarray, m: Machine) -> float:
     """Probability of toxicity: bias, weights of the terms there, and the products of all pairs of their vectors."""
-    at = m.place[terms]
-    at = at[at >= 0]
-    v = m.vectors[at]
-    raw = m.bias + float(m.weights[at].sum()) + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v * v).sum())
+    v = m.vectors[terms]
+    raw = m.bias + float(m.weights[terms].sum()) + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v * v).sum())
     return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: MachineConfig = MachineConfig()) -> Machine:
-    """Learn from docs (doc_id, text) with labels (doc_id, toxic), of which about max_rows at most are drawn, by a hash of the
-    id; rows with a null are left out, and what the draw exceeds the bound by is cut off.
+    """Learn from docs (doc_id, text) with labels (doc_id, toxic). A document is toxic if any of its labels says so, and rows that
+    repeat a doc_id with its text are one; rows with a null are left out. About max_rows labels at most are drawn, by a hash of the
+    id, and of their documents so many that they hold about max_terms hashed terms, by a hash of the terms.
 
     The drawn labels, bounded so, are broadcast to the documents, which aren't shuffled; only hashed terms reach the driver.
     With rows of one class or none the machine is its bias alone.
     """
-    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic")
+    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).cast("int").alias("toxic"))
+    drawn = lambda key, part: F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(part * 1_000_003)
     part = config.max_rows / max(1, labels.count())
     if part < 1:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003))
+        labels = labels.where(drawn("doc_id", part))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(config.buckets)
         for pdf in batches:
-            yield pd.DataFrame({"terms": [terms(t).astype("<i4").tobytes() for t in pdf.text], "toxic": (pdf.toxic > 0).astype("int32")})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "terms": [terms(t).astype("<i4").tobytes() for t in pdf.text], "toxic": pdf.toxic})
 
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "toxic")
-    got = rows.mapInPandas(hashed, "terms binary, toxic int").toPandas()
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "toxic")
+    kept = stored(rows.mapInPandas(hashed, "doc_id long, terms binary, toxic int").distinct(), "labelled-terms")
+    held = kept.agg(F.sum(F.length("terms") / 4)).first()[0] or 0
+    part = config.max_terms / max(1, held)
+    got = (kept.where(drawn("terms", part)) if part < 1 else kept).select("terms", "toxic").toPandas()
     got = got.sort_values(["terms", "toxic"], kind="stable", ignore_index=True)
-    if len(got) > config.max_rows:
-        got = got.sample(config.max_rows, random_state=config.seed)
     return learn([np.frombuffer(t, "<i4") for t in got.terms], got.toxic.to_numpy(np.float32), config)
 
 
 def learn(docs: list[np.ndarray], y: np.ndarray, config: MachineConfig = MachineConfig()) -> Machine:
-    """Logistic loss by AdaGrad over mini-batches."""
-    place = np.full(config.buckets, -1, np.int32)
-    rate = (float(y.sum()) + 0.5) / (len(y) + 10)
-    none = Machine(place, float(np.log(rate / (1 - rate))), np.zeros(0, np.float32), np.zeros((0, config.factors), np.float32), config)
-    if not len(y) or y.min() == y.max():
-        return none
-    toxic, clean = np.zeros(config.buckets), np.zeros(config.buckets)
-    for terms, label in zip(docs, y):
-        (toxic if label else clean)[terms] += 1
-    a, b = toxic / y.sum(), clean / (len(y) - y.sum())
-    contrast = np.abs(a - b) / np.sqrt((toxic + clean + 1) / len(y) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    contrast[(toxic + clean < 3) | (contrast < config.least_contrast)] = 0
-    pick = np.argsort(-contrast, kind="stable")[: config.by_contrast]
-    pick = np.union1d(pick[contrast[pick] > 0], np.argsort(-toxic, kind="stable")[: min(config.by_support, int(y.sum()))])
-    place[pick] = np.arange(pick.size)
-    docs = [place[terms] for terms in docs]
-    docs = [own[own >= 0] for own in docs]
-
+    """Logistic loss by AdaGrad over mini-batches. A batch moves only the weights and vectors of its terms."""
+    share = (float(y.sum()) + 0.5) / (len(y) + 10)
     rng = np.random.default_rng(config.seed)
-    w, v, bias = np.zeros(pick.size, np.float32), rng.normal(0, 0.02, (pick.size, config.factors)).astype(np.float32), none.bias
-    gw, gv, gb = np.full(pick.size, 1e-3, np.float32), np.full(v.shape, 1e-3, np.float32), 1e-3
+    bias = float(np.log(share / (1 - share)))
+    if not sum(d.size for d in docs) or y.min() == y.max():
+        return Machine(bias, np.zeros(config.buckets, np.float32), np.zeros((config.buckets, config.factors), np.float32), config)
+    known, flat = np.unique(np.concatenate(docs), return_inverse=True)
+    docs = np.split(flat, np.cumsum([d.size for d in docs])[:-1])
+    scale = _scale(flat, np.repeat(y, [d.size for d in docs]), y, known.size, config)
+    w, v = np.zeros(known.size, np.float32), rng.normal(0, 0.02, (known.size, config.factors)).astype(np.float32)
+    gw, gv, gb = np.full(w.shape, 1e-3, np.float32), np.full(v.shape, 1e-3, np.float32), 1e-3
     for _ in range(config.epochs):
         order = rng.permutation(len(docs))
         for k in range(0, len(docs), config.batch):
             rows = order[k : k + config.batch]
-            x = np.zeros((rows.size, pick.size), np.float32)
-            for i, r in enumerate(rows):
-                x[i, docs[r]] = 1
-            s = x @ v
-            raw = bias + x @ w + 0.5 * ((s * s).sum(axis=1) - x @ (v * v).sum(axis=1))
+            sizes = np.array([docs[r].size for r in rows])
+            at, owner = np.concatenate([docs[r] for r in rows]), np.repeat(np.arange(rows.size), sizes)
+            full = sizes > 0
+            starts = (np.cumsum(sizes) - sizes)[full]
+
+            def by_row(values: np.ndarray) -> np.ndarray:
+                out = np.zeros((rows.size, *values.shape[1:]), np.float32)
+                out[full] = np.add.reduceat(values[at], starts)
+                return out
+
+            here = np.flatnonzero(np.bincount(at, minlength=known.size))
+            by_term = lambda x: (scale * np.bincount(at, weights=x[owner], minlength=known.size))[here].astype(np.float32)
+            own = scale[:, None] * v
+            s = by_row(own)
+            raw = bias + by_row(scale * w) + 0.5 * ((s * s).sum(axis=1) - by_row((own * own).sum(axis=1)))
             e = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) / rows.size
-            dw = e @ x + config.decay * w
-            dv = x.T @ (e[:, None] * s) - (e @ x)[:, None] * v + config.decay * v
+            sums = by_term(e)
+            dw = sums + config.decay * w[here]
+            dv = np.column_stack([by_term(e * c) for c in s.T]) - sums[:, None] * own[here] + config.decay_v * v[here]
             db = float(e.sum())
-            gw += dw * dw
-            gv += dv * dv
+            gw[here] += dw * dw
+            gv[here] += dv * dv
             gb += db * db
-            w -= config.rate * dw / np.sqrt(gw)
-            v -= 0.2 * config.rate * dv / np.sqrt(gv)
+            w[here] -= config.rate * dw / np.sqrt(gw[here])
+            v[here] -= config.rate_v * dv / np.sqrt(gv[here])
             bias -= config.rate * db / gb**0.5
-    return Machine(place, float(bias), w, v, config)
+    weights, vectors = np.zeros(config.buckets, np.float32), np.zeros((config.buckets, config.factors), np.float32)
+    weights[known], vectors[known] = scale * w, scale[:, None] * v
+    return Machine(float(bias), weights, vectors, config)
+
+
+def _scale(flat: np.ndarray, labels: np.ndarray, y: np.ndarray, n: int, config: MachineConfig) -> np.ndarray:
+    """Value of each term as a feature: the square of its contrast between the classes in standard errors over a full one,
+    between floor and 1. Terms that tell little learn slowly, but each can, by itself and in pairs."""
+    toxic, all_ = np.bincount(flat, weights=labels, minlength=n), np.bincount(flat, minlength=n)
+    m = y.sum()
+    apart = toxic / m - (all_ - toxic) / (len(y) - m)
+    error = np.sqrt((all_ + 1) / len(y) * (1 / m + 1 / (len(y) - m)))
+    return np.clip((apart / error / config.full) ** 2, config.floor, 1).astype(np.float32)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -191,6 +191,29 @@ def test_toxicity_learns_a_pair(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_toxicity_score_is_a_factorization_machine(spark):
+    """Bias, weights and the products of all pairs, summed one by one; a fit from hashed rows learns a pair of words."""
+    r = np.random.default_rng(3)
+    config = toxicity.MachineConfig(buckets=64, factors=3)
+    m = toxicity.Machine(-0.3, r.normal(size=64), r.normal(size=(64, 3)) / 3, config)
+    docs = spark.createDataFrame([(1, "one two three two"), (2, ""), (3, None), (3, "one")], "doc_id long, text string")
+    for row in toxicity.score(docs, m).collect():
+        terms = toxicity.Terms(64)(row.text).tolist()
+        raw = -0.3 + sum(m.weights[t] for t in terms) + sum(float(m.vectors[a] @ m.vectors[b]) for i, a in enumerate(terms) for b in terms[i + 1 :])
+        assert abs(row.score - 1 / (1 + np.exp(-raw))) < 1e-9 and row.predicted == int(row.score >= 0.3)
+
+
+def test_toxicity_labels_that_repeat_or_contradict_count_once(spark):
+    docs = spark.createDataFrame([(i, "bad word" if i % 3 == 0 else "nice word") for i in range(60)] + [(0, "bad word"), (7, None)], "doc_id long, text string")
+    once = [(i, int(i % 3 == 0)) for i in range(60)]
+    a = toxicity.fit(docs, spark.createDataFrame(once, "doc_id long, toxic int"))
+    b = toxicity.fit(docs, spark.createDataFrame([*once, *once, (3, 0), (6, 0)], "doc_id long, toxic int"))
+    assert a.bias == b.bias and (a.weights == b.weights).all() and (a.vectors == b.vectors).all()
+    long = spark.createDataFrame([(1, "nice " * 200_000), (2, "bad word"), (3, "nice word")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(long, a).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
 def test_toxicity_of_awkward_rows(spark, docs):
     nothing = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     got = toxicity.score(docs.withColumn("score", F.lit("old")), nothing).collect()
