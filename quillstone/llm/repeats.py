@@ -1,21 +1,32 @@
-"""Windows of a sequence that recur elsewhere: anchors, which both substring operators share.
+"""Windows of a sequence that recur elsewhere: anchors and stretches, which both substring operators share.
 
 Of the k-grams in a window, the one of least hash is its anchor (a minimizer): equal windows have equal anchors at equal
 places, so windows can only be equal if their anchors' k-grams are. Windows with the same anchor stand side by side; the
 units that they cover are the anchor's context. An anchor thus stands for all its windows with two hashes, of its k-gram (key)
 and of its context (ctx), of independent bases: anchors equal in both have equal windows, anchors equal in key alone may share
 some windows.
+
+Anchors only route: the stretches of text that they name are read again from every document and dealt to lots, and what an
+operator says of them it finds in their bytes. A stretch that is asked of a row by mistake, as two rows share an id, is thus
+harmless.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.llm.common import join_facts, stored, texts_of
+
 _INDEX = 20  # bits of a place within a stretch
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -115,41 +126,181 @@ def unplaced(place: int) -> tuple[int, int, int]:
     return place >> 16, place >> 8 & 255, place & 255
 
 
-def recurring(anchors: DataFrame, where: str, hot: DataFrame | None = None) -> DataFrame:
-    """Rows of anchors with what their key and their context are elsewhere, of keys that fulfil where.
+@dataclass(frozen=True)
+class Routing:
+    """How rows are dealt; none of it changes a result. shard: stretches of a lot that are held at a time, about. hot: a key with
+    more contexts than this is dealt window by window. rows: of one key in a lot, about. sample: one in so many documents is read
+    to find keys that may have over most rows."""
+
+    shard: int = 1000
+    hot: int = 2000
+    rows: int = 50_000
+    sample: int = 64
+    most: int = 100_000
+
+
+def anchors_of(docs: DataFrame, units: Callable[[], Callable[[bytes], np.ndarray]], window: int, k: int) -> DataFrame:
+    """Anchors of docs (doc, text); null texts have none. units() makes what turns a text into its units."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, unit = Sketch(window, k), units()
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for d, t in zip(batch.column("doc").to_pylist(), batch.column("text")):
+                a = sketch.anchors(unit(t.as_py().encode("utf-8", "replace")))
+                for c, x in zip(cols, (a.key, a.ctx, np.full(a.key.size, d, np.int64), placed(a))):
+                    c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "ctx", "doc", "place"])
 
-    Of a key: n (its anchors), lo and hi (its least and greatest doc), contexts (how many differ). Of a context: copies (its
-    anchors), last (its greatest doc), and first, true in one of its rows only, in its least doc. Keys are dealt out once and
-    aggregates read beside the rows, so that no second shuffle is needed. Rows of hot keys, a bounded set of keys with a large
-    part of all rows each, don't meet in one task: their aggregates combine on the map side and are joined to them.
+    return docs.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text").mapInArrow(read, ANCHORS)
+
+
+def recurring(anchors: DataFrame, where: str, routing: Routing, hot: DataFrame | None = None, first_doc: bool = False) -> DataFrame:
+    """Rows of anchors whose keys fulfil where, a condition on n (the key's anchors), lo and hi (its least and greatest doc).
+
+    With rep: whether it is the first or the last of its context, by doc and place, or (of keys with many contexts, if first_doc)
+    in its first document; copies: whether the context has others; many: whether the key has more contexts than routing.hot;
+    spread: lots that its key's rows go to (its context's, if many).
+    Keys are dealt out once and aggregates read beside the rows, so that no second shuffle is needed. Rows of hot keys, a bounded
+    set, don't meet in one task: their aggregates combine on the map side and are joined to them (join_facts).
     """
     cold = anchors if hot is None else anchors.join(F.broadcast(hot), "key", "left_anti")
+    at = F.struct("doc", "place")
+    ends = {"copies": F.count("*"), "least": F.min(at), "last": F.max(at)}
+    sums = {"n": F.count("*"), "lo": F.min("doc"), "hi": F.max("doc")}
     key, ctx = Window.partitionBy("key"), Window.partitionBy("key", "ctx")
-    least = F.min(F.struct("doc", "place"))
-    is_first = F.struct("doc", "place") == F.col("_least")
-    out = cold.repartition("key").withColumns({"n": F.count("*").over(key), "lo": F.min("doc").over(key), "hi": F.max("doc").over(key)}).where(where)
-    out = out.withColumns({"copies": F.count("*").over(ctx), "last": F.max("doc").over(ctx), "_least": least.over(ctx)}).withColumn("first", is_first)
-    out = out.withColumn("contexts", F.sum(F.col("first").cast("long")).over(key)).drop("_least")
-    if hot is None:
-        return out
-    own = anchors.join(F.broadcast(hot), "key", "left_semi")
-    by_ctx = own.groupBy("key", "ctx").agg(F.count("*").alias("copies"), F.max("doc").alias("last"), least.alias("_least"))
-    by_key = own.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).join(by_ctx.groupBy("key").agg(F.count("*").alias("contexts")), "key").where(where)
-    mine = own.join(by_ctx, ["key", "ctx"]).join(F.broadcast(by_key), "key").withColumn("first", is_first)
-    return out.unionByName(mine.select(*out.columns))
-
-
-def hot_keys(sample: DataFrame, part: float, least: int = 4096) -> DataFrame | None:
-    """Keys that hold over a part of the rows of a sample of anchors, at most 1 / part of them; None if there are none.
-
-    The sample decides only which way a key's rows take; either way gives the same result.
-    """
-    counts = sample.groupBy("key").count().where(F.col("count") >= least)
-    total = sample.count()
-    found = [(r.key,) for r in counts.where(F.col("count") > part * total).collect()]
+    out = cold.repartition("key").withColumns({c: f.over(key) for c, f in sums.items()}).where(where)
+    out = out.withColumns({c: f.over(ctx) for c, f in ends.items()})
+    out = out.withColumn("contexts", F.sum((at == F.col("least")).cast("long")).over(key))
+    if hot is not None:
+        own = stored(anchors.join(F.broadcast(hot), "key", "left_semi"), "hot-anchors")
+        by_ctx = stored(own.groupBy("key", "ctx").agg(*(f.alias(c) for c, f in ends.items())), "hot-contexts")
+        by_key = own.groupBy("key").agg(*(f.alias(c) for c, f in sums.items())).where(where)
+        by_key = by_key.join(by_ctx.groupBy("key").agg(F.count("*").alias("contexts")), "key")
+        mine = join_facts(own, by_ctx, ["key", "ctx"], "copies", own.count()).join(F.broadcast(by_key), "key")
+        out = out.unionByName(mine.select(*out.columns))
+    many = F.col("contexts") > routing.hot
+    lots = F.ceil(F.when(many, F.col("copies")).otherwise(F.col("n")) / routing.rows).cast("int")
+    rep = (at == F.col("least")) | (at == F.col("last"))
+    if first_doc:
+        rep = rep | (many & (F.col("doc") == F.col("least.doc")))
+    return out.select("key", "ctx", "doc", "place", rep.alias("rep"), (F.col("copies") > 1).alias("copies"), many.alias("many"), lots.alias("spread"))
+
+
+def hot_keys(sample: DataFrame, routing: Routing) -> DataFrame | None:
+    """Keys that may hold over routing.most rows of all anchors, judged by a sample; None if there are none. At most 100,000 keys,
+    which are those over a 100,000th of all rows where more pass the bound."""
+    counts = sample.groupBy("key").count()
+    least = max(routing.most // routing.sample, sample.count() // 100_000)
+    found = [(r.key,) for r in counts.where(F.col("count") > least).select("key").collect()]
     return sample.sparkSession.createDataFrame(found, "key long") if found else None
 
 
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of docs with z, their text compressed for the shuffle, and row, a hash of it; null counts as empty."""
+
+    @F.pandas_udf("z binary, row long")
+    def press(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=1)
+        for column in texts:
+            raw = [(t or "").encode("utf-8", "replace") for t in column]
+            rows = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
+            yield pd.DataFrame({"z": [z.compress(x) for x in raw], "row": rows})
+
+    kept = [c for c in docs.columns if c != text]
+    return texts_of(docs).select(*kept, press(F.col(text)).alias("_z")).select(*kept, "_z.z", "_z.row")
+
+
+STRETCHES = "key long, salt int, rep boolean, window boolean, doc long, row long, place long, part binary"
+_KINDS = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_NAMES = [c.split()[0] for c in STRETCHES.split(", ")]
+
+
+def stretches(docs: DataFrame, found: DataFrame, units: Callable[[bytes], Sequence], part: Callable[[Sequence], bytes], window: int) -> DataFrame:
+    """What the rows found by recurring stand for, read from every row of docs (doc, text): key, salt, doc, row (a hash of the
+    text), place and part, the stretch's own bytes; rep and window (a single window, by its own hash) as follows.
+
+    A key's stretches go to as many salts as spread says, those of its first and last of each context (rep) to all of them. Of keys
+    with many contexts, a context's copies have a key of their own, and its reps go besides as single windows, each under its hash:
+    equal windows meet however many contexts there are. A stretch that reaches beyond the text is left out: it was asked of
+    another row of that id.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, row, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "z", "asked"))):
+                own = units(z.decompress(text))
+                for x in asked:
+                    place, rep, many, spread = x["place"], x["rep"], x["many"], x["spread"]
+                    at, n, shift = unplaced(place)
+                    if at + n + window - 1 > len(own):
+                        continue
+                    if not many or x["copies"]:
+                        key = x["key"] ^ x["ctx"] if many else x["key"]
+                        one = part(own[at : at + n + window - 1])
+                        for salt in range(spread) if rep else (row % spread,):
+                            rows.append((key, salt, rep, False, doc, row, place, one))
+                    if many and rep:
+                        for j in range(at, at + n):
+                            one = part(own[j : j + window])
+                            rows.append((_signed(xxhash.xxh3_64_intdigest(one)), 0, True, True, doc, row, (j << 16) | (1 << 8), one))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+
+    asked = found.groupBy("doc").agg(F.collect_set(F.struct("key", "ctx", "place", "rep", "copies", "many", "spread")).alias("asked"))
+    texts = packed(docs.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text"))
+    return texts.join(asked, "doc").select("doc", "row", "z", "asked").mapInArrow(cut, STRETCHES)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def split_windows(parts: DataFrame, routing: Routing, most: int = 256) -> DataFrame:
+    """parts, a table of stretches, in which single windows that stand in very many rows go to several salts, those of the first
+    document to each. At most so many windows are split, those over a share of all windows where there are more."""
+    counts = parts.where("window").groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+    total = parts.where("window").count()
+    least = max(routing.rows, total // most)
+    hot = counts.where(F.col("n") > least).collect()
+    if not hot:
+        return parts
+    facts = F.create_map(*(F.lit(x).cast("long") for r in hot for x in (r.key, r["first"])))
+    lots = F.create_map(*(x for r in hot for x in (F.lit(r.key).cast("long"), F.lit(-(-r.n // routing.rows)).cast("int"))))
+    own = F.element_at(lots, F.col("key"))
+    salts = F.when(F.element_at(facts, F.col("key")) == F.col("doc"), F.sequence(F.lit(0), own - 1)).otherwise(F.array(F.pmod("row", own).cast("int")))
+    salts = F.when(F.col("window") & F.col("key").isin([r.key for r in hot]), salts).otherwise(F.array("salt"))
+    return parts.withColumn("salt", F.explode(salts))
+
+
+def dealt(docs: DataFrame, every: DataFrame, sampled: DataFrame, where: str, units, part, window: int, routing: Routing, first_doc: bool = False) -> DataFrame:
+    """Stretches of docs (doc, text) by lots: a lot is in one partition, its reps first, and has about routing.shard of them."""
+    spark = docs.sparkSession
+    found = stored(recurring(every, where, routing, hot_keys(stored(sampled, "sampled"), routing), first_doc), "recurring")
+    held = F.when(F.col("many"), F.shiftright("place", 8).bitwiseAND(F.lit(255))).otherwise(F.col("spread"))
+    reps, many = found.where("rep").agg(F.sum(held), F.count_if("many")).first()
+    parts = stretches(docs, found, units, part, window)
+    if many:  # read twice
+        parts = split_windows(stored(parts, "stretches"), routing)
+    lots = max(1, (reps or 0) // routing.shard)
+    tasks = max(1, min(lots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = parts.withColumn("key", F.xxhash64("key", "salt"))  # reps that went to several salts don't meet
+    parts = parts.select(F.pmod("key", F.lit(lots)).cast("int").alias("lot"), "key", "rep", "doc", "row", "place", "part")
+    return parts.repartition(tasks, "lot").sortWithinPartitions("lot", F.desc("rep"))
+
+
+def lots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of dealt batches, as tuples (lot, key, rep, doc, row, place, part)."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("lot", "key", "rep", "doc", "row", "place", "part")))
+
+
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     """Which of n units the windows at starts cover."""
     marks = np.zeros(n + 1, np.int64)

@@ -1,44 +1,37 @@
 """Operator 9: substring dedup by automata of recurring passages.
 
-Anchors (see repeats) tell which passages may recur in other documents. Their words, once for each distinct passage, go to
-shards; each shard confirms the windows that two documents hold, compiles them into an Aho-Corasick automaton over words, and
-streams the passages of its documents through it, which locates every occurrence. Windows of keys with very many passages are
-grouped by a 128-bit digest instead. What each occurrence means for a document
-(does an earlier one hold the same?) is joined back to all documents.
+Anchors (see repeats) tell which passages may recur in other documents. The passages of every document go to the shard of their
+anchor. A shard confirms the windows that two of its documents hold, by their words, compiles them into an Aho-Corasick automaton
+over words, and then streams the passages of all documents through it, which locates every occurrence and tells the first document
+that holds it. What it finds is joined back to the documents.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillstone.llm.common import WORD_BYTES, stored, table, texts_of
-from quillstone.llm.repeats import ANCHORS, Sketch, covered, hot_keys, placed, recurring, unplaced
+from quillstone.llm.common import WORD_BYTES, others, table
+from quillstone.llm.repeats import Routing, anchors_of, covered, dealt, lots_of, packed, unplaced
 
 
 @dataclass(frozen=True)
 class PassageConfig:
-    """window: words that must recur in a row. k: words of an anchor's k-gram. shard: passages of an automaton, about. hot: a
-    key with more distinct passages than this has its windows grouped, not compiled. sample: one in so
-    many documents is read to find keys that hold over hot_part of all anchors."""
+    """window: words that must recur in a row. k: words of an anchor's k-gram. routing: see repeats."""
 
     window: int = 13
     k: int = 4
-    shard: int = 2000
-    hot: int = 2000
-    sample: int = 64
-    hot_part: float = 0.002
+    routing: Routing = field(default_factory=Routing)
 
 
 class Words:
@@ -47,162 +40,107 @@ class Words:
     def __init__(self, keep: int = 200_000) -> None:
         self.known, self.keep = {}, keep
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = text.split()
+        if len(self.known) > self.keep:
+            self.known = {}
         known = self.known
-        if len(known) > self.keep:
-            known.clear()
         for w in {*words}:
             if w not in known:
                 known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def packed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of docs with z, their text compressed for the shuffle; null counts as empty."""
+class Phrases:
+    """Automaton of the windows that two of the documents of passages (words, doc) hold; each tells the first of those."""
 
-    @F.pandas_udf("binary")
-    def press(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        z = zstandard.ZstdCompressor(level=1)
-        for column in texts:
-            yield column.map(lambda t: z.compress((t or "").encode("utf-8", "replace")))
-
-    return texts_of(docs).withColumn("z", press(F.col(text))).drop(text)
-
-
-def _anchors(docs: DataFrame, config: PassageConfig) -> DataFrame:
-    """Anchors of docs (doc_id, text)."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, words = Sketch(config.window, config.k), Words()
-        for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                a = sketch.anchors(words(t.as_py().encode("utf-8", "replace").split()))
-                for c, x in zip(cols, (a.key, a.ctx, np.full(a.key.size, d, np.int64), placed(a))):
-                    c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "ctx", "doc", "place"])
-
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(read, ANCHORS)
-
-
-def _segments(docs: DataFrame, wanted: DataFrame, shards: int, config: PassageConfig) -> DataFrame:
-    """Words of the wanted passages (doc, key, ctx, place, last, hot), each read from its document doc, the first that has it.
-    Of hot keys each window is a row without shard or words, but with a digest."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        w = config.window
-        for batch in batches:
-            rows: list[tuple] = []
-            for d, text, asked in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "z", "asked"))):
-                words = z.decompress(text).split()
-                for x in asked:
-                    at, n, _ = unplaced(x["place"])
-                    if at + n + w - 1 > len(words):
-                        continue  # asked of another document with the same id
-                    if not x["hot"]:
-                        rows.append((x["key"] % shards, x["key"], x["ctx"], 0, b" ".join(words[at : at + n + w - 1]), d, x["last"], None))
-                        continue
-                    for j in range(n):
-                        one = b" ".join(words[at + j : at + j + w])
-                        rows.append((None, x["key"], x["ctx"], j, None, d, x["last"], hashlib.blake2b(one, digest_size=16).digest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*_KINDS, pa.binary()])], names=[*_NAMES, "digest"])
-
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place", "last", "hot")).alias("asked"))
-    texts = packed(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
-    joined = texts.join(asked, texts.doc_id == asked.doc).select("doc_id", "z", "asked")
-    return joined.mapInArrow(cut, "shard int, key long, ctx long, at int, words binary, lo long, hi long, digest binary")
-
-
-_NAMES = ["shard", "key", "ctx", "at", "words", "lo", "hi"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-
-
-def _locate(segments: DataFrame, tasks: int, config: PassageConfig) -> DataFrame:
-    """(key, ctx, at, firsts): of each window of a passage, the first document that holds it; null where no other does."""
-    w = config.window
-
-    def shard(rows: list[tuple]) -> tuple[list, list, list, list]:
-        number: dict[bytes, int] = {}
-        texts = [[number.setdefault(x, len(number)) for x in r[3].split()] for r in rows]
+    def __init__(self, passages: list[tuple[bytes, int]], window: int) -> None:
+        self.window, self.number = window, {}
+        ends: dict[bytes, tuple[int, int]] = {}
+        for words, doc in passages:
+            lo, hi = ends.get(words, (doc, doc))
+            ends[words] = (min(lo, doc), max(hi, doc))
         held: dict[tuple, tuple[int, int]] = {}
-        for ids, r in zip(texts, rows):
-            lo, hi = r[4], r[5]
-            for j in range(len(ids) - w + 1):
-                window = tuple(ids[j : j + w])
-                a, b = held.get(window, (lo, hi))
-                held[window] = (a if a < lo else lo, b if b > hi else hi)
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        some = False
-        for window, (lo, hi) in held.items():
+        number = self.number
+        for words, (lo, hi) in ends.items():
+            ids = [number.setdefault(x, len(number) + 1) for x in words.split()]
+            for j in range(len(ids) - window + 1):
+                key = tuple(ids[j : j + window])
+                a, b = held.get(key, (lo, hi))
+                held[key] = (a if a < lo else lo, b if b > hi else hi)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, (lo, hi) in held.items():
             if lo < hi:
-                machine.add_word(window, lo)
-                some = True
-        firsts: list[list] = [[None] * (len(ids) - w + 1) for ids in texts]
-        if some:
-            machine.make_automaton()
-            for ids, out in zip(texts, firsts):
-                for end, lo in machine.iter(tuple(ids)):
-                    out[end - w + 1] = lo
-        keys, ctxs, ats, _, _, _ = zip(*rows)
-        return list(keys), list(ctxs), list(ats), firsts
+                self.machine.add_word(key, lo)
+        self.some = len(self.machine) > 0
+        if self.some:
+            self.machine.make_automaton()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for s, *row in zip(*(batch.column(n).to_pylist() for n in _NAMES)):
-                if s != now and rows:
-                    yield _found(shard(rows))
-                    rows = []
-                now = s
-                rows.append(tuple(row))
-        if rows:
-            yield _found(shard(rows))
-
-    dealt = segments.repartition(tasks, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "key long, ctx long, at int, firsts array<long>")
+    def bits(self, words: bytes, doc: int) -> int:
+        """A bit for each window of a passage of doc: whether an earlier document holds it."""
+        if not self.some:
+            return 0
+        out, number = 0, self.number
+        for end, first in self.machine.iter(tuple([number.get(x, 0) for x in words.split()])):
+            if first < doc:
+                out |= 1 << (end - self.window + 1)
+        return out
 
 
-def _grouped(windows: DataFrame) -> DataFrame:
-    """(key, ctx, at, firsts) as of _locate, of the windows of hot keys (key, ctx, at, lo, hi, digest).
+MARKS = "doc long, row long, place long, bits long"
 
-    Equal windows are grouped on the map side: one that stands in many passages is a row of each task. Both sides of the join
-    are tables, so that Spark can split a digest with many rows."""
-    least = windows.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    firsts = stored(least.select("digest", F.col("lo").alias("first")), "first-documents")
-    return windows.join(firsts, "digest", "left").select("key", "ctx", "at", F.array("first").alias("firsts"))
 
+def _located(parts: DataFrame, config: PassageConfig) -> DataFrame:
+    """MARKS of dealt stretches: those with windows that an earlier document holds."""
 
-def _found(columns: tuple[list, list, list, list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "ctx", "at", "firsts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reps, phrases = None, [], None
+        out: list[tuple] = []
+
+        def stream(doc: int, row: int, place: int, words: bytes) -> None:
+            bits = phrases.bits(words, doc)
+            if bits:
+                out.append((doc, row, place, bits))
+
+        def confirmed() -> None:
+            """Compile the lot's reps, which are documents' passages as well."""
+            nonlocal phrases
+            phrases = Phrases([(words, doc) for doc, _, _, words in reps], config.window)
+            for r in reps:
+                stream(*r)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "row", "place", "bits"])
+
+        for lot, _, rep, *row in lots_of(batches):
+            if lot != now:
+                if phrases is None and reps:
+                    confirmed()
+                now, reps, phrases = lot, [], None
+            if rep:
+                reps.append(tuple(row))
+                continue
+            if phrases is None:
+                confirmed()
+            stream(*row)
+            if len(out) > 20_000:
+                yield batch_of(out)
+                out = []
+        if phrases is None and reps:
+            confirmed()
+        if out:
+            yield batch_of(out)
+
+    return parts.mapInArrow(run, MARKS)
 
 
 def passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """(doc_id, marks): of documents with windows that an earlier document holds, places and a bit for each such window."""
-    every = _anchors(docs, config)
-    sampled = _anchors(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(config.sample)) == 0), config)
-    hot = hot_keys(stored(sampled, "sampled"), config.hot_part)
-    found = stored(recurring(every, "lo < hi", hot).select("key", "ctx", "doc", "place", "last", "first", (F.col("contexts") > config.hot).alias("hot")), "recurring")
-    wanted = found.where("first").select("doc", "key", "ctx", "place", "last", "hot")
-    cold, dealt = wanted.agg(F.count_if(~F.col("hot")), F.count_if("hot")).first()
-    shards = max(1, cold // config.shard)
-    tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    segments = _segments(docs, wanted, shards, config)
-    if dealt:  # read twice
-        segments = stored(segments, "segments")
-    located = _locate(segments.where("digest IS NULL"), tasks, config)
-    if dealt:
-        located = located.unionByName(_grouped(segments.where("digest IS NOT NULL").select("key", "ctx", "at", "lo", "hi", "digest")))
-    # of a context one row again, with the first document of each of its windows in order
-    whole = located.groupBy("key", "ctx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "firsts"))), lambda x: x.firsts)).alias("firsts"))
-    named = found.select("key", "ctx", "doc", "place").join(whole, ["key", "ctx"])
-    bit = lambda first, i: F.when(first < F.col("doc"), F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long"))
-    named = named.withColumn("bits", F.aggregate(F.transform("firsts", bit), F.lit(0).cast("long"), lambda a, b: a + b)).where("bits > 0")
-    return named.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
+    """(doc, row, marks): of documents (doc, text) with windows that an earlier one holds, places and a bit for each such window;
+    row is a hash of the text."""
+    sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(config.routing.sample)) == 0)
+    every, sampled = (anchors_of(d, Words, config.window, config.k) for d in (docs, sample))
+    parts = dealt(docs, every, sampled, "lo < hi", bytes.split, b" ".join, config.window, config.routing, first_doc=True)
+    return _located(parts, config).groupBy("doc", "row").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 
 def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
@@ -211,15 +149,16 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
     Removed is each word of a window of so many words whose sequence also starts in a document with a smaller doc_id, all
     judged on the input. clean_text has the runs of kept words as they stand in the text, with a line break between runs; a
     text that loses nothing stays as it is. Null text counts as empty and stays null as clean_text. Rows without a doc_id
-    neither lose words nor cause losses; a doc_id stands for one text: rows that repeat it are the same document, of which neither is earlier.
-    Columns with the new names are replaced, others pass.
+    neither lose words nor cause losses. Of rows that repeat a doc_id, whatever their texts, neither is earlier than the other, and
+    each loses what documents of smaller ids hold. Columns with the new names are replaced, all others pass.
     """
     new = ("n_words", "n_removed", "kept_words", "clean_text")
-    others = [c for c in docs.columns if c not in (*new, "text")]
-    marks = passages(docs.select("doc_id", "text"), config)
-    texts = packed(docs.select(F.struct(*others).alias("_row"), "doc_id", "text", F.col("text").isNull().alias("_null")))
-    joined = texts.join(marks, "doc_id", "left").select("_row", "z", "_null", "marks")
-    kinds = [*(f"`{c}` {t}" for c, t in docs.dtypes if c in others), "text string", "n_words long", "n_removed long", "kept_words string", "clean_text string"]
+    kept = [c for c in docs.columns if c not in (*new, "text")]
+    marks = passages(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), config)
+    texts = packed(docs.select(F.struct(*others(docs, *new, "text")).alias("_row"), F.col("doc_id").cast("long").alias("doc"), "text", F.col("text").isNull().alias("_null")))
+    joined = texts.join(marks, ["doc", "row"], "left").select("_row", "z", "_null", "marks")
+    kinds = StructType([docs.schema[c] for c in kept]).add("text", "string").add("n_words", "long").add("n_removed", "long").add("kept_words", "string").add("clean_text", "string")
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     word = re.compile(WORD_BYTES)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +177,12 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
                 spans = [m.span() for m in word.finditer(raw)]
                 edges = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True])).astype(np.int8)))
                 runs = [raw[spans[x][0] : spans[y - 1][1]] for x, y in edges.reshape(-1, 2).tolist()]
-                kept = b" ".join(x for x, g in zip(words, gone.tolist()) if not g)
-                rows.append((whole, len(words), int(gone.sum()), kept.decode("utf-8", "replace"), b"\n".join(runs).decode("utf-8", "replace")))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*others, "text", *new])
+                left = b" ".join(x for x, g in zip(words, gone.tolist()) if not g)
+                rows.append((whole, len(words), int(gone.sum()), left.decode("utf-8", "replace"), b"\n".join(runs).decode("utf-8", "replace")))
+            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, types)]
+            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*kept, "text", *new])
 
-    return joined.mapInArrow(clean, ", ".join(kinds))
+    return joined.mapInArrow(clean, kinds)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

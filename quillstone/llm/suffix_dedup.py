@@ -1,40 +1,35 @@
 """Operator 7: dedup of repeated byte strings by suffix sorting.
 
 Anchors (see repeats) tell which stretches may hold a string that starts elsewhere too. The suffixes that start at their
-windows are sorted, bucket by bucket, by a mergesort whose comparisons find the common extension of two suffixes by binary
+windows are sorted, shard by shard, by a mergesort whose comparisons find the common extension of two suffixes by binary
 search over prefix polynomial hashes; neighbours in order whose extension reaches the length are repeats, which their bytes
-confirm. Windows of keys with very many contexts are counted by a 128-bit digest instead. Which positions start a repeat is
-joined back to all documents.
+confirm. Copies of a stretch are told by their bytes; two of them are sorted, so that they stand side by side. Which positions
+start a repeat is joined back to the documents.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from quillstone.llm.common import stored, table
-from quillstone.llm.repeats import ANCHORS, Powers, Prefixes, Sketch, covered, hot_keys, mixed, placed, recurring, unplaced
-from quillstone.llm.substring_dedup import packed
+from quillstone.llm.common import others, table
+from quillstone.llm.repeats import Powers, Prefixes, Routing, anchors_of, covered, dealt, lots_of, mixed, packed, unplaced
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """length: bytes of a string that counts. k: bytes of an anchor's k-gram. shard: contexts sorted at a time, about. hot: a key
-    with more distinct contexts than this has its windows counted, not sorted. sample, hot_part: see repeats.hot_keys."""
+    """length: bytes of a string that counts. k: bytes of an anchor's k-gram. routing: see repeats."""
 
     length: int = 200
     k: int = 50
-    shard: int = 1000
-    hot: int = 1000
-    sample: int = 64
-    hot_part: float = 0.002
+    routing: Routing = field(default_factory=Routing)
 
 
 #: A 64-bit unit for each byte.
@@ -48,16 +43,20 @@ def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, grou
     A bottom-up mergesort, all groups and runs of a level at once: a suffix's place in the merger of two runs is its place in
     its own run plus its rank in the other, which a binary search finds. Each comparison is a binary search for the common
     extension over the hashes, then one byte. Agreement of neighbours is held against the bytes, so that a collision of
-    hashes can't make a repeat.
+    hashes can't make a repeat; a group in which one shows is sorted again by its bytes, so that it can't hide one either.
     """
 
     def extension(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        low, high = np.zeros(a.size, np.int64), np.full(a.size, length)
-        while (active := low < high).any():
+        e = np.full(a.size, length)
+        apart = np.flatnonzero(prefixes.of(a, length) != prefixes.of(b, length))
+        a, b = a[apart], b[apart]
+        low, high = np.zeros(apart.size, np.int64), np.full(apart.size, length - 1)
+        for _ in range(length.bit_length()):
             mid = (low + high + 1) // 2
             same = prefixes.of(a, mid) == prefixes.of(b, mid)
-            low, high = np.where(active & same, mid, low), np.where(active & ~same, mid - 1, high)
-        return low
+            low, high = np.where(same, mid, low), np.where(same, high, np.maximum(low, mid - 1))
+        e[apart] = low
+        return e
 
     def before(a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
         """Whether suffix a stands before suffix b; equal ones do if ties."""
@@ -96,156 +95,104 @@ def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, grou
         width *= 2
     agrees = np.zeros(order.size, bool)
     if order.size > 1:
-        a, b = starts[order[:-1]], starts[order[1:]]
-        near = np.flatnonzero((group[1:] == group[:-1]) & (extension(a, b) == length))
-        for k in range(0, near.size, 4096):
-            some = near[k : k + 4096]
-            span = np.arange(length)
-            agrees[some + 1] = (data[a[some][:, None] + span] == data[b[some][:, None] + span]).all(axis=1)
+        alike = np.flatnonzero((group[1:] == group[:-1]) & (extension(starts[order[:-1]], starts[order[1:]]) == length))
+        same = _equal_bytes(data, starts[order[alike]], starts[order[alike + 1]], length)
+        agrees[alike[same] + 1] = True
+        for g in np.unique(group[alike[~same]]).tolist():  # hashes that collide: the group is sorted by its bytes
+            at = np.flatnonzero(group == g)
+            order[at] = sorted(order[at].tolist(), key=lambda k: data[starts[k] : starts[k] + length].tobytes())
+            agrees[at[1:]] = _equal_bytes(data, starts[order[at[:-1]]], starts[order[at[1:]]], length)
     return order, agrees
 
 
-def _anchors(docs: DataFrame, config: SuffixConfig) -> DataFrame:
-    """Anchors of docs (_doc, text)."""
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    out, span = np.zeros(a.size, bool), np.arange(length)
+    for k in range(0, a.size, 4096):
+        out[k : k + 4096] = (data[a[k : k + 4096, None] + span] == data[b[k : k + 4096, None] + span]).all(axis=1)
+    return out
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(config.length, config.k)
-        for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for d, t in zip(batch.column("_doc").to_pylist(), batch.column("text")):
-                a = sketch.anchors(_UNITS[np.frombuffer(t.as_py().encode("utf-8", "replace"), np.uint8)])
-                for c, x in zip(cols, (a.key, a.ctx, np.full(a.key.size, d, np.int64), placed(a))):
-                    c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "ctx", "doc", "place"])
-
-    return docs.where("text IS NOT NULL").select("_doc", "text").mapInArrow(read, ANCHORS)
 
+def _units(text: bytes) -> np.ndarray:
+    return _UNITS[np.frombuffer(text, np.uint8)]
 
-def _contexts(docs: DataFrame, wanted: DataFrame, shards: int, config: SuffixConfig) -> DataFrame:
-    """Bytes of the wanted contexts (doc, key, ctx, place, copied, hot), each read from its document doc. A context is one row of
-    its key's shard; of hot keys each window is a row without shard or bytes, but with a digest."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows: list[tuple] = []
-            for text, asked in zip(*(batch.column(n).to_pylist() for n in ("z", "asked"))):
-                raw = z.decompress(text)
-                for x in asked:
-                    at, n, shift = unplaced(x["place"])
-                    key, ctx = x["key"], x["ctx"]
-                    if not x["hot"]:
-                        rows.append((key % shards, key, ctx, 0, shift, x["copied"], raw[at : at + n + config.length - 1], None))
-                        continue
-                    for j in range(n):
-                        one = raw[at + j : at + j + config.length]
-                        rows.append((None, key, ctx, j, shift - j, x["copied"], None, hashlib.blake2b(one, digest_size=16).digest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*_KINDS, pa.binary()])], names=[*_NAMES, "digest"])
-
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place", "copied", "hot")).alias("asked"))
-    texts = packed(docs.where("text IS NOT NULL").select(F.col("_doc").alias("doc"), "text"))
-    return texts.join(asked, "doc").select("z", "asked").mapInArrow(cut, "shard int, key long, ctx long, at int, shift int, copied boolean, bytes binary, digest binary")
-
-
-_NAMES = ["shard", "key", "ctx", "at", "shift", "copied", "bytes"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-
-
-def _repeats(rows: list[tuple], length: int) -> list[bytes]:
-    """Of each row (key, ctx, at, shift, copied, bytes), a bit for each window: whether its string starts elsewhere too.
-
-    Windows can only be equal if their anchors stand at the same place in them, so suffixes are sorted in groups of one key
-    and one place. A context that is there twice (copied) makes repeats of all its windows, and of their equals."""
-    raw = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-    sizes = np.array([len(r[5]) for r in rows])
-    offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+def repeated_windows(stretches: list[tuple[tuple, bytes]], length: int) -> list[np.ndarray]:
+    """Of each stretch (group, bytes), of each window whether its string starts elsewhere too; group tells the key and the place of
+    the anchor. Windows can only be equal if their anchors stand at the same place in them, so suffixes are sorted in groups."""
+    raw = np.frombuffer(b"".join(s for _, s in stretches), np.uint8)
+    sizes = np.array([len(s) for _, s in stretches])
+    offsets = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
-    owner = np.repeat(np.arange(len(rows)), windows)
-    j = np.arange(owner.size) - np.repeat(np.cumsum(windows) - windows, windows)
-    keys = np.array([r[0] for r in rows], np.int64)
-    shift = np.array([r[3] for r in rows])[owner] - j
-    _, group = np.unique(np.stack((keys[owner], shift)), axis=1, return_inverse=True)
-    starts = offsets[owner] + j
-    order, agrees = sort_suffixes(Prefixes(_UNITS[raw], Powers(0xD6E8FEB86659FD93)), raw, starts, group.ravel(), length)
-    classes = np.cumsum(~agrees) - 1
-    times = np.bincount(classes, weights=1 + np.array([bool(r[4]) for r in rows])[owner[order]])
-    repeated = np.zeros(owner.size, bool)
-    repeated[order] = times[classes] > 1
     ends = np.cumsum(windows)
-    return [np.packbits(repeated[e - n : e], bitorder="little").tobytes() for e, n in zip(ends.tolist(), windows.tolist())]
-
+    owner = np.repeat(np.arange(sizes.size), windows)
+    j = np.arange(owner.size) - np.repeat(ends - windows, windows)
+    keys, shifts = np.array([g for g, _ in stretches], np.int64).T
+    _, group = np.unique(np.stack((keys[owner], shifts[owner] - j)), axis=1, return_inverse=True)
+    order, agrees = sort_suffixes(Prefixes(_UNITS[raw], Powers(0xD6E8FEB86659FD93)), raw, offsets[owner] + j, group.ravel(), length)
+    again = agrees.copy()
+    again[:-1] |= agrees[1:]
+    found = np.zeros(owner.size, bool)
+    found[order] = again
+    return np.split(found, ends[:-1])
+
+
+MARKS = "doc long, row long, place long, bits binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _located(parts: DataFrame, config: SuffixConfig) -> DataFrame:
+    """MARKS of dealt stretches: a bit for each window whose string starts elsewhere too, null if all do. Of a lot, each distinct
+    stretch is held once; it is sorted twice if several places have it."""
+
+    def done(lot: dict[tuple, list[tuple]]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        entries = [(k, who) for k, who in lot.items() for _ in who[:2]]
+        bits = repeated_windows([((key, shift), part) for (key, shift, part), _ in entries], config.length)
+        last = None
+        for (_, who), found in zip(entries, bits):
+            if who is not last and found.any():
+                own = None if found.all() else np.packbits(found, bitorder="little").tobytes()
+                rows += [(*w, own) for w in who]
+            last = who
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, _KINDS)], names=["doc", "row", "place", "bits"])
 
-def _located(contexts: DataFrame, tasks: int, config: SuffixConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-
-        def done() -> pa.RecordBatch:
-            keys, ctxs, ats, *_ = zip(*rows)
-            bits = _repeats(rows, config.length)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, ctxs, ats, bits), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "ctx", "at", "bits"])
-
-        for batch in batches:
-            for s, *row in zip(*(batch.column(n).to_pylist() for n in _NAMES)):
-                if s != now and rows:
-                    yield done()
-                    rows = []
-                now = s
-                rows.append(tuple(row))
-        if rows:
-            yield done()
-
-    return contexts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "key long, ctx long, at int, bits binary")
-
-
-def _counted(windows: DataFrame) -> DataFrame:
-    """(key, ctx, at, bits): of windows of hot keys (key, ctx, at, copied, digest), a bit: whether its string starts elsewhere too.
+        now, lot = None, {}
+        for number, key, _, doc, row, place, part in lots_of(batches):
+            if number != now and lot:
+                yield done(lot)
+                lot = {}
+            now = number
+            lot.setdefault((key, unplaced(place)[2], part), []).append((doc, row, place))
+        if lot:
+            yield done(lot)
 
-    Equal windows have equal keys, so digests tell them apart. They are counted on the map side: a window that stands in many
-    contexts is a row of each task. Both sides of the join are tables, so that Spark can split a digest with many rows."""
-    times = windows.groupBy("digest").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("times"))
-    again = stored(times.where("times > 1").select("digest", F.lit(True).alias("again")), "repeated-windows")
-    return windows.join(again, "digest", "left").select("key", "ctx", "at", F.expr("if(again, X'01', X'00')").alias("bits"))
+    return parts.mapInArrow(run, MARKS)
 
 
 def repeated_strings(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """(_doc, marks): of documents (_doc, text) with strings that start elsewhere too, places and parts: from which window on, bits
-    of those that do; parts are null where all windows of a place do."""
-    every = _anchors(docs, config)
-    sampled = _anchors(docs.where(F.pmod(F.xxhash64("_doc"), F.lit(config.sample)) == 0), config)
-    hot = hot_keys(stored(sampled, "sampled"), config.hot_part)
-    picked = ("key", "ctx", "doc", "place", "first", (F.col("copies") > 1).alias("copied"), (F.col("contexts") > 1).alias("several"), (F.col("contexts") > config.hot).alias("hot"))
-    found = stored(recurring(every, "n > 1", hot).select(*picked), "recurring")
-    wanted = found.where("several AND first").select("doc", "key", "ctx", "place", "copied", "hot")
-    cold, dealt = wanted.agg(F.count_if(~F.col("hot")), F.count_if("hot")).first()
-    shards = max(1, cold // config.shard)
-    tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    contexts = _contexts(docs, wanted, shards, config)
-    if dealt:  # read twice
-        contexts = stored(contexts, "contexts")
-    located = _located(contexts.where("digest IS NULL"), tasks, config)
-    if dealt:
-        located = located.unionByName(_counted(contexts.where("digest IS NOT NULL").select("key", "ctx", "at", "copied", "digest")))
-    whole = located.groupBy("key", "ctx").agg(F.collect_list(F.struct("at", "bits")).alias("parts"))  # of one context, so at most its windows
-    some = found.where("several").select("key", "ctx", "doc", "place").join(whole, ["key", "ctx"]).select("doc", "place", "parts")
-    all_ = found.where("NOT several").select("doc", "place", F.lit(None).cast("array<struct<at:int,bits:binary>>").alias("parts"))
-    return some.unionByName(all_).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("place", "parts")).alias("marks"))
+    """(doc, row, marks): of documents (doc, text) with strings that start elsewhere too, places and bits of those that do, null
+    where all windows of a place do; row is a hash of the text."""
+    sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(config.routing.sample)) == 0)
+    every, sampled = (anchors_of(d, lambda: _units, config.length, config.k) for d in (docs, sample))
+    parts = dealt(docs, every, sampled, "n > 1", bytes, bytes, config.length, config.routing)
+    return _located(parts, config).groupBy("doc", "row").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 
 def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """Each row of docs (doc_id, text and others) with n_bytes, n_removed, spans (array of start and end) and kept (binary).
 
     Removed is each byte of the UTF-8 text that a string of so many bytes covers which also starts anywhere else, in this row
-    or another, all judged on the input; overlaps count. Null text counts as empty. A doc_id stands for one text, as do rows
-    without one; rows that repeat it are copies. Columns with the new names are replaced, others but text pass.
+    or another, all judged on the input; overlaps count. Null text counts as empty. Each row is a text of its own, whether its
+    doc_id is null or repeated or not. Columns with the new names are replaced, others but text pass.
     """
     new = ("n_bytes", "n_removed", "spans", "kept")
-    others = [c for c in docs.columns if c not in (*new, "text")]
-    own = docs.select(F.struct(*others).alias("_row"), F.coalesce("doc_id", F.xxhash64("text")).alias("_doc"), "text")
-    marks = repeated_strings(own.select("_doc", "text"), config)
-    joined = packed(own).join(marks, "_doc", "left").select("_row", "z", "marks")
-    kinds = [*(f"`{c}` {t}" for c, t in docs.dtypes if c in others), "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"]
+    kept = [c for c in docs.columns if c not in (*new, "text")]
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc")
+    own = docs.select(F.struct(*others(docs, *new, "text")).alias("_row"), doc, "text")
+    marks = repeated_strings(own.select("doc", "text"), config)
+    joined = packed(own).join(marks, ["doc", "row"], "left").select("_row", "z", "marks")
+    kinds = StructType([docs.schema[c] for c in kept]).add("n_bytes", "long").add("n_removed", "long").add("spans", ArrayType(StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
     types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,21 +205,17 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
                     rows.append((len(raw), 0, [], raw))
                     continue
                 units = np.frombuffer(raw, np.uint8)
-                starts = [np.zeros(0, np.int64)]
+                starts = []
                 for m in marked:
                     at, n, _ = unplaced(m["place"])
-                    if m["parts"] is None:
-                        starts.append(at + np.arange(n))
-                        continue
-                    for part in m["parts"]:
-                        starts.append(at + part["at"] + np.flatnonzero(np.unpackbits(np.frombuffer(part["bits"], np.uint8), bitorder="little")))
+                    starts.append(at + (np.arange(n) if m["bits"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(m["bits"], np.uint8), bitorder="little"))))
                 gone = covered(np.concatenate(starts), config.length, units.size)
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
                 rows.append((len(raw), int(gone.sum()), [{"start": x, "end": y} for x, y in edges.tolist()], units[~gone].tobytes()))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, types)]
-            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*others, *new])
+            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, types)]
+            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*kept, *new])
 
-    return joined.mapInArrow(clean, ", ".join(kinds))
+    return joined.mapInArrow(clean, kinds)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,20 +279,6 @@ def brute_strings(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot, part", [(1000, 0.002), (1, 0.002), (1000, 0.0)])
-def test_suffix_dedup(spark, docs, rows, hot, part, monkeypatch):
-    if part == 0.0:  # every key takes the hot way
-        keys = suffix_dedup.hot_keys
-        monkeypatch.setattr(suffix_dedup, "hot_keys", lambda sample, p: keys(sample, 0.0, 1))
-    config = suffix_dedup.SuffixConfig(length=40, k=10, shard=2, hot=hot, hot_part=part, sample=1)
-    frame = docs.unionByName(spark.createDataFrame([rows[1], (None, rows[2][1], "q", "q", 0)], DOCS))
-    texts = [r[1] for r in rows] + [rows[1][1], rows[2][1]]
-    want = brute_strings(texts, 40)
-    got = sorted(((r.doc_id if r.doc_id is not None else 99), r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup(frame, config).collect())
-    ids = [r[0] for r in rows] + [2, 99]
-    assert got == sorted((i, len((t or "").encode()), k) for i, t, k in zip(ids, texts, want))
-
-
 def test_suffix_sort_orders_and_agrees():
     r = np.random.default_rng(1)
     data = r.integers(97, 99, 400).astype(np.uint8)
@@ -304,32 +290,6 @@ def test_suffix_sort_orders_and_agrees():
     assert cut == sorted(cut) and agrees.tolist() == [False] + [x == y for x, y in zip(cut, cut[1:])]
 
 
-@pytest.mark.parametrize("hot, part", [(2000, 0.002), (1, 0.002), (2000, 0.0)])
-def test_substring_dedup(spark, docs, rows, hot, part, monkeypatch):
-    if part == 0.0:
-        keys = substring_dedup.hot_keys
-        monkeypatch.setattr(substring_dedup, "hot_keys", lambda sample, p: keys(sample, 0.0, 1))
-    config = substring_dedup.PassageConfig(shard=2, hot=hot, hot_part=part, sample=1)
-    frame = docs.unionByName(spark.createDataFrame([(None, rows[0][1], "q", "q", 0)], DOCS))
-    got = {r.doc_id: r for r in substring_dedup.dedup(frame, config).collect()}
-    first = {}
-    for d, text, *_ in rows:
-        words = (text or "").encode().split()
-        for i in range(len(words) - 12):
-            first.setdefault(tuple(words[i : i + 13]), d)
-    for d, text, *_ in rows:
-        words = (text or "").encode().split()
-        gone = [False] * len(words)
-        for i in range(len(words) - 12):
-            if first[tuple(words[i : i + 13])] < d:
-                gone[i : i + 13] = [True] * 13
-        kept = b" ".join(w for w, g in zip(words, gone) if not g).decode()
-        assert (got[d].n_words, got[d].n_removed, got[d].kept_words) == (len(words), sum(gone), kept)
-        assert got[d].clean_text == text if not any(gone) else got[d].clean_text.split() == kept.split()
-    assert got[None].n_removed == 0
-    assert substring_dedup.dedup(empty(spark)).count() == 0 and suffix_dedup.dedup(empty(spark)).count() == 0
-
-
 # --- 8 and 10 -----------------------------------------------------------------------------------------------------------
 
 
