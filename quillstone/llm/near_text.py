@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, stored, texts_of
+from quillstone.llm.common import components, join_facts, others, stored, texts_of
 from quillstone.llm.repeats import mixed
 from quillstone.llm.simhash import SimHashConfig, link, majority, shingle_hashes
 
@@ -79,11 +79,13 @@ def marked(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
 
 def candidates(made: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """Edges (a, b) between nodes that share a band's key or whose fingerprints link. A list yields a star, never its pairs."""
-    posted = made.select("node", F.explode("keys").alias("key"))
-    lists = stored(posted.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b"), "band-lists")
-    shared = posted.join(lists, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    classes = stored(made.groupBy("fp").agg(F.min("node").alias("b")), "fingerprint-classes")
-    same = made.select("node", "fp").join(classes, "fp").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    nodes = stored(made.groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
+    total = nodes.count()
+    posted = nodes.select("node", F.explode("keys").alias("key"))
+    lists = stored(posted.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "band-lists")
+    shared = join_facts(posted, lists, ["key"], "n", total * config.bands).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    classes = stored(nodes.groupBy("fp").agg(F.min("node").alias("b"), F.count("*").alias("n")), "fingerprint-classes")
+    same = join_facts(nodes.select("node", "fp"), classes.where("n > 1"), ["fp"], "n", total).where("node <> b").select(F.col("node").alias("a"), "b")
     near = link(classes.select(F.col("b").alias("node"), "fp"), SimHashConfig(shingle=config.shingle, seed=config.seed))
     return shared.unionByName(same).unionByName(near.select("a", "b"))
 
@@ -137,9 +139,10 @@ def verified(made: DataFrame, groups: DataFrame, config: NearConfig = NearConfig
     no task gets all of it and each pair still meets in one."""
     one = made.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"))
     picked = stored(groups.join(one, "node"), "picked")
-    sizes = picked.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / config.block)).cast("int").alias("blocks"))
+    sizes = picked.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / config.block)).cast("int").alias("blocks"), F.count("*").alias("members"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    parts = made.select("row", "text").join(picked, "row").join(stored(sizes, "group-sizes"), "component").withColumn("own", own)
+    sized = join_facts(picked, stored(sizes, "group-sizes"), ["component"], "members", picked.count())
+    parts = made.select("row", "text").join(sized, "row").withColumn("own", own)
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     parts = parts.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "text")
 
@@ -167,10 +170,11 @@ def verified(made: DataFrame, groups: DataFrame, config: NearConfig = NearConfig
 
 def first_of_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """Of the rows of docs (doc_id, text and others), of each group that pairs of similar texts connect, the one of the
-    smallest doc_id. Rows that repeat a doc_id are told apart by their texts. Rows without a doc_id stay."""
-    made = stored(marked(docs.where("doc_id IS NOT NULL"), config), "marked")
+    smallest doc_id. Rows that repeat a doc_id are told apart by their texts. Rows without a doc_id stay. All columns pass."""
+    own = docs.where("doc_id IS NOT NULL").select(F.struct(*others(docs)).alias("_row"), "doc_id", "text")
+    made = stored(marked(own, config), "marked")
     groups = components(candidates(made, config))
     linked = components(verified(made, groups, config))
     named = made.select("doc_id", "row", "node").join(linked, "node", "left")
     kept = named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "node", "row")).row.alias("row"))
-    return made.join(kept.select("row"), "row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return made.join(kept.select("row"), "row", "left_semi").select("_row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import table
+from quillstone.llm.common import others, table
 
 SYMBOLS = "#*$%&|<>"
 GAP = r"[\x20\x09-\x0D]+"
@@ -112,8 +112,9 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
     parts = F.transform(F.split(body, "\n"), split_up)
     read = _let(F.struct(parts.alias("parts"), F.split(F.lower(body), "\n").alias("plain")), lambda v: F.struct(v.parts.alias("parts"), judged(v.parts, v.plain).alias("lines"), F.flatten(F.transform(v.parts, lambda p: p.words)).alias("words")))
     made = _let(read, lambda v: verdict(v.words, v.parts, v.lines))
+    # a generator of one row, which no filter or projection of the result can repeat
+    out = docs.select(*others(docs, "quality"), F.explode_outer(F.array(made)).alias("quality"))
     base = (F.col("quality.n_words") < rules.min_words) | (100 * F.col("quality.n_repeat_words") > rules.max_repeat_percent * F.col("quality.n_words"))
-    out = docs.withColumn("quality", made)
     out = out.withColumn("quality", F.col("quality").withField("base_failed", base))
     lost = F.col("quality.n_lost_words") > rules.max_loss * F.col("quality.n_words")
     return out.withColumn("quality", F.col("quality").withField("kept", ~F.col("quality.base_failed") & ~lost))
