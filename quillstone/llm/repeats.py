@@ -134,7 +134,7 @@ class Routing:
 
     shard: int = 1000
     hot: int = 2000
-    rows: int = 50_000
+    rows: int = 5_000
     sample: int = 64
     most: int = 100_000
 

@@ -58,8 +58,8 @@ def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, grou
         e[apart] = low
         return e
 
-    def before(a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
-        """Whether suffix a stands before suffix b; equal ones do if ties."""
+    def before(a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Whether suffix a stands before suffix b; equal ones do where ties is true."""
         e = extension(a, b)
         at = np.minimum(e, length - 1)
         x, y = data[a + at], data[b + at]
@@ -67,31 +67,29 @@ def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, grou
 
     order = np.argsort(group, kind="stable")
     group = group[order]
-    place = np.arange(order.size)
     first = np.searchsorted(group, group)
     size = np.searchsorted(group, group, side="right") - first
-    within = place - first
+    within = np.arange(order.size) - first
     width = 1
-    while width < (size.max() if size.size else 0):
-        pair = within // (2 * width) * (2 * width)
-        left = within < pair + width
+    while (live := np.flatnonzero(size > width)).size:  # places of groups that aren't one run yet
+        at, own, base = within[live], order[live], first[live]
+        pair = at // (2 * width) * (2 * width)
+        left = at < pair + width
         other = np.where(left, pair + width, pair)  # start of the run to be merged with, in its group
-        most = np.clip(size - other, 0, width)
-        low, high = np.zeros(order.size, np.int64), most.copy()
+        low, high = np.zeros(live.size, np.int64), np.clip(size[live] - other, 0, width)
         open_ = np.flatnonzero(low < high)
         while open_.size:
             mid = (low[open_] + high[open_]) // 2
-            a, b = starts[order[first[open_] + other[open_] + mid]], starts[order[open_]]
+            a, b = starts[order[base[open_] + other[open_] + mid]], starts[own[open_]]
             # rank of b among run a: elements before it; equal ones of a left run are, of a right run aren't
-            ahead = np.where(left[open_], before(a, b, False), before(a, b, True))
+            ahead = before(a, b, ~left[open_])
             low[open_[ahead]] = mid[ahead] + 1
             high[open_[~ahead]] = mid[~ahead]
             open_ = open_[low[open_] < high[open_]]
         run = np.where(left, pair, pair + width)
-        target = first + pair + (within - run) + low
-        new = np.empty_like(order)
-        new[target] = order
-        order = new
+        merged = order.copy()
+        merged[base + pair + (at - run) + low] = own
+        order = merged
         width *= 2
     agrees = np.zeros(order.size, bool)
     if order.size > 1:
@@ -127,8 +125,9 @@ def repeated_windows(stretches: list[tuple[tuple, bytes]], length: int) -> list[
     owner = np.repeat(np.arange(sizes.size), windows)
     j = np.arange(owner.size) - np.repeat(ends - windows, windows)
     keys, shifts = np.array([g for g, _ in stretches], np.int64).T
-    _, group = np.unique(np.stack((keys[owner], shifts[owner] - j)), axis=1, return_inverse=True)
-    order, agrees = sort_suffixes(Prefixes(_UNITS[raw], Powers(0xD6E8FEB86659FD93)), raw, offsets[owner] + j, group.ravel(), length)
+    _, number = np.unique(keys, return_inverse=True)
+    group = number[owner] * (2 * length) + shifts[owner] - j + length
+    order, agrees = sort_suffixes(Prefixes(_UNITS[raw], Powers(0xD6E8FEB86659FD93)), raw, offsets[owner] + j, group, length)
     again = agrees.copy()
     again[:-1] |= agrees[1:]
     found = np.zeros(owner.size, bool)
