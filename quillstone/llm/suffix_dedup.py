@@ -34,6 +34,7 @@ class SuffixConfig:
 
 #: A 64-bit unit for each byte.
 _UNITS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_POWERS = Powers(0xD6E8FEB86659FD93)
 
 
 def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +105,10 @@ def sort_suffixes(prefixes: Prefixes, data: np.ndarray, starts: np.ndarray, grou
 
 
 def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    out, span = np.zeros(a.size, bool), np.arange(length)
+    """Whether the strings of so many bytes at a and b are equal."""
+    out, strings = np.zeros(a.size, bool), np.lib.stride_tricks.sliding_window_view(data, length)
     for k in range(0, a.size, 4096):
-        out[k : k + 4096] = (data[a[k : k + 4096, None] + span] == data[b[k : k + 4096, None] + span]).all(axis=1)
+        out[k : k + 4096] = (strings[a[k : k + 4096]] == strings[b[k : k + 4096]]).all(axis=1)
     return out
 
 
@@ -127,7 +129,7 @@ def repeated_windows(stretches: list[tuple[tuple, bytes]], length: int) -> list[
     keys, shifts = np.array([g for g, _ in stretches], np.int64).T
     _, number = np.unique(keys, return_inverse=True)
     group = number[owner] * (2 * length) + shifts[owner] - j + length
-    order, agrees = sort_suffixes(Prefixes(_UNITS[raw], Powers(0xD6E8FEB86659FD93)), raw, offsets[owner] + j, group, length)
+    order, agrees = sort_suffixes(Prefixes(_UNITS[raw], _POWERS), raw, offsets[owner] + j, group, length)
     again = agrees.copy()
     again[:-1] |= agrees[1:]
     found = np.zeros(owner.size, bool)
