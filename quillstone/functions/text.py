@@ -6,12 +6,13 @@ Lengths are in code points. White space is an explicit class, as regular express
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE_CLASS = "[ \t\r\n\f\x0b\u3000\u00a0]"
+SPACES = " \t\r\n\f\x0b\u3000\u00a0"
+SPACE_CLASS = f"[{SPACES}]"
 PUNCTUATION = r"\p{P}"
 
 
@@ -19,9 +20,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once in a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with columns that are evaluated once in a row, whatever is made of them: they come from a generator of one row, which
+    projections and filters are not merged with. Columns that df has already are replaced."""
+    kept = [c for c in df.columns if c not in made]
+    return df.select(*(F.col("`" + c.replace("`", "``") + "`") for c in kept), F.inline_outer(F.array(F.struct(*(v.alias(c) for c, v in made.items())))))
+
+
 def bare(text: Column | str) -> Column:
     """Text without white space."""
-    return F.regexp_replace(col(text), SPACE_CLASS, "")
+    return F.regexp_replace(col(text), f"{SPACE_CLASS}+", "")
 
 
 def visible_length(text: Column | str) -> Column:
@@ -29,7 +42,7 @@ def visible_length(text: Column | str) -> Column:
 
 
 def trimmed(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(col(text), F.lit(SPACES))
 
 
 def flat(text: Column | str) -> Column:
@@ -104,8 +117,8 @@ def structured_spans(text: Column | str) -> Column:
 
 def bigrams(text: Column | str) -> Column:
     """Pairs of neighbouring characters, white space and punctuation left out; one pass of a pattern that looks ahead."""
-    t = F.regexp_replace(col(text), f"{SPACE_CLASS}|{PUNCTUATION}", "")
-    return F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1))
+    plain = F.regexp_replace(col(text), f"(?:{SPACE_CLASS}|{PUNCTUATION})+", "")
+    return F.regexp_extract_all(plain, F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def windows(text: Column | str, size: int = 384, stride: int = 320) -> Column:
@@ -115,6 +128,25 @@ def windows(text: Column | str, size: int = 384, stride: int = 320) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * stride + 1, F.lit(size))))
 
 
+def running_sum(values: Column, block: int = 64) -> Column:
+    """Sums of an array of integers up to each place, blocks first, so that no long array is copied for each place."""
+
+    def sums(v: Column) -> Column:
+        n = F.ceil(F.size(v) / block).cast("int")
+        blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(v, b * block + 1, F.lit(block))))
+        add = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+
+        def within(b: Column) -> Column:
+            totals = F.transform(b, add)
+            before = let(totals, lambda t: F.transform(t, lambda _, i: add(F.slice(t, F.lit(1), i))))
+            each = lambda x, base: F.transform(x, lambda _, j: base + add(F.slice(x, F.lit(1), j + 1)))
+            return let(before, lambda s: F.flatten(F.transform(b, lambda x, i: each(x, F.get(s, i)))))
+
+        return F.coalesce(let(blocks, within), F.array().cast("array<int>"))
+
+    return let(values, sums)
+
+
 def mean(values: Column) -> Column:
     n = F.size(values)
     return F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)

@@ -1,4 +1,7 @@
-"""Audits of pairs (doc_id, original, rewritten): what a rewrite lost, invented, collapsed or inflated, as rows of issues."""
+"""Audits of pairs (doc_id, original, rewritten): what a rewrite lost, invented, collapsed or inflated, as rows of issues.
+
+Both texts of a pair stand in one row, so every audit is an expression over arrays in that row; nothing is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -9,60 +12,110 @@ from pyspark.sql.window import Window
 from quillstone.functions import text as T
 
 NUMBER = "[0-9]+(?:[.][0-9]+)?"
-TERM = "[A-Za-z][A-Za-z0-9-]+"
+#: Terms hold no digits, so that a number that stands right behind one doesn't make it another.
+TERM = "[A-Za-z][A-Za-z-]*"
 #: A rewrite may grow and shrink so far.
-INFLATED, LEAST_ORIGINAL, LEAST_MORE, SHRUNK = 1.5, 40, 60, 0.4
+INFLATED, WARNED, LEAST_ORIGINAL, LEAST_MORE, SHRUNK = 1.5, 1.1, 60, 60, 0.4
+#: What ends a finished text; what cuts clauses; particles that a cut clause is padded with.
+FINISHED = "[。！？；…)\"'’”』】》.!?]$"
+CLAUSE_CUT = "[，、；;：:。！？!?\n]+"
+PARTICLES = "[吧呢啊嘛呀哦哈呗咯嗯]+$"
+#: Blocks of a script, headings, and speakers with their role.
+SCENE = "(?m)^[ \t]*【[^】\n]{2,}】"
+HEADING = "(?m)^[ \t]{0,3}#{1,6}[ \t]+[^ \t\n]"
+ROLE = "[一-龥A-Za-z]{1,6}[（(][^）()\n]{1,14}[）)][ \t]*[:：]"
+#: Connectives that need one of their partners, and pronouns that can't open a text.
+PARTNERS = {
+    "其次": ("首先", "再者", "第二", "头一件", "一来"), "再者": ("首先", "第二", "一来"), "另一方面": ("一方面",), "其二": ("其一",), "其三": ("其一", "其二"),
+}
+OPENING_PRONOUN = "^(?:这|这些|这种|这样|它|它们|他|她|他们|她们|它们|此)"
+#: Experience that a rewrite may not add.
+EXPERIENCE = (
+    "我朋友", "我同事", "我邻居", "我同学", "我师傅", "我领导", "我表哥", "我表弟", "我舅", "我叔", "我姨", "我妈", "我爸", "我哥", "我姐", "我弟", "我妹", "我们公司",
+    "我们厂", "我们学校", "我们单位", "我们小区", "有一次我", "有一回我", "去年我", "前年我", "那天我", "当时我", "上回我", "我见过", "我遇到过", "我碰到过", "我曾经",
+    "我听人说", "我身边的",
+)
+#: Concrete and colloquial marks that are only pointed out; what a stub's word can't hold.
+SPECIFIC = "去年|上个月|前阵子|那天|我认识|我同事|我家|我朋友|楼下|小区|说白了|讲真|有一说一"
+PREDICATE = "[是有着在能会要得让把被和或与及的出现发生变得成为觉得知道]|[哦呵啧呣诶呀嘛呢吧啊嗯这那他她它你我不]"
+SENTENCE_CUT = "[。！？!?；;\n]"
+
+
+def _all(column: str, pattern: str) -> Column:
+    return F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
+
+
+def _number_rows() -> Column:
+    def rows(v: Column) -> Column:
+        times = lambda side, t: F.size(F.filter(side, lambda x: x == t))
+        each = F.transform(F.array_distinct(F.concat(v.a, v.b)), lambda t: F.struct(t.alias("token"), times(v.a, t).alias("before"), times(v.b, t).alias("after")))
+        bad = F.filter(each, lambda x: (x.after < x.before) | (x.before == 0))
+        return F.transform(bad, lambda x: x.withField("kind", F.when(x.after < x.before, "lost").otherwise("invented")))
+
+    return T.let(F.struct(_all("original", NUMBER).alias("a"), _all("rewritten", NUMBER).alias("b")), rows)
 
 
-def _side(pairs: DataFrame, column: str, pattern: str) -> DataFrame:
-    return pairs.select("doc_id", F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(0))).alias("token"))
+def number_fidelity(pairs: DataFrame) -> DataFrame:
+    """Numbers that the rewrite has less often than the original (lost), and those that the original has not at all (invented)."""
+    return pairs.select("doc_id", F.inline(_number_rows()))
 
 
-def number_fidelity(pairs: DataFrame) -> DataFrame:
-    """Numbers that one side has more often than the other: a full outer join of two counted multisets."""
-    before = _side(pairs, "original", NUMBER).groupBy("doc_id", "token").agg(F.count("*").alias("before"))
-    after = _side(pairs, "rewritten", NUMBER).groupBy("doc_id", "token").agg(F.count("*").alias("after"))
-    both = before.join(after, ["doc_id", "token"], "full_outer").fillna(0, ["before", "after"])
-    kind = F.when(F.col("after") < F.col("before"), "lost").otherwise("invented")
-    return both.where("before <> after").withColumn("kind", kind)
+def _lost_terms() -> Column:
+    upper = lambda c: F.transform(_all(c, TERM), lambda t: F.upper(t))
+    return F.array_except(upper("original"), upper("rewritten"))
 
 
 def term_loss(pairs: DataFrame) -> DataFrame:
-    """Terms of the original that the rewrite lacks."""
-    return _side(pairs, "original", TERM).distinct().join(_side(pairs, "rewritten", TERM).distinct(), ["doc_id", "token"], "left_anti")
+    """Terms of the original, in capitals, that the rewrite lacks."""
+    return pairs.select("doc_id", F.explode(_lost_terms()).alias("token"))
+
+
+def _sizes() -> Column:
+    def kinds(v: Column) -> Column:
+        inflated = (v.before >= LEAST_ORIGINAL) & (v.after > INFLATED * v.before) & (v.after - v.before > LEAST_MORE)
+        some = v.text != ""
+        found = F.array(F.when(~some, "empty"), F.when(some & ~v.text.rlike(FINISHED), "unfinished"), F.when(some & (v.after < SHRUNK * v.before), "shrunk"), F.when(inflated, "inflated"))
+        return F.transform(F.filter(found, lambda k: k.isNotNull()), lambda k: F.struct(v.before.alias("before"), v.after.alias("after"), k.alias("kind")))
+
+    return T.let(F.struct(T.visible_length("original").alias("before"), T.visible_length("rewritten").alias("after"), T.trimmed("rewritten").alias("text")), kinds)
 
 
 def size_issues(pairs: DataFrame) -> DataFrame:
-    before, after = T.visible_length("original"), T.visible_length("rewritten")
-    inflated = (before >= LEAST_ORIGINAL) & (after > INFLATED * before) & (after - before > LEAST_MORE)
-    shrunk = (before >= LEAST_ORIGINAL) & (after < SHRUNK * before)
-    kind = F.when(inflated, "inflated").when(shrunk, "shrunk")
-    return pairs.select("doc_id", before.alias("before"), after.alias("after"), kind.alias("kind")).where("kind IS NOT NULL")
+    """Rewrites that are empty, end in the middle of a sentence, or have shrunk or grown beyond the bounds."""
+    return pairs.select("doc_id", F.inline(_sizes()))
+
+
+def _collapsed(least: int, shortest: int, longest: int) -> Column:
+    clauses = lambda c: F.filter(F.transform(F.split(c, CLAUSE_CUT), T.trimmed), lambda p: p != "")
+
+    def rows(v: Column) -> Column:
+        heads = F.filter(F.transform(v.b, lambda c: F.regexp_replace(c, PARTICLES, "")), lambda c: F.length(c).between(shortest, longest))
+        gone = F.array_except(F.filter(v.a, lambda c: F.length(c) >= shortest), v.b)
+        hit = lambda h: F.get(F.filter(gone, lambda s: s.startswith(h) & (F.length(s) - F.length(h) >= least)), F.lit(0))
+        return F.filter(F.transform(heads, lambda h: F.struct(h.alias("clause"), hit(h).alias("source"))), lambda x: x.source.isNotNull())
+
+    return T.let(F.struct(clauses("original").alias("a"), clauses("rewritten").alias("b")), rows)
 
 
-def _clauses(pairs: DataFrame, column: str, delimiters: str) -> DataFrame:
-    parts = F.transform(F.split(column, f"[{delimiters}]"), T.trimmed)
-    return pairs.select("doc_id", F.explode(F.array_distinct(F.filter(parts, lambda p: p != ""))).alias("clause"))
+def collapsed_clauses(pairs: DataFrame, least: int = 2, shortest: int = 4, longest: int = 16) -> DataFrame:
+    """Clauses of the rewrite, particles at their ends aside, that are a strict prefix of a clause that the rewrite lost."""
+    return pairs.select("doc_id", F.inline(_collapsed(least, shortest, longest)))
 
 
-def collapsed_clauses(pairs: DataFrame, delimiters: str = "，、；;：:。！？!?,.\n", least: int = 2, shortest: int = 4, longest: int = 16) -> DataFrame:
-    """Clauses of the rewrite that are a vanished clause of the original cut short: a join within a document on a prefix of the
-    shortest length, so that the comparison is one of few clauses, then the strict prefix itself."""
-    before, after = _clauses(pairs, "original", delimiters), _clauses(pairs, "rewritten", delimiters)
-    gone = before.join(after, ["doc_id", "clause"], "left_anti").select("doc_id", F.col("clause").alias("source"), F.left("clause", F.lit(shortest)).alias("head"))
-    short = after.join(before, ["doc_id", "clause"], "left_anti").where(F.length("clause").between(shortest, longest))
-    short = short.withColumn("head", F.left("clause", F.lit(shortest)))
-    hit = F.col("source").startswith(F.col("clause")) & (F.length("source") - F.length("clause") >= least)
-    return short.join(gone, ["doc_id", "head"]).where(hit).select("doc_id", "clause", "source")
+def _structure() -> Column:
+    def rows(v: Column) -> Column:
+        one = lambda kind, b, a, bad: F.when(bad, F.struct(F.lit(kind).alias("kind"), b.alias("before"), a.alias("after")))
+        both = F.array(one("scene", v.s0, v.s1, v.s1 < v.s0), one("heading", v.h0, v.h1, v.h1 < v.h0), one("role", v.r0, v.r1, (v.r0 >= 2) & (v.r1 == 0)))
+        return F.filter(both, lambda x: x.isNotNull() & (T.trimmed("rewritten") != ""))
 
+    counts = [T.count(c, p).alias(f"{n}{k}") for n, p in (("s", SCENE), ("h", HEADING), ("r", ROLE)) for k, c in enumerate(("original", "rewritten"))]
+    return T.let(F.struct(*counts), rows)
 
-def structure_loss(pairs: DataFrame, heading: str = "(?m)^#{1,6} ", role: str = "(?m)^[A-Z][A-Za-z]{0,11}: ") -> DataFrame:
-    """Headings and speakers' roles of which fewer are left."""
-    out = []
-    for kind, pattern in (("heading", heading), ("role", role)):
-        before, after = T.count("original", pattern), T.count("rewritten", pattern)
-        out.append(pairs.select("doc_id", F.lit(kind).alias("kind"), before.alias("before"), after.alias("after")).where("after < before"))
-    return out[0].unionByName(out[1])
+
+def structure_loss(pairs: DataFrame) -> DataFrame:
+    """Blocks and headings of which fewer are left, and speakers' roles, two or more of which are all gone. Empty rewrites count
+    as no loss of structure: they are an issue of size."""
+    return pairs.select("doc_id", F.inline(_structure()))
 
 
 def adjacent_duplicates(sentences: DataFrame) -> DataFrame:
@@ -71,17 +124,17 @@ def adjacent_duplicates(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("before", before).where("sent = before").select("doc_id", "sent_idx")
 
 
-def new_signals(pairs: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
+def new_signals(pairs: DataFrame, phrases: tuple[str, ...] = EXPERIENCE) -> DataFrame:
     """Phrases that only the rewrite has."""
     has = lambda column: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col(column), p))
-    new = F.array_except(has("rewritten"), has("original"))
-    return pairs.select("doc_id", F.explode(new).alias("phrase"))
+    return pairs.select("doc_id", F.explode(F.array_except(has("rewritten"), has("original"))).alias("phrase"))
 
 
-def unpaired(pairs: DataFrame, partners: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Connectives of the rewrite without a partner."""
-    rows = F.array(*(F.when(F.contains("rewritten", F.lit(a)) & ~_any(bs), F.lit(a)) for a, bs in partners.items()))
-    return pairs.select("doc_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("connective"))
+def unpaired(pairs: DataFrame, partners: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Connectives of the rewrite without a partner, and a pronoun that opens it."""
+    found = [F.when(F.contains("rewritten", F.lit(a)) & ~_any(bs), F.lit(a)) for a, bs in (partners or PARTNERS).items()]
+    opening = F.when(T.trimmed("rewritten").rlike(OPENING_PRONOUN), "opening pronoun")
+    return pairs.select("doc_id", F.explode(F.filter(F.array(*found, opening), lambda x: x.isNotNull())).alias("connective"))
 
 
 def _any(phrases: tuple[str, ...]) -> Column:
@@ -91,15 +144,42 @@ def _any(phrases: tuple[str, ...]) -> Column:
     return out
 
 
-def hard_gate(pairs: DataFrame, exempt: DataFrame) -> DataFrame:
-    """All issues of a pair as rows (doc_id, issue, detail), but those whose names are exempt."""
+def deletion_stubs(pairs: DataFrame) -> DataFrame:
+    """Sentences of 2 to 6 characters without a predicate that stand in the original within a longer sentence."""
+    parts = F.filter(F.transform(F.split("rewritten", SENTENCE_CUT), T.trimmed), lambda s: F.length(s).between(2, 6) & ~s.rlike(PREDICATE))
+
+    def cut(s: Column) -> Column:
+        at = F.instr("original", s)
+        before, after = F.substring(F.col("original"), at - 1, F.lit(1)), F.substring(F.col("original"), at + F.length(s), F.lit(1))
+        whole = ((at == 1) | before.rlike(SENTENCE_CUT)) & ((after == "") | after.rlike(SENTENCE_CUT))
+        return (at > 0) & ~whole
+
+    return pairs.select("doc_id", F.explode(F.filter(parts, cut)).alias("stub"))
+
+
+def added_content(pairs: DataFrame) -> DataFrame:
+    """What a rewrite has more of, to be pointed out, not refused: first persons, concrete marks, length."""
+    more = lambda p: T.count("rewritten", p) - T.count("original", p)
+
+    def rows(v: Column) -> Column:
+        ratio = F.when(v.n > 0, v.m / v.n).otherwise(0.0)
+        one = lambda name, holds, n: F.when(holds, F.struct(F.lit(name).alias("signal"), n.cast("int").alias("n")))
+        found = F.array(one("first person", v.first >= 3, v.first), one("concrete", v.concrete >= 2, v.concrete), one("longer", (ratio > WARNED) & (ratio <= INFLATED), T.half_up(ratio * 100)))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    made = F.struct(more("我").alias("first"), more(SPECIFIC).alias("concrete"), T.visible_length("original").alias("n"), T.visible_length("rewritten").alias("m"))
+    return pairs.select("doc_id", F.inline(T.let(made, rows)))
+
+
+def hard_gate(pairs: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
+    """All issues of a pair as rows (doc_id, issue, detail), but those whose names are exempt: one pass over the pairs."""
+    issue = lambda name, detail: F.struct(name.alias("issue"), detail.alias("detail"))
     parts = [
-        number_fidelity(pairs).select("doc_id", F.concat(F.lit("number "), "kind").alias("issue"), F.col("token").alias("detail")),
-        term_loss(pairs).select("doc_id", F.lit("term lost").alias("issue"), F.col("token").alias("detail")),
-        size_issues(pairs).select("doc_id", F.col("kind").alias("issue"), F.lit("").alias("detail")),
-        structure_loss(pairs).select("doc_id", F.concat("kind", F.lit(" lost")).alias("issue"), F.lit("").alias("detail")),
+        F.transform(_number_rows(), lambda x: issue(F.concat(F.lit("number "), x.kind), x.token)),
+        F.transform(_lost_terms(), lambda t: issue(F.lit("term lost"), t)),
+        F.transform(_sizes(), lambda x: issue(x.kind, F.lit(""))),
+        F.transform(_structure(), lambda x: issue(F.concat(x.kind, F.lit(" lost")), F.lit(""))),
+        F.transform(_collapsed(2, 4, 16), lambda x: issue(F.lit("collapsed"), x.clause)),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(F.broadcast(exempt), "issue", "left_anti").select("doc_id", "issue", "detail")
+    out = pairs.select("doc_id", F.inline(F.concat(*parts)))
+    return out.where(~F.col("issue").isin(*exempt)) if exempt else out

@@ -35,8 +35,8 @@ def weight_grid(samples: DataFrame, steps: int = 20) -> DataFrame:
 
 
 def weighted_panel(judgements: DataFrame) -> DataFrame:
-    """Weighted median (weights are counts, 1 if unknown), spread and number of scores of each document."""
-    votes = judgements.where("score IS NOT NULL").withColumn("w", F.coalesce("weight", F.lit(1)))
+    """Weighted median (weights are counts, rounded, 1 at least and if unknown), spread and number of scores of each document."""
+    votes = judgements.where("score IS NOT NULL").withColumn("w", F.greatest(F.lit(1), T.half_up(F.coalesce("weight", F.lit(1)))))
     by = Window.partitionBy("doc_id").orderBy("score", "seat")
     whole = Window.partitionBy("doc_id")
     ranked = votes.withColumns({"upto": F.sum("w").over(by), "total": F.sum("w").over(whole)})
@@ -102,14 +102,19 @@ def best_of(candidates: DataFrame) -> DataFrame:
 
 
 def stop_rules(rounds: DataFrame) -> DataFrame:
-    """Why each round would stop the loop: target reached, new issue, repeated critiques, no improvement; else it goes on."""
-    by = Window.partitionBy("doc_id").orderBy("round")
-    parts = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    df = rounds.withColumns({"prior_issues": F.lag("issues").over(by), "prior_critiques": F.lag("critiques").over(by), "prior_score": F.lag("score").over(by)})
+    """Why each round would stop the loop: an issue that the last round with issues had not, two critiques repeated from the last round
+    with any, the target reached, no score below the best so far; else it goes on."""
+    before = Window.partitionBy("doc_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lambda c: F.array_distinct(F.filter(F.split(c, ","), lambda x: x != ""))
+    none = F.array().cast("array<string>")
+    last = lambda c: F.coalesce(F.last(F.when(F.size(c) > 0, F.col(c)), ignorenulls=True).over(before), none)
+    df = rounds.withColumns({"i": parts("issues"), "c": parts("critiques")})
+    df = df.withColumns({"prior_issues": last("i"), "prior_critiques": last("c"), "best": F.min("score").over(before)})
     target = F.when(F.col("anchor") <= 28, F.col("anchor")).otherwise(F.greatest(F.lit(10), T.half_up(0.35 * F.col("anchor"))))
-    new = F.size(F.array_except(parts("issues"), parts(F.coalesce("prior_issues", "issues")))) > 0
-    repeated = F.size(F.array_intersect(parts("critiques"), parts(F.coalesce("prior_critiques", F.lit(""))))) >= 2
-    why = F.when(new, "new issue").when((F.col("round") > 0) & (F.col("score") <= target), "target").when(repeated, "repeated critiques").when(F.col("score") >= F.col("prior_score"), "no improvement").otherwise("go on")
+    later = F.col("round") > 0
+    new = later & (F.size(F.array_except("i", "prior_issues")) > 0)
+    repeated = F.size(F.array_intersect("c", "prior_critiques")) >= 2
+    why = F.when(new, "new issue").when(repeated, "repeated critiques").when(later & (F.col("score") <= target), "target").when(F.col("score") >= F.col("best"), "no improvement").otherwise("go on")
     return df.select("doc_id", "round", target.alias("target"), why.alias("why"))
 
 

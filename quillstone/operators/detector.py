@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillstone.functions import text as T
 from quillstone.functions.lexicon import Lexicon
@@ -42,17 +41,17 @@ def _cv(values: Column) -> Column:
 def raw_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs with a column f_<name> for each feature, before it is normalised; densities are hits in 100 visible characters.
 
-    All is computed in the row, so nothing is shuffled, and each feature is a column that is not computed unless asked for.
+    All is computed in the row, so nothing is shuffled; the text, its sentences and their lengths are made once.
     """
-    text = T.trimmed(F.coalesce("text", F.lit("")))
-    df = docs.withColumn("_text", text).withColumn("_sents", T.sentences_each("_text", lexicon.delimiters, lexicon.ignore))
-    df = df.withColumn("_lens", F.transform("_sents", T.visible_length)).withColumn("chars", T.visible_length("_text"))
-    df = df.withColumn("_paras", F.transform(T.paragraphs("_text"), T.visible_length))
-    df = df.withColumn("_bigrams", T.bigrams("_text")).withColumn("sentences", F.size("_sents"))
-    heads = F.filter(F.transform("_sents", lambda s: F.substring(F.regexp_replace(T.bare(s), T.PUNCTUATION, ""), 1, 2)), lambda h: h != "")
-    df = df.withColumn("_heads", heads)
+    df = T.once(docs, _text=T.trimmed(F.coalesce("text", F.lit(""))))
+    df = T.once(df, _sents=T.sentences_each("_text", lexicon.delimiters, lexicon.ignore), chars=T.visible_length("_text"))
+    heads = F.filter(F.transform("_sents", lambda s: F.substring(F.regexp_replace(F.substring(s, 1, 24), f"(?:{T.SPACE_CLASS}|{T.PUNCTUATION})+", ""), 1, 2)), lambda h: h != "")
+    df = T.once(
+        df, sentences=F.size("_sents"), _lens=F.transform("_sents", T.visible_length), _paras=F.transform(T.paragraphs("_text"), T.visible_length),
+        _bigrams=T.bigrams("_text"), _heads=heads,
+    )
     per = lambda n: n * 100 / F.greatest(F.lit(1), F.col("chars"))
-    words = F.split("_text", f"(?:{T.SPACE_CLASS}|{T.PUNCTUATION})")
+    words = F.split("_text", f"(?:{T.SPACE_CLASS}|{T.PUNCTUATION})+")
     made = {
         "formulaic": per(T.count_of("_text", lexicon.formulaic)),
         "official": per(T.count_of("_text", lexicon.official)),
@@ -71,7 +70,7 @@ def raw_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         "modal": per(T.count("_text", lexicon.modal)),
         "mark_variety": F.size(F.array_distinct(F.regexp_extract_all("_text", F.lit(lexicon.marks), F.lit(0)))).cast("double"),
     }
-    return df.withColumns({f"f_{n}": c for n, c in made.items()}).withColumn("paragraphs", F.size("_paras"))
+    return T.once(df, **{f"f_{n}": c for n, c in made.items()}, paragraphs=F.size("_paras"))
 
 
 def detect(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -83,7 +82,7 @@ def detect(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         if name == "paragraph_cv":
             value = F.when(F.col("paragraphs") >= 2, value).otherwise(0.0)
         total = total + value * weight
-    df = df.withColumn("probability", T.half_up(total / sum(f[4] for f in FEATURES) * 100).cast("int"))
+    df = T.once(df, probability=T.half_up(total / sum(f[4] for f in FEATURES) * 100).cast("int"))
     p = F.col("probability")
     level = F.when(p >= HIGH, "high").when(p >= MEDIUM, "medium").otherwise("human")
     away = F.least(F.abs(p - MEDIUM), F.abs(p - HIGH))
@@ -130,12 +129,17 @@ def risk_rules(sent: Column, lexicon: Lexicon) -> list[tuple[str, Column, int]]:
 
 def sentence_risk(sentences: DataFrame, lexicon: Lexicon) -> DataFrame:
     """sentences with risk (0 to 100) and reasons, in the order of the rules."""
-    rules = risk_rules(F.col("sent"), lexicon)
-    total = F.lit(RISK_BASE)
-    for _, holds, points in rules:
-        total = total + F.when(holds, points).otherwise(0)
-    reasons = F.filter(F.array(*(F.when(holds, name) for name, holds, _ in rules)), lambda r: r.isNotNull())
-    return sentences.withColumn("risk", T.clamp(total, 0, 100).cast("int")).withColumn("reasons", reasons)
+    found = T.once(sentences, _found=_found(F.col("sent"), lexicon))
+    return found.withColumns({"risk": _risk(F.col("_found")), "reasons": F.transform("_found", lambda x: x["name"])}).drop("_found")
+
+
+def _found(sent: Column, lexicon: Lexicon) -> Column:
+    """Rules that hold of a sentence, in order, with their points."""
+    return F.filter(F.array(*(F.when(holds, F.struct(F.lit(name).alias("name"), F.lit(points).alias("points"))) for name, holds, points in risk_rules(sent, lexicon))), lambda x: x.isNotNull())
+
+
+def _risk(found: Column) -> Column:
+    return T.clamp(F.aggregate(found, F.lit(RISK_BASE), lambda a, x: a + x.points), 0, 100).cast("int")
 
 
 def review(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
@@ -152,7 +156,8 @@ def reason_tally(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def top_segments(docs: DataFrame, lexicon: Lexicon, k: int = 8) -> DataFrame:
-    """The k sentences of highest risk of each document, ties in order of the text."""
-    rated = sentence_risk(sentence_table(docs, lexicon, "doc_id"), lexicon)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("risk"), "sent_idx"))
-    return rated.withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k sentences of highest risk of each document, ties in order of the text; ranked within the row."""
+    parts = T.sentences_each(T.trimmed(F.coalesce("text", F.lit(""))), lexicon.delimiters, lexicon.ignore)
+    rated = F.transform(parts, lambda s, i: F.struct((-_risk(_found(s, lexicon))).alias("minus"), i.alias("sent_idx")))
+    top = T.once(docs, _top=F.slice(F.sort_array(rated), 1, k))
+    return top.select("doc_id", F.posexplode("_top").alias("at", "_s")).select("doc_id", (F.col("at") + 1).alias("rank"), "_s.sent_idx", (-F.col("_s.minus")).alias("risk"))

@@ -1,4 +1,4 @@
-"""Three-band spans: sentence scores, ratios by length, merged spans, radar features, perplexity and fusion of layers."""
+"""Three-band spans: sentence scores, ratios by length, merged spans, perplexity and fusion of layers."""
 
 from __future__ import annotations
 
@@ -18,17 +18,20 @@ BASE = 22
 
 def span_table(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, sent_idx, sent, start, end): sentences with half-open offsets in code points; those of marks alone are left out."""
+    return docs.select("doc_id", F.posexplode(_cut(lexicon)).alias("sent_idx", "_s")).select("doc_id", "sent_idx", "_s.*")
+
+
+def _cut(lexicon: Lexicon) -> Column:
+    """Sentences of text as structs (sent, start, end). Sentences are neighbours in the text, so a sentence's end is the sum of the
+    lengths so far: lengths are packed into one sorted pass of numbers, not summed anew for each sentence."""
     d = lexicon.span_delimiters
     parts = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[^{d}]*[{d}]|[^{d}]+$"), F.lit(0))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sent:string,start:int,end:int>>").alias("out"))
 
-    def add(a: Column, s: Column) -> Column:
-        end = a["at"] + F.length(s)
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("sent"), a["at"].alias("start"), end.alias("end")))).alias("out"))
+    def placed(p: Column) -> Column:
+        ends = T.running_sum(F.transform(p, F.length))
+        return T.let(ends, lambda e: F.transform(p, lambda s, i: F.struct(s.alias("sent"), (F.get(e, i) - F.length(s)).alias("start"), F.get(e, i).alias("end"))))
 
-    cut = F.aggregate(parts, begin, add, lambda a: a["out"])
-    cut = F.filter(cut, lambda x: F.regexp_replace(T.bare(x.sent), f"[{d}{lexicon.ignore}]", "") != "")
-    return docs.select("doc_id", F.posexplode(cut).alias("sent_idx", "_s")).select("doc_id", "sent_idx", "_s.*")
+    return F.filter(T.let(parts, placed), lambda x: F.regexp_replace(T.bare(x.sent), f"[{d}{lexicon.ignore}]", "") != "")
 
 
 def span_rules(s: Column, lexicon: Lexicon) -> list[tuple[str, Column, int]]:
@@ -62,13 +65,11 @@ def label_of(risk: Column) -> Column:
 
 
 def scored_spans(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    spans = span_table(docs, lexicon)
     rules = span_rules(F.col("sent"), lexicon)
-    total = F.lit(BASE)
-    for _, holds, points in rules:
-        total = total + F.when(holds, points).otherwise(0)
-    reasons = F.filter(F.array(*(F.when(h, n) for n, h, _ in rules)), lambda r: r.isNotNull())
-    out = spans.withColumn("risk", T.clamp(total, 0, 100).cast("int")).withColumn("reasons", reasons)
+    found = F.array(*(F.when(holds, F.struct(F.lit(name).alias("name"), F.lit(points).alias("points"))) for name, holds, points in rules))
+    out = T.once(span_table(docs, lexicon), _found=F.filter(found, lambda x: x.isNotNull()))
+    total = F.aggregate("_found", F.lit(BASE), lambda a, x: a + x.points)
+    out = T.once(out.withColumn("reasons", F.transform("_found", lambda x: x["name"])), risk=T.clamp(total, 0, 100).cast("int")).drop("_found")
     return out.withColumn("label", label_of(F.col("risk"))).withColumn("weight", F.greatest(F.lit(1), T.visible_length("sent")))
 
 

@@ -12,42 +12,50 @@ from quillstone.operators import calibration as C
 from quillstone.operators import detector as D
 from quillstone.operators import spans as S
 from quillstone.plans.fixtures import sql_table, table_of
-from quillstone.plans.measure import bare, base_sql, docs, feature_sql, lit, n_of
+from quillstone.sources.tables import read_table
+from quillstone.plans.measure import bare, base_sql, docs, feature_sql, has, lit, n_of, trim
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a rewrite that changes digits, keeps the first half, or adds to the text, by the remainder of the id."""
+    """Documents with a rewrite that changes digits, keeps the first third, or adds to the text, by the remainder of the id; and the
+    written pairs, one of which at least each audit finds and one it doesn't, under ids below 0."""
     text = F.coalesce("text", F.lit(""))
     kind = F.col("doc_id") % 3
     new = F.when(kind == 0, F.regexp_replace(text, "[0-9]", "7")).when(kind == 1, F.substring(text, F.lit(1), F.floor(F.length(text) / 3).cast("int"))).otherwise(F.concat(text, F.lit(" Zebra 42. "), text))
-    return docs(spark, sf_dir).select("doc_id", text.alias("original"), new.alias("rewritten"))
+    return docs(spark, sf_dir).select("doc_id", text.alias("original"), new.alias("rewritten")).unionByName(table_of(spark, "zh_pairs"))
 
 
-PAIRS = """pr AS (
+PAIRS = f"""pr AS (
   SELECT doc_id, coalesce(text, '') AS original,
          CASE doc_id % 3 WHEN 0 THEN regexp_replace(coalesce(text, ''), '[0-9]', '7', 'g')
                          WHEN 1 THEN substring(coalesce(text, ''), 1, CAST(floor(length(coalesce(text, '')) / 3) AS INT))
-                         ELSE coalesce(text, '') || ' Zebra 42. ' || coalesce(text, '') END AS rewritten FROM documents)"""
+                         ELSE coalesce(text, '') || ' Zebra 42. ' || coalesce(text, '') END AS rewritten FROM documents
+  UNION ALL {sql_table('zh_pairs')})"""
 
 
-def _side(column: str, pattern: str) -> str:
-    return f"SELECT doc_id, unnest(regexp_extract_all({column}, {lit(pattern)})) AS token FROM pr"
+def _side(column: str, pattern: str, made: str = "{}") -> str:
+    return f"SELECT doc_id, {made.format(f'unnest(regexp_extract_all({column}, {lit(pattern)}))')} AS token FROM pr"
 
 
 _NUMBERS = f"""nb AS (SELECT doc_id, token, count(*) AS before FROM ({_side('original', A.NUMBER)}) GROUP BY ALL),
 na AS (SELECT doc_id, token, count(*) AS after FROM ({_side('rewritten', A.NUMBER)}) GROUP BY ALL),
 nf AS (SELECT doc_id, token, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM nb FULL JOIN na USING (doc_id, token)),
-nd AS (SELECT *, CASE WHEN after < before THEN 'lost' ELSE 'invented' END AS kind FROM nf WHERE before <> after)"""
-_TERMS = f"tl AS (SELECT * FROM (SELECT DISTINCT * FROM ({_side('original', A.TERM)})) ANTI JOIN (SELECT DISTINCT * FROM ({_side('rewritten', A.TERM)})) USING (doc_id, token))"
+nd AS (SELECT *, CASE WHEN after < before THEN 'lost' ELSE 'invented' END AS kind FROM nf WHERE after < before OR before = 0)"""
+_TERMS = f"tl AS (SELECT * FROM (SELECT DISTINCT * FROM ({_side('original', A.TERM, 'upper({})')})) ANTI JOIN (SELECT DISTINCT * FROM ({_side('rewritten', A.TERM, 'upper({})')})) USING (doc_id, token))"
 _SIZES = f"""sz AS (
-  SELECT * FROM (SELECT doc_id, before, after, CASE WHEN before >= 40 AND after > 1.5::DOUBLE * before AND after - before > 60 THEN 'inflated'
-                               WHEN before >= 40 AND after < 0.4::DOUBLE * before THEN 'shrunk' END AS kind
-  FROM (SELECT doc_id, length({bare('original')}) AS before, length({bare('rewritten')}) AS after FROM pr)) WHERE kind IS NOT NULL)"""
-_HEADING, _ROLE = "(?m)^#{1,6} ", "(?m)^[A-Z][A-Za-z]{0,11}: "
-_STRUCTURE = "st AS (" + " UNION ALL ".join(f"SELECT * FROM (SELECT doc_id, '{k}' AS kind, {n_of('original', p)} AS before, {n_of('rewritten', p)} AS after FROM pr) WHERE after < before" for k, p in (("heading", _HEADING), ("role", _ROLE))) + ")"
+  SELECT doc_id, before, after, unnest(list_filter([CASE WHEN t = '' THEN 'empty' END, CASE WHEN t <> '' AND NOT {has('t', A.FINISHED)} THEN 'unfinished' END,
+      CASE WHEN t <> '' AND after < 0.4::DOUBLE * before THEN 'shrunk' END, CASE WHEN before >= 60 AND after > 1.5::DOUBLE * before AND after - before > 60 THEN 'inflated' END], lambda k: k IS NOT NULL)) AS kind
+  FROM (SELECT doc_id, length({bare('original')}) AS before, length({bare('rewritten')}) AS after, {trim('rewritten')} AS t FROM pr))"""
+_LOST = (("scene", A.SCENE, "after < before"), ("heading", A.HEADING, "after < before"), ("role", A.ROLE, "before >= 2 AND after = 0"))
+_STRUCTURE = "st AS (" + " UNION ALL ".join(f"SELECT doc_id, kind, before, after FROM (SELECT doc_id, '{k}' AS kind, {n_of('original', p)} AS before, {n_of('rewritten', p)} AS after, {trim('rewritten')} AS t FROM pr) WHERE {w} AND t <> ''" for k, p, w in _LOST) + ")"
+_CLAUSES = lambda c: f"list_filter(list_transform(regexp_split_to_array({c}, {lit(A.CLAUSE_CUT)}), lambda q: {trim('q')}), lambda q: q <> '')"
+_COLLAPSED = f"""c0 AS (SELECT doc_id, {_CLAUSES('original')} AS a, {_CLAUSES('rewritten')} AS b FROM pr),
+c1 AS (SELECT doc_id, list_filter(a, lambda q: length(q) >= 4 AND NOT list_contains(b, q)) AS gone, unnest(list_transform(b, lambda q: regexp_replace(q, {lit(A.PARTICLES)}, ''))) AS clause FROM c0),
+cl AS (SELECT doc_id, clause, list_filter(gone, lambda q: starts_with(q, clause) AND length(q) - length(clause) >= 2)[1] AS source FROM c1 WHERE length(clause) BETWEEN 4 AND 16),
+co AS (SELECT * FROM cl WHERE source IS NOT NULL)"""
 
 
 def _add(name: str, query, sql: str | None = None) -> None:
@@ -60,43 +68,42 @@ _add("number_fidelity", lambda s, d: A.number_fidelity(pairs(s, d)), f"WITH {PAI
 _add("term_loss", lambda s, d: A.term_loss(pairs(s, d)), f"WITH {PAIRS}, {_TERMS} SELECT doc_id, token FROM tl")
 _add("size_issues", lambda s, d: A.size_issues(pairs(s, d)), f"WITH {PAIRS}, {_SIZES} SELECT doc_id, before, after, kind FROM sz")
 _add("structure_loss", lambda s, d: A.structure_loss(pairs(s, d)), f"WITH {PAIRS}, {_STRUCTURE} SELECT * FROM st")
-_CLAUSE = "[，、；;：:。！？!?,.\n]"
-
-
-def _clauses(column: str) -> str:
-    from quillstone.plans.measure import trim
-
-    return f"SELECT DISTINCT doc_id, clause FROM (SELECT doc_id, {trim('c')} AS clause FROM (SELECT doc_id, unnest(regexp_split_to_array({column}, {lit(_CLAUSE)})) AS c FROM pr)) WHERE clause <> ''"
-
-
-_add(
-    "collapse",
-    lambda s, d: A.collapsed_clauses(pairs(s, d)),
-    f"""WITH {PAIRS}, cb AS ({_clauses('original')}), ca AS ({_clauses('rewritten')}),
-gone AS (SELECT * FROM cb ANTI JOIN ca USING (doc_id, clause)), short AS (SELECT * FROM ca ANTI JOIN cb USING (doc_id, clause) WHERE length(clause) BETWEEN 4 AND 16)
-SELECT short.doc_id, short.clause, gone.clause AS source FROM short JOIN gone ON short.doc_id = gone.doc_id
-WHERE starts_with(gone.clause, short.clause) AND length(gone.clause) - length(short.clause) >= 2""",
-)
-_EXEMPT = ["heading lost"]
+_add("collapse", lambda s, d: A.collapsed_clauses(pairs(s, d)), f"WITH {PAIRS}, {_COLLAPSED} SELECT doc_id, clause, source FROM co")
 _add(
     "hard_gate",
-    lambda s, d: A.hard_gate(pairs(s, d), s.createDataFrame([(x,) for x in _EXEMPT], "issue string")),
-    f"""WITH {PAIRS}, {_NUMBERS}, {_TERMS}, {_SIZES}, {_STRUCTURE}
+    lambda s, d: A.hard_gate(pairs(s, d), ("heading lost",)),
+    f"""WITH {PAIRS}, {_NUMBERS}, {_TERMS}, {_SIZES}, {_STRUCTURE}, {_COLLAPSED}
 SELECT doc_id, issue, detail FROM (
   SELECT doc_id, 'number ' || kind AS issue, token AS detail FROM nd UNION ALL SELECT doc_id, 'term lost', token FROM tl
-  UNION ALL SELECT doc_id, kind, '' FROM sz UNION ALL SELECT doc_id, kind || ' lost', '' FROM st) WHERE issue NOT IN ('heading lost')""",
+  UNION ALL SELECT doc_id, kind, '' FROM sz UNION ALL SELECT doc_id, kind || ' lost', '' FROM st
+  UNION ALL SELECT doc_id, 'collapsed', clause FROM co) WHERE issue NOT IN ('heading lost')""",
+)
+_add(
+    "deletion_stubs",
+    lambda s, d: A.deletion_stubs(pairs(s, d)),
+    f"""WITH {PAIRS}, s0 AS (SELECT doc_id, original, unnest(list_transform(regexp_split_to_array(rewritten, {lit(A.SENTENCE_CUT)}), lambda q: {trim('q')})) AS stub FROM pr),
+s1 AS (SELECT *, instr(original, stub) AS k FROM s0 WHERE length(stub) BETWEEN 2 AND 6 AND NOT {has('stub', A.PREDICATE)})
+SELECT doc_id, stub FROM s1 WHERE k > 0 AND NOT ((k = 1 OR {has('substring(original, k - 1, 1)', A.SENTENCE_CUT)})
+  AND (k + length(stub) > length(original) OR {has('substring(original, k + length(stub), 1)', A.SENTENCE_CUT)}))""",
+)
+_MORE = lambda p: f"{n_of('rewritten', p)} - {n_of('original', p)}"
+_add(
+    "added_content",
+    lambda s, d: A.added_content(pairs(s, d)),
+    f"""WITH {PAIRS}, m0 AS (SELECT doc_id, {_MORE('我')} AS f, {_MORE(A.SPECIFIC)} AS c, length({bare('original')}) AS n, length({bare('rewritten')}) AS m FROM pr),
+m1 AS (SELECT *, CASE WHEN n > 0 THEN m / n::DOUBLE ELSE 0 END AS r FROM m0)
+SELECT doc_id, 'first person' AS signal, f AS n FROM m1 WHERE f >= 3 UNION ALL SELECT doc_id, 'concrete', c FROM m1 WHERE c >= 2
+UNION ALL SELECT doc_id, 'longer', CAST(floor(r * 100 + 0.5) AS INT) FROM m1 WHERE r > 1.1::DOUBLE AND r <= 1.5::DOUBLE""",
 )
 _add(
     "adjacent_duplicates",
     lambda s, d: A.adjacent_duplicates(D.sentence_table(docs(s, d), LATIN, "doc_id")),
     f"WITH {base_sql(LATIN, 'documents')} SELECT doc_id, sent_idx FROM (SELECT doc_id, sent_idx, sent, lag(sent) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS b FROM s) WHERE sent = b",
 )
-_SIGNALS = ("Zebra", "the the", "42")
-_signal_sql = " UNION ALL ".join(f"SELECT doc_id, {lit(p)} AS phrase FROM pr WHERE contains(rewritten, {lit(p)}) AND NOT contains(original, {lit(p)})" for p in _SIGNALS)
-_add("fabrication_signals", lambda s, d: A.new_signals(pairs(s, d), _SIGNALS), f"WITH {PAIRS} {_signal_sql}")
-_PARTNERS = {"Zebra": ("42x",), "and": ("the", "und"), "que": ("et",)}
-_partner_sql = " UNION ALL ".join(f"SELECT doc_id, {lit(a)} AS connective FROM pr WHERE contains(rewritten, {lit(a)}) AND NOT (" + " OR ".join(f"contains(rewritten, {lit(b)})" for b in bs) + ")" for a, bs in _PARTNERS.items())
-_add("coherence", lambda s, d: A.unpaired(pairs(s, d), _PARTNERS), f"WITH {PAIRS} {_partner_sql}")
+_signal_sql = " UNION ALL ".join(f"SELECT doc_id, {lit(p)} AS phrase FROM pr WHERE contains(rewritten, {lit(p)}) AND NOT contains(original, {lit(p)})" for p in A.EXPERIENCE)
+_add("fabrication_signals", lambda s, d: A.new_signals(pairs(s, d)), f"WITH {PAIRS} {_signal_sql}")
+_partner_sql = " UNION ALL ".join(f"SELECT doc_id, {lit(a)} AS connective FROM pr WHERE contains(rewritten, {lit(a)}) AND NOT (" + " OR ".join(f"contains(rewritten, {lit(b)})" for b in bs) + ")" for a, bs in A.PARTNERS.items())
+_add("coherence", lambda s, d: A.unpaired(pairs(s, d)), f"WITH {PAIRS} {_partner_sql} UNION ALL SELECT doc_id, 'opening pronoun' FROM pr WHERE {has(trim('rewritten'), A.OPENING_PRONOUN)}")
 
 
 def _fixture(name: str, source: str, query, sql: str) -> None:
@@ -126,7 +133,7 @@ SELECT w, sse, n FROM g ORDER BY sse, w LIMIT 1""",
 )
 _fixture(
     "panel_weighted_median", "judgements", C.weighted_panel,
-    """, v AS (SELECT doc_id, score, unnest(range(0, coalesce(weight, 1))) FROM judgements WHERE score IS NOT NULL)
+    """, v AS (SELECT doc_id, score, unnest(range(0, greatest(1, CAST(floor(coalesce(weight, 1) + 0.5) AS BIGINT)))) FROM judgements WHERE score IS NOT NULL)
 SELECT doc_id, CAST(floor(median(score) + 0.5) AS BIGINT) AS median, (SELECT max(score) - min(score) FROM judgements j WHERE j.doc_id = v.doc_id) AS spread,
        (SELECT count(score) FROM judgements j WHERE j.doc_id = v.doc_id) AS valid FROM v GROUP BY doc_id""",
 )
@@ -154,7 +161,17 @@ _fixture(
 SELECT id, sum(ms) AS ms, CAST(sum(delta) AS BIGINT) AS delta, max_by(chars, run * 1000 + seq) AS last_chars, count(*) AS runs, bool_and(skipped) AS all_skipped FROM t GROUP BY id""",
 )
 _fixture("best_of_n", "candidates", C.best_of, "SELECT doc_id, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, candidate) AS k FROM candidates WHERE NOT vetoed) WHERE k = 1")
-_add("stop_rules", lambda s, d: C.stop_rules(table_of(s, "rounds")))
+_PARTS = lambda c: f"list_distinct(list_filter(string_split({c}, ','), lambda x: x <> ''))"
+_fixture(
+    "stop_rules", "rounds", C.stop_rules,
+    f""", p AS (SELECT *, {_PARTS('issues')} AS i, {_PARTS('critiques')} AS c FROM rounds),
+w AS (SELECT *, last_value(CASE WHEN len(i) > 0 THEN i END IGNORE NULLS) OVER v AS pi, last_value(CASE WHEN len(c) > 0 THEN c END IGNORE NULLS) OVER v AS pc, min(score) OVER v AS best
+  FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN anchor <= 28 THEN anchor ELSE greatest(10, CAST(floor(0.35::DOUBLE * anchor + 0.5) AS BIGINT)) END AS target FROM w)
+SELECT doc_id, round, target, CASE WHEN round > 0 AND len(list_filter(i, lambda x: NOT list_contains(coalesce(pi, []), x))) > 0 THEN 'new issue'
+  WHEN len(list_intersect(c, coalesce(pc, []))) >= 2 THEN 'repeated critiques' WHEN round > 0 AND score <= target THEN 'target'
+  WHEN score >= best THEN 'no improvement' ELSE 'go on' END AS why FROM t""",
+)
 _KNOWN = ["a", "b", "c", "d", "e"]
 _fixture(
     "ledger_audit", "ledger", lambda f: C.ledger_audit(f, _KNOWN),
@@ -169,7 +186,11 @@ _add(
     f"""WITH o AS ({sql_table('ledger_old')}), n AS ({sql_table('ledger')})
 SELECT line, what FROM (SELECT o.line, CASE WHEN n.sha IS NULL THEN 'truncated' ELSE 'modified' END AS what FROM o LEFT JOIN n USING (line) WHERE n.sha IS NULL OR n.sha <> o.sha) ORDER BY line LIMIT 1""",
 )
-_add("outside_scores", lambda s, d: C.outside_scores(table_of(s, "raw_scores")))
+_fixture(
+    "outside_scores", "raw_scores", C.outside_scores,
+    """, n AS (SELECT id, coalesce(json_extract_string(raw, '$.status') = 'error', false) AS failed, TRY_CAST(json_extract_string(raw, '$.data.score') AS DOUBLE) AS x FROM raw_scores)
+SELECT id, CASE WHEN NOT failed THEN CAST(floor(least(100.0, greatest(0.0, CASE WHEN x <= 1 THEN x * 100 ELSE x END)) + 0.5) AS BIGINT) END AS score FROM n""",
+)
 _fixture(
     "official_results", "official_results", C.said_results,
     """, l AS (SELECT id, said, CASE WHEN contains(said, '疑似') THEN 'suspected' WHEN contains(said, '人工') THEN 'human' WHEN contains(said, 'AI') THEN 'ai' END AS label FROM official_results)
@@ -191,7 +212,7 @@ _fixture(
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return read_table(spark, sf_dir, "labels").select("doc_id", "quality")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,11 +230,11 @@ _add(
 )
 _add(
     "score_rollup",
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("lang", "source", T.visible_length("text").alias("n")).rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n").alias("chars")),
+    lambda s, d: read_table(s, d, "documents").select("lang", "source", T.visible_length("text").alias("n")).rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n").alias("chars")),
     f"SELECT lang, source, count(*) AS docs, CAST(sum(length({bare('text')})) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)",
 )
 _add(
     "dialogue_turns",
-    lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.max_by("role", "turn").alias("last_role"), F.sum(T.visible_length("text")).alias("chars")),
+    lambda s, d: read_table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.max_by("role", "turn").alias("last_role"), F.sum(T.visible_length("text")).alias("chars")),
     f"SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, max_by(role, turn) AS last_role, CAST(sum(length({bare('text')})) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
 )

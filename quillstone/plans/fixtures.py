@@ -16,6 +16,32 @@ _TABLES: dict[str, tuple[str, list[tuple]]] = {
             (6, "首先是目标明确、重点突出、措施有力、责任到人的工作机制建设。然而人们往往忽视这一点。"),
         ],
     ),
+    "zh_pairs": (
+        "doc_id BIGINT, original STRING, rewritten STRING",
+        [
+            (-1, "2023年GDP增长5.2%，其中AI产业贡献23%。", "2023年增长5.2%，其中产业贡献32%，约7成。"),
+            (-2, "人工智能技术展望未来，前景广阔。企业需要Fast-API接口。", "人工智能技术吧，前景广阔。企业需要fast-api接口。"),
+            (-3, "【场景：会议室】\n# 开场\n张总（项目经理）：开始吧。\n李工（前端负责人）：好。", "张总：开始吧。\n李工：好。"),
+            (-4, "首先要明确目标，其次要落实责任。", "其次要落实责任。"),
+            (-5, "企业应当重视培训。", "这事儿我见过，我们公司去年我带的培训，说白了就是我朋友讲，我听。"),
+            (-6, "随着城市化进程不断推进，公共服务体系的建设已经成为各地政府普遍关注的重点任务之一，也关系到每一位居民的日常生活质量与长远发展，需要各方共同努力。", "城市化。公共服务体系的建设"),
+            (-7, "数据安全治理体系建设是重点。", "数据安全。治理体系建设是重点。"),
+            (-8, "没有变化的一段话。", "没有变化的一段话。"),
+            (-9, "有内容。", ""),
+        ],
+    ),
+    "cliche_docs": (
+        "doc_id BIGINT, text STRING",
+        [
+            (-1, "值得注意的是，数字化转型具有十分重要的现实意义。然而，困难不少。\n因此企业要站在新的历史起点上，展望未来。"),
+            (-2, "说真的，这事说真的，不好办。讲真，说真的，再等等——不急——真的——好吗……行……吧"),
+            (-3, "综上所述，毋庸置疑，他总体而言，不差！与此同时而且，另外走了。"),
+        ],
+    ),
+    "spaced": (
+        "doc_id BIGINT, original STRING, rewritten STRING",
+        [(1, "使用 Webpack 打包", "用Webpack打包1200个模块"), (2, "使用Webpack打包", "用Webpack打包"), (3, "增长 \t5 %  左右，GDP)  好", "增长5%左右"), (4, "", "")],
+    ),
     "nll_windows": (
         "doc_id BIGINT, win BIGINT, scored BIGINT, mean_nll DOUBLE",
         [(1, 0, 40, 0.52), (1, 1, 40, 0.55), (1, 2, 30, 0.57), (2, 0, 59, 0.61), (3, 0, 60, 0.70), (3, 1, 61, 0.9), (4, 0, 80, 0.4), (4, 1, 0, 0.1), (4, 2, 64, 0.8), (4, 3, 64, 0.3)],
@@ -45,7 +71,7 @@ _TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "ledger_old": ("line BIGINT, sha STRING", [(1, "s1"), (2, "s2"), (3, "s3x"), (4, "s4"), (5, "s5"), (6, "s6"), (7, "s7")]),
     "candidates": ("doc_id BIGINT, candidate BIGINT, score BIGINT, vetoed BOOLEAN", [(1, 0, 40, False), (1, 1, 22, True), (1, 2, 25, False), (1, 3, 25, False), (2, 0, 30, True), (2, 1, 12, True), (3, 0, 18, False), (3, 1, 19, False)]),
-    "rounds": ("doc_id BIGINT, round BIGINT, anchor BIGINT, score BIGINT, issues STRING, critiques STRING", [(1, 0, 80, 80, "a", "x,y"), (1, 1, 80, 60, "a", "y,z"), (1, 2, 80, 55, "a,b", "z,w"), (2, 0, 24, 24, "", "x"), (2, 1, 24, 20, "", "k"), (3, 0, 60, 60, "a", "x,y,z"), (3, 1, 60, 61, "a", "x,y")]),
+    "rounds": ("doc_id BIGINT, round BIGINT, anchor BIGINT, score BIGINT, issues STRING, critiques STRING", [(1, 0, 80, 80, "a", "x,y"), (1, 1, 80, 60, "a", "y,z"), (1, 2, 80, 55, "a,b", "z,w"), (2, 0, 24, 24, "", "x"), (2, 1, 24, 20, "", "k"), (3, 0, 60, 60, "a", "x,y,z"), (3, 1, 60, 61, "a", "x,y"), (4, 0, 70, 70, "a", ""), (4, 1, 70, 50, "", "q"), (4, 2, 70, 60, "a", "r"), (4, 3, 70, 49, "b", "r"), (5, 0, 90, 90, "", "m,n"), (5, 1, 90, 70, "", ""), (5, 2, 90, 60, "", "n,m")]),
     "raw_scores": ("id BIGINT, raw STRING", [(1, '{"data":{"score":0.83}}'), (2, '{"data":{"score":27}}'), (3, '{"status":"error","data":{"score":0.2}}'), (4, '{"data":{}}'), (5, '{"data":{"score":"x"}}'), (6, '{"data":{"score":140}}')]),
     "official_results": ("id BIGINT, said STRING", [(1, "检测结果：AI特征 87.5%"), (2, "人工特征"), (3, "疑似AI 占比 41%"), (4, "AI特征"), (5, "无结果"), (6, "label: 12 %")]),
 }

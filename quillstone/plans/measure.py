@@ -10,12 +10,13 @@ from quillstone.functions.lexicon import CHINESE, LATIN, Lexicon
 from quillstone.operators import detector as D
 from quillstone.operators import spans as S
 from quillstone.plans.fixtures import sql_table, table_of
+from quillstone.sources.tables import read_table
 
 W = T.SPACE_CLASS
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return read_table(spark, sf_dir, "documents", ("doc_id", "text"))
 
 
 def lit(s: str) -> str:
