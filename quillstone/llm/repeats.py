@@ -136,7 +136,7 @@ class Routing:
     hot: int = 2000
     rows: int = 5_000
     sample: int = 64
-    most: int = 100_000
+    most: int = 350_000
 
 
 def anchors_of(docs: DataFrame, units: Callable[[], Callable[[bytes], np.ndarray]], window: int, k: int) -> DataFrame:
@@ -230,26 +230,39 @@ def stretches(docs: DataFrame, found: DataFrame, units: Callable[[bytes], Sequen
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
+            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+            parts: list[bytes] = []
             rows: list[tuple] = []
-            for doc, row, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "z", "asked"))):
+            asked = batch.column("asked")
+            ends = np.cumsum(asked.value_lengths().to_numpy())
+            every = {f.name: asked.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in asked.type.value_type}
+            for (doc, row, text), start, end in zip(zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "z"))), [0, *ends.tolist()], ends.tolist()):
                 own = units(z.decompress(text))
-                for x in asked:
-                    place, rep, many, spread = x["place"], x["rep"], x["many"], x["spread"]
-                    at, n, shift = unplaced(place)
-                    if at + n + window - 1 > len(own):
-                        continue
-                    if not many or x["copies"]:
-                        key = x["key"] ^ x["ctx"] if many else x["key"]
-                        one = part(own[at : at + n + window - 1])
-                        for salt in range(spread) if rep else (row % spread,):
-                            rows.append((key, salt, rep, False, doc, row, place, one))
-                    if many and rep:
-                        for j in range(at, at + n):
-                            one = part(own[j : j + window])
-                            rows.append((_signed(xxhash.xxh3_64_intdigest(one)), 0, True, True, doc, row, (j << 16) | (1 << 8), one))
+                x = {c: v[start:end] for c, v in every.items()}
+                at, n = x["place"] >> 16, x["place"] >> 8 & 255
+                fits = at + n + window - 1 <= len(own)
+                plain = fits & (x["spread"] == 1) & (~x["many"] | x["copies"])
+                keys = np.where(x["many"], x["key"] ^ x["ctx"], x["key"])
+                m = int(plain.sum())
+                none = np.zeros(m, np.int64)
+                for c, v in zip(columns, (keys[plain], none, x["rep"][plain], none, none + doc, none + row, x["place"][plain])):
+                    c.append(v)
+                parts += [part(own[i:j]) for i, j in zip(at[plain].tolist(), (at + n + window - 1)[plain].tolist())]
+                for k in np.flatnonzero(fits & ((x["spread"] > 1) | x["many"])).tolist():
+                    i, j, rep, spread, place = int(at[k]), int(n[k]), bool(x["rep"][k]), int(x["spread"][k]), int(x["place"][k])
+                    if spread > 1 and (not x["many"][k] or x["copies"][k]):
+                        one = part(own[i : i + j + window - 1])
+                        rows += [(int(keys[k]), salt, rep, False, doc, row, place, one) for salt in (range(spread) if rep else (row % spread,))]
+                    if x["many"][k] and rep:
+                        for a in range(i, i + j):
+                            one = part(own[a : a + window])
+                            rows.append((_signed(xxhash.xxh3_64_intdigest(one)), 0, True, True, doc, row, (a << 16) | (1 << 8), one))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
                     rows = []
+            if parts:
+                joined = [np.concatenate(c) for c in columns]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(joined, _KINDS)), pa.array(parts, pa.binary())], names=_NAMES)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
@@ -279,8 +292,8 @@ def split_windows(parts: DataFrame, routing: Routing, most: int = 256) -> DataFr
     return parts.withColumn("salt", F.explode(salts))
 
 
-def dealt(docs: DataFrame, every: DataFrame, sampled: DataFrame, where: str, units, part, window: int, routing: Routing, first_doc: bool = False) -> DataFrame:
-    """Stretches of docs (doc, text) by lots: a lot is in one partition, its reps first, and has about routing.shard of them."""
+def dealt(docs: DataFrame, every: DataFrame, sampled: DataFrame, where: str, units, part, window: int, routing: Routing, by: str, first_doc: bool = False) -> DataFrame:
+    """Stretches of docs (doc, text) by lots: a lot is in one partition, in order of by, and has about routing.shard reps."""
     spark = docs.sparkSession
     found = stored(recurring(every, where, routing, hot_keys(stored(sampled, "sampled"), routing), first_doc), "recurring")
     held = F.when(F.col("many"), F.shiftright("place", 8).bitwiseAND(F.lit(255))).otherwise(F.col("spread"))
@@ -292,13 +305,14 @@ def dealt(docs: DataFrame, every: DataFrame, sampled: DataFrame, where: str, uni
     tasks = max(1, min(lots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     parts = parts.withColumn("key", F.xxhash64("key", "salt"))  # reps that went to several salts don't meet
     parts = parts.select(F.pmod("key", F.lit(lots)).cast("int").alias("lot"), "key", "rep", "doc", "row", "place", "part")
-    return parts.repartition(tasks, "lot").sortWithinPartitions("lot", F.desc("rep"))
+    return parts.repartition(tasks, "lot").sortWithinPartitions("lot", F.expr(by))
 
 
 def lots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of dealt batches, as tuples (lot, key, rep, doc, row, place, part)."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in ("lot", "key", "rep", "doc", "row", "place", "part")))
+        plain = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("lot", "key", "rep", "doc", "row", "place"))
+        yield from zip(*plain, batch.column("part").to_pylist())
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:

@@ -73,6 +73,7 @@ class Phrases:
             if lo < hi:
                 self.machine.add_word(key, lo)
         self.some = len(self.machine) > 0
+        self.seen: dict[bytes, list[tuple[int, int]]] = {}
         if self.some:
             self.machine.make_automaton()
 
@@ -80,8 +81,12 @@ class Phrases:
         """A bit for each window of a passage of doc: whether an earlier document holds it."""
         if not self.some:
             return 0
-        out, number = 0, self.number
-        for end, first in self.machine.iter(tuple([number.get(x, 0) for x in words.split()])):
+        found = self.seen.get(words)
+        if found is None:  # equal passages are streamed once
+            number = self.number
+            found = self.seen[words] = [*self.machine.iter(tuple([number.get(x, 0) for x in words.split()]))]
+        out = 0
+        for end, first in found:
             if first < doc:
                 out |= 1 << (end - self.window + 1)
         return out
@@ -139,7 +144,7 @@ def passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFr
     row is a hash of the text."""
     sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(config.routing.sample)) == 0)
     every, sampled = (anchors_of(d, Words, config.window, config.k) for d in (docs, sample))
-    parts = dealt(docs, every, sampled, "lo < hi", bytes.split, b" ".join, config.window, config.routing, first_doc=True)
+    parts = dealt(docs, every, sampled, "lo < hi", bytes.split, b" ".join, config.window, config.routing, "NOT rep", first_doc=True)
     return _located(parts, config).groupBy("doc", "row").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 

@@ -25,11 +25,12 @@ from quillstone.llm.repeats import Powers, Prefixes, Routing, anchors_of, covere
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """length: bytes of a string that counts. k: bytes of an anchor's k-gram. routing: see repeats."""
+    """length: bytes of a string that counts. k: bytes of an anchor's k-gram. batch: windows sorted at a time, about. routing: see repeats."""
 
     length: int = 200
     k: int = 50
-    routing: Routing = field(default_factory=Routing)
+    batch: int = 60_000
+    routing: Routing = field(default_factory=lambda: Routing(hot=800))
 
 
 #: A 64-bit unit for each byte.
@@ -142,8 +143,9 @@ _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _located(parts: DataFrame, config: SuffixConfig) -> DataFrame:
-    """MARKS of dealt stretches: a bit for each window whose string starts elsewhere too, null if all do. Of a lot, each distinct
-    stretch is held once; it is sorted twice if several places have it."""
+    """MARKS of dealt stretches: a bit for each window whose string starts elsewhere too, null if all do. Of a lot, some keys
+    are held at a time, as only windows of one key can be equal, and of those each distinct stretch once; it is sorted twice
+    if several places have it."""
 
     def done(lot: dict[tuple, list[tuple]]) -> pa.RecordBatch:
         rows: list[tuple] = []
@@ -158,13 +160,16 @@ def _located(parts: DataFrame, config: SuffixConfig) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, _KINDS)], names=["doc", "row", "place", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lot = None, {}
-        for number, key, _, doc, row, place, part in lots_of(batches):
-            if number != now and lot:
+        now, lot, held = None, {}, 0
+        for _, key, _, doc, row, place, part in lots_of(batches):
+            if key != now and held > config.batch:
                 yield done(lot)
-                lot = {}
-            now = number
-            lot.setdefault((key, unplaced(place)[2], part), []).append((doc, row, place))
+                lot, held = {}, 0
+            now = key
+            who = lot.setdefault((key, unplaced(place)[2], part), [])
+            who.append((doc, row, place))
+            if len(who) < 3:
+                held += len(part) - config.length + 1
         if lot:
             yield done(lot)
 
@@ -176,7 +181,7 @@ def repeated_strings(docs: DataFrame, config: SuffixConfig = SuffixConfig()) ->
     where all windows of a place do; row is a hash of the text."""
     sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(config.routing.sample)) == 0)
     every, sampled = (anchors_of(d, lambda: _units, config.length, config.k) for d in (docs, sample))
-    parts = dealt(docs, every, sampled, "n > 1", bytes, bytes, config.length, config.routing)
+    parts = dealt(docs, every, sampled, "n > 1", bytes, bytes, config.length, config.routing, "key")
     return _located(parts, config).groupBy("doc", "row").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 

@@ -42,7 +42,7 @@ def found_words(frame, config=substring_dedup.PassageConfig()):
 
 @pytest.mark.parametrize("routing", ROUTES)
 def test_suffix_dedup(spark, docs, rows, routing):  # noqa: F811
-    config = suffix_dedup.SuffixConfig(length=40, k=10, routing=routing)
+    config = suffix_dedup.SuffixConfig(length=40, k=10, batch=200, routing=routing)
     frame = docs.unionByName(spark.createDataFrame([rows[1], (None, rows[2][1], "q", "q", 0)], DOCS))
     texts = [r[1] for r in rows] + [rows[1][1], rows[2][1]]
     got = sorted(((r.doc_id if r.doc_id is not None else 99), r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup(frame, config).collect())
@@ -65,7 +65,7 @@ def test_a_passage_between_different_neighbours(spark, routing):
     texts = [*enumerate([prose(100 + 2 * i, 15) + " " + shared + " " + prose(101 + 2 * i, 15) for i in range(60)] + [shared] * 2)]
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     assert found_words(frame, substring_dedup.PassageConfig(routing=routing)) == brute_words(texts)
-    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(frame, suffix_dedup.SuffixConfig(length=40, k=10, routing=routing)).collect()}
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(frame, suffix_dedup.SuffixConfig(length=40, k=10, batch=200, routing=routing)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_strings([t for _, t in texts], 40)
 
 
@@ -75,7 +75,7 @@ def test_rows_that_share_an_id_but_not_a_text(spark, routing):
     texts = [(1, s + " " + x), (2, y + " " + s), (2, "z"), (2, x + " " + y), (3, s + " " + s), (3, s), (3, s), (4, prose(9, 5))]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     assert found_words(frame, substring_dedup.PassageConfig(routing=routing)) == brute_words(texts)
-    config = suffix_dedup.SuffixConfig(length=40, k=10, routing=routing)
+    config = suffix_dedup.SuffixConfig(length=40, k=10, batch=200, routing=routing)
     got = sorted((r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup(frame, config).collect())
     assert got == sorted((d, len(t), k) for (d, t), k in zip(texts, brute_strings([t for _, t in texts], 40)))
 
