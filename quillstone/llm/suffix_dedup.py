@@ -25,7 +25,8 @@ from quillstone.llm.repeats import Powers, Prefixes, Routing, anchors_of, covere
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """length: bytes of a string that counts. k: bytes of an anchor's k-gram. batch: windows sorted at a time, about. routing: see repeats."""
+    """length: bytes of a string that counts. k: bytes of an anchor's k-gram. batch: how much is sorted at a time, about: windows, and
+    a 16th of the bytes, as hashes take memory by the byte, and copies. routing: see repeats."""
 
     length: int = 200
     k: int = 50
@@ -168,8 +169,7 @@ def _located(parts: DataFrame, config: SuffixConfig) -> DataFrame:
             now = key
             who = lot.setdefault((key, unplaced(place)[2], part), [])
             who.append((doc, row, place))
-            if len(who) < 3:
-                held += len(part) - config.length + 1
+            held += 1 if len(who) > 2 else len(part) - config.length + 1 + len(part) // 16
         if lot:
             yield done(lot)
 
