@@ -16,6 +16,29 @@ def ols_lines(points: DataFrame, by: str = "track") -> DataFrame:
     return points.groupBy(by).agg(n.alias("n"), slope.alias("slope"), F.when(flat, F.avg("y") - F.avg("x")).otherwise(F.regr_intercept("y", "x")).alias("intercept"), F.when(~flat, F.regr_r2("y", "x")).alias("r2"))
 
 
+#: 95 % points of Student's t by degrees of freedom, and of all from four up.
+STUDENT, STUDENT_MORE = {1: 12.706, 2: 4.303, 3: 3.182}, 2.776
+
+
+def ols_errors(points: DataFrame, by: str = "track") -> DataFrame:
+    """Of each line with three points or more at different x: standard errors, 95 % bounds of its slope, largest residual."""
+    lines = ols_lines(points, by).where("n > 2 AND r2 IS NOT NULL")
+    both = points.join(F.broadcast(lines), by).withColumn("residual", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
+    out = both.groupBy(by, "n", "slope").agg(F.sum(F.col("residual") * F.col("residual")).alias("ssr"), F.avg("x").alias("mx"), (F.var_pop("x") * F.count("*")).alias("sxx"), F.max(F.abs("residual")).alias("max_residual"))
+    se = F.sqrt(F.col("ssr") / (F.col("n") - 2))
+    t = F.lit(STUDENT_MORE)
+    for degrees, value in STUDENT.items():
+        t = F.when(F.col("n") - 2 == degrees, value).otherwise(t)
+    out = out.withColumns({"se": se, "se_slope": se / F.sqrt("sxx"), "se_intercept": se * F.sqrt(1 / F.col("n") + F.col("mx") * F.col("mx") / F.col("sxx"))})
+    away = t * F.col("se_slope")
+    return out.select(by, "n", "slope", "se", "se_slope", "se_intercept", (F.col("slope") - away).alias("slope_low"), (F.col("slope") + away).alias("slope_high"), "max_residual")
+
+
+def plain_median(judgements: DataFrame) -> DataFrame:
+    """Median score of each document, of an even number the mean of the middle two, halves upwards."""
+    return judgements.where("score IS NOT NULL").groupBy("doc_id").agg(T.half_up(F.median("score")).alias("median"))
+
+
 def robust_lines(points: DataFrame, by: str = "track") -> DataFrame:
     """Lines fitted again without each track's point of largest residual."""
     lines = ols_lines(points, by)

@@ -18,10 +18,10 @@ BASE = 22
 
 def span_table(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, sent_idx, sent, start, end): sentences with half-open offsets in code points; those of marks alone are left out."""
-    return docs.select("doc_id", F.posexplode(_cut(lexicon)).alias("sent_idx", "_s")).select("doc_id", "sent_idx", "_s.*")
+    return docs.select("doc_id", F.posexplode(cut(lexicon)).alias("sent_idx", "_s")).select("doc_id", "sent_idx", "_s.*")
 
 
-def _cut(lexicon: Lexicon) -> Column:
+def cut(lexicon: Lexicon) -> Column:
     """Sentences of text as structs (sent, start, end). Sentences are neighbours in the text, so a sentence's end is the sum of the
     lengths so far: lengths are packed into one sorted pass of numbers, not summed anew for each sentence."""
     d = lexicon.span_delimiters

@@ -38,6 +38,22 @@ _TABLES: dict[str, tuple[str, list[tuple]]] = {
             (-3, "综上所述，毋庸置疑，他总体而言，不差！与此同时而且，另外走了。"),
         ],
     ),
+    "score_docs": (
+        "doc_id BIGINT, text STRING",
+        [
+            (1, "值得注意的是，企业要转型。综上所述，未来可期。然而，面对机遇和挑战，我们站在新的历史起点上，必须在新时代背景下取得了显著成效。"),
+            (2, "说真的，其实说白了，在当前背景下，企业要转型。讲真，老实讲，数字化转型不是一蹴而就的。你懂的。就这样。"),
+            (3, "增长达到了 41.8%嗯。说到底。换句话说。再去年的数据，时候候不早了。搭起弄全之后，贼好。"),
+            (4, "今天天气不错。我们去公园走走吧，顺便买点菜。\n回来再说——别急——慢慢来……行……"),
+            (5, ""),
+            (6, None),
+            (7, "共 100 次,用 GPU 跑,很快,很稳，结束。一二三四五六。一二三四五六七。一二三四五六。一二三四五六七。一二三四五六。说真的，好。说真的，行。"),
+            (8, "长" * 52 + "。" + "长" * 70 + "。" + "长" * 61 + "；不仅要讲创新而且要讲落实还要见效。"),
+        ],
+    ),
+    "tracks": ("track STRING, a DOUBLE, b DOUBLE, sat DOUBLE", [("main", 2.014, 19.06, 40.2), ("narrative", 1.716, 18.33, 47.6), ("dialogue", 0.8827, 26.5, 83.3), ("human", -0.3, 18.0, None)]),
+    "scored": ("id BIGINT, genre STRING, score BIGINT", [(1, "main", 0), (2, "narrative", 12), (3, "dialogue", 90), (4, "humanHand", 30), (5, None, 60), (6, "main", 20), (7, "humanHand", 90)]),
+    "scale": ("id BIGINT, kind STRING, score BIGINT", [(1, "human", 26), (2, "human", 7), (3, "machine", 30), (4, "machine", 62)]),
     "spaced": (
         "doc_id BIGINT, original STRING, rewritten STRING",
         [(1, "使用 Webpack 打包", "用Webpack打包1200个模块"), (2, "使用Webpack打包", "用Webpack打包"), (3, "增长 \t5 %  左右，GDP)  好", "增长5%左右"), (4, "", "")],
