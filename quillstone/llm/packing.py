@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,21 @@ _NUMBERS = "0-9²³¹¼½¾"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\x09-\x0d\x20\x85\xa0{_LETTERS}{_NUMBERS}]+").findall
 #: Texts that the tokenizer takes whole: characters whose normal form or lower case needs context, other white space,
 #: strings of special tokens.
-_WHOLE = re.compile(r"[^\x00-ɏ]|[İ\x1c-\x1f]|<\|").search
+_ODD = re.compile(r"[^\x00-\x1b\x20-\u012f\u0131-ɏ]").search
+_SPECIAL = "<|"
+
+
+class _Kept(dict):
+    """Ids by string, made when first asked for; those of long strings aren't kept."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= 64:
+            self[key] = ids
+        return ids
 
 
 class WordTokens:
@@ -53,38 +68,30 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
         self.keep = keep
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = _Kept(self._word), _Kept(self._part)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.shown = {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            shown = part.encode().decode("latin-1").translate(self.shown)
-            ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(part) <= 64:
-                self.parts[part] = ids
-        return ids
+        plain = part.isascii() and part.isprintable()
+        found = self.model.tokenize(part if plain else part.encode().decode("latin-1").translate(self.shown))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PIECES(word)))
 
     def __call__(self, text: str | None) -> bytes:
         """Packed ids, little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _WHOLE(text):
+        if _ODD(text) or _SPECIAL in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > self.keep:
-            self.words = {}
+            self.words = _Kept(self._word)
         if len(self.parts) > self.keep:
-            self.parts = {}
-        words, known, long = text.lower().split(), self.words, {}
-        for w in {*words}:
-            if w not in known:
-                (known if len(w) <= 64 else long)[w] = b"".join(map(self._part, _PIECES(w)))
-        if long:
-            return b"".join([known[w] if w in known else long[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+            self.parts = _Kept(self._part)
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, config: PackConfig = PackConfig()) -> DataFrame:
