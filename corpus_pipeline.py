@@ -69,7 +69,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: SQL can't express mixtures fitted per document or best-fit packing. A brute-force test of the whole pipeline is still to come.
+#: SQL can't express mixtures fitted per document or best-fit packing; a brute-force version is in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
