@@ -50,6 +50,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that stored made, once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def held_out(ids: Column) -> Column:
     """Rows of the held-out fold: CRC-32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(ids.cast("string")) % 4 == 2, F.lit(False))
