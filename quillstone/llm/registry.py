@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import byte_bpe, chat_format, embedding_dedup, language_id, packing, quality_rules, simhash, sort_means, spelling, substring_dedup, suffix_dedup, toxicity
+from quillstone.llm import byte_bpe, chat_format, embedding_dedup, language_id, packing, quality_rules, simhash, sort_means, spelling, substring_dedup, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_token_files": token_files.op11_token_files,
     "op12_spelling": spelling.op12_spelling,
     "op13_sort_means": sort_means.op13_sort_means,
 }
