@@ -7,8 +7,9 @@ and of its context (ctx), of independent bases: anchors equal in both have equal
 some windows.
 
 Anchors only route: the stretches of text that they name are read again from every document and dealt to lots, and what an
-operator says of them it finds in their bytes. A stretch that is asked of a row by mistake, as two rows share an id, is thus
-harmless.
+operator says of them it finds in their bytes. A row's own anchors share out its windows, so that each is in one stretch. Rows
+that share an id are asked for each other's stretches too; where those overlap, a row's anchors are found again and the others
+dropped, so that no window of a row is sent twice.
 """
 
 from __future__ import annotations
@@ -79,6 +80,8 @@ class Sketch:
     """Finds the anchors of sequences: window units a window, k units a k-gram."""
 
     def __init__(self, window: int, k: int) -> None:
+        if not 0 < k <= window or window - k > 254:
+            raise ValueError(f"k must be from 1 to the window, and at most 254 under it: a place has 8 bits for its windows and its shift; got window {window}, k {k}")
         self.window, self.k = window, k
         self.powers = Powers(_ODD[0]), Powers(_ODD[1])
 
@@ -217,18 +220,25 @@ _KINDS = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()
 _NAMES = [c.split()[0] for c in STRETCHES.split(", ")]
 
 
-def stretches(docs: DataFrame, found: DataFrame, units: Callable[[bytes], Sequence], part: Callable[[Sequence], bytes], window: int) -> DataFrame:
+def own_places(raw: bytes, asked: dict[str, np.ndarray], sketch: Sketch, hashed: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """Which of the asked anchors (key, ctx, place) a text has itself."""
+    a = sketch.anchors(hashed(raw))
+    mine = {*zip(a.key.tolist(), a.ctx.tolist(), placed(a).tolist())}
+    return np.array([x in mine for x in zip(*(asked[c].tolist() for c in ("key", "ctx", "place")))], bool)
+
+
+def stretches(docs: DataFrame, found: DataFrame, hashed: Callable[[], Callable[[bytes], np.ndarray]], units: Callable[[bytes], Sequence], part: Callable[[Sequence], bytes], window: int, k: int) -> DataFrame:
     """What the rows found by recurring stand for, read from every row of docs (doc, text): key, salt, doc, row (a hash of the
     text), place and part, the stretch's own bytes; rep and window (a single window, by its own hash) as follows.
 
     A key's stretches go to as many salts as spread says, those of its first and last of each context (rep) to all of them. Of keys
     with many contexts, a context's copies have a key of their own, and its reps go besides as single windows, each under its hash:
-    equal windows meet however many contexts there are. A stretch that reaches beyond the text is left out: it was asked of
-    another row of that id.
+    equal windows meet however many contexts there are. A stretch that reaches beyond the text is left out, as are overlapping ones
+    that aren't the row's (own_places): they were asked of another row of that id.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
+        z, sketch, unit = zstandard.ZstdDecompressor(), Sketch(window, k), hashed()
         for batch in batches:
             columns: list[list[np.ndarray]] = [[] for _ in range(7)]
             parts: list[bytes] = []
@@ -237,9 +247,15 @@ def stretches(docs: DataFrame, found: DataFrame, units: Callable[[bytes], Sequen
             ends = np.cumsum(asked.value_lengths().to_numpy())
             every = {f.name: asked.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in asked.type.value_type}
             for (doc, row, text), start, end in zip(zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "z"))), [0, *ends.tolist()], ends.tolist()):
-                own = units(z.decompress(text))
+                raw = z.decompress(text)
+                own = units(raw)
                 x = {c: v[start:end] for c, v in every.items()}
                 at, n = x["place"] >> 16, x["place"] >> 8 & 255
+                order = np.argsort(at, kind="stable")
+                if (at[order[1:]] < (at + n)[order[:-1]]).any():
+                    mine = own_places(raw, x, sketch, unit)
+                    x = {c: v[mine] for c, v in x.items()}
+                    at, n = at[mine], n[mine]
                 fits = at + n + window - 1 <= len(own)
                 plain = fits & (x["spread"] == 1) & (~x["many"] | x["copies"])
                 keys = np.where(x["many"], x["key"] ^ x["ctx"], x["key"])
@@ -248,12 +264,12 @@ def stretches(docs: DataFrame, found: DataFrame, units: Callable[[bytes], Sequen
                 for c, v in zip(columns, (keys[plain], none, x["rep"][plain], none, none + doc, none + row, x["place"][plain])):
                     c.append(v)
                 parts += [part(own[i:j]) for i, j in zip(at[plain].tolist(), (at + n + window - 1)[plain].tolist())]
-                for k in np.flatnonzero(fits & ((x["spread"] > 1) | x["many"])).tolist():
-                    i, j, rep, spread, place = int(at[k]), int(n[k]), bool(x["rep"][k]), int(x["spread"][k]), int(x["place"][k])
-                    if spread > 1 and (not x["many"][k] or x["copies"][k]):
+                for e in np.flatnonzero(fits & ((x["spread"] > 1) | x["many"])).tolist():
+                    i, j, rep, spread, place = int(at[e]), int(n[e]), bool(x["rep"][e]), int(x["spread"][e]), int(x["place"][e])
+                    if spread > 1 and (not x["many"][e] or x["copies"][e]):
                         one = part(own[i : i + j + window - 1])
-                        rows += [(int(keys[k]), salt, rep, False, doc, row, place, one) for salt in (range(spread) if rep else (row % spread,))]
-                    if x["many"][k] and rep:
+                        rows += [(int(keys[e]), salt, rep, False, doc, row, place, one) for salt in (range(spread) if rep else (row % spread,))]
+                    if x["many"][e] and rep:
                         for a in range(i, i + j):
                             one = part(own[a : a + window])
                             rows.append((_signed(xxhash.xxh3_64_intdigest(one)), 0, True, True, doc, row, (a << 16) | (1 << 8), one))
@@ -292,13 +308,13 @@ def split_windows(parts: DataFrame, routing: Routing, most: int = 256) -> DataFr
     return parts.withColumn("salt", F.explode(salts))
 
 
-def dealt(docs: DataFrame, every: DataFrame, sampled: DataFrame, where: str, units, part, window: int, routing: Routing, by: str, first_doc: bool = False) -> DataFrame:
+def dealt(docs: DataFrame, every: DataFrame, sampled: DataFrame, where: str, hashed, units, part, window: int, k: int, routing: Routing, by: str, first_doc: bool = False) -> DataFrame:
     """Stretches of docs (doc, text) by lots: a lot is in one partition, in order of by, and has about routing.shard reps."""
     spark = docs.sparkSession
     found = stored(recurring(every, where, routing, hot_keys(stored(sampled, "sampled"), routing), first_doc), "recurring")
     held = F.when(F.col("many"), F.shiftright("place", 8).bitwiseAND(F.lit(255))).otherwise(F.col("spread"))
     reps, many = found.where("rep").agg(F.sum(held), F.count_if("many")).first()
-    parts = stretches(docs, found, units, part, window)
+    parts = stretches(docs, found, hashed, units, part, window, k)
     if many:  # read twice
         parts = split_windows(stored(parts, "stretches"), routing)
     lots = max(1, (reps or 0) // routing.shard)

@@ -33,6 +33,10 @@ class PassageConfig:
     k: int = 4
     routing: Routing = field(default_factory=Routing)
 
+    def __post_init__(self) -> None:
+        if self.window - self.k > 62:
+            raise ValueError("a window may have at most 62 words over k: the marks of an anchor's windows are one long")
+
 
 class Words:
     """Hashes of words, kept for their repeats."""
@@ -144,7 +148,7 @@ def passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFr
     row is a hash of the text."""
     sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(config.routing.sample)) == 0)
     every, sampled = (anchors_of(d, Words, config.window, config.k) for d in (docs, sample))
-    parts = dealt(docs, every, sampled, "lo < hi", bytes.split, b" ".join, config.window, config.routing, "NOT rep", first_doc=True)
+    parts = dealt(docs, every, sampled, "lo < hi", Words, bytes.split, b" ".join, config.window, config.k, config.routing, "NOT rep", first_doc=True)
     return _located(parts, config).groupBy("doc", "row").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 

@@ -181,7 +181,7 @@ def repeated_strings(docs: DataFrame, config: SuffixConfig = SuffixConfig()) ->
     where all windows of a place do; row is a hash of the text."""
     sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(config.routing.sample)) == 0)
     every, sampled = (anchors_of(d, lambda: _units, config.length, config.k) for d in (docs, sample))
-    parts = dealt(docs, every, sampled, "n > 1", bytes, bytes, config.length, config.routing, "key")
+    parts = dealt(docs, every, sampled, "n > 1", lambda: _units, bytes, bytes, config.length, config.k, config.routing, "key")
     return _located(parts, config).groupBy("doc", "row").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 from pathlib import Path
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 from quillstone.llm import substring_dedup, suffix_dedup
-from quillstone.llm.repeats import Routing
+from quillstone.llm.repeats import Routing, Sketch
 from tests.llm.test_operators import DOCS, brute_strings, docs, empty, prose, rows  # noqa: F401
 
 #: As shipped; every key cold and split; every key hot; every key hot and dealt window by window, in several salts.
@@ -80,6 +81,35 @@ def test_rows_that_share_an_id_but_not_a_text(spark, routing):
     assert got == sorted((d, len(t), k) for (d, t), k in zip(texts, brute_strings([t for _, t in texts], 40)))
 
 
+def test_a_row_is_never_held_against_itself(spark):
+    """Many texts share a phrase that is too short to count, so that its keys go window by window; two rows have the id 5."""
+    letters = random.Random(3)
+    some = lambda: "".join(letters.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    phrase = some()[:170]
+    rows = [(k, some() + phrase + some()) for k in range(2000)] + [(5, some() + phrase + some())]
+    done = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert done.where("n_removed > 0").count() == 0 and done.count() == 2001
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_ids_under_small_routing(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.randrange(25), "".join(r.choice(["abcab", "bca", "cabba", "xyz", "abcabcabc", r.choice("qrstuvw")]) for _ in range(r.randrange(14)))) for _ in range(120)]
+    config = suffix_dedup.SuffixConfig(length=9, k=3, batch=200, routing=Routing(shard=5, hot=3, rows=4, sample=1, most=20))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id, x.n_bytes, bytes(x.kept)) for x in suffix_dedup.dedup(frame, config).collect())
+    assert got == sorted((d, len(t), k) for (d, t), k in zip(rows, brute_strings([t for _, t in rows], 9)))
+
+
+def test_lengths_that_places_cannot_hold_are_refused():
+    with pytest.raises(ValueError):
+        Sketch(350, 50)
+    with pytest.raises(ValueError):
+        Sketch(5, 6)
+    with pytest.raises(ValueError):
+        substring_dedup.PassageConfig(window=70, k=4)
+
+
 def test_columns_of_any_name_pass(spark):
     frame = spark.createDataFrame([(1, prose(1, 30), "p", 2, "q", 5.0)], "doc_id long, text string, `a.b` string, row int, z string, lot double")
     for done in (substring_dedup.dedup(frame), suffix_dedup.dedup(frame)):
