@@ -203,6 +203,41 @@ def test_toxicity_score_is_a_factorization_machine(spark):
         assert abs(row.score - 1 / (1 + np.exp(-raw))) < 1e-9 and row.predicted == int(row.score >= 0.3)
 
 
+def test_toxicity_learns_a_balanced_pair_by_its_vectors():
+    """Whether two words agree decides: neither tells anything by itself, and without its vectors the machine guesses."""
+    r = np.random.default_rng(5)
+    rows, y = [], []
+    for _ in range(4000):
+        a, b = r.random(2) < 0.5
+        rows.append(np.array(sorted({*r.integers(100, 160, 12).tolist(), *([1] * int(a)), *([2] * int(b))})))
+        y.append(float(a == b))
+    m = toxicity.learn(rows[:3000], np.array(y[:3000], np.float32))
+    right = lambda machine: np.mean([(toxicity.score_terms(t, machine) >= 0.5) == (k > 0) for t, k in zip(rows[3000:], y[3000:])])
+    assert right(m) >= 0.95
+    assert right(toxicity.Machine(m.bias, m.weights, np.zeros_like(m.vectors), m.config, m.values)) < 0.6
+
+
+def test_toxicity_of_few_terms_rows_and_classes():
+    for rows, y in (([[1], [2], [1]], [1, 0, 1]), ([[1, 2], [], [3]], [1, 0, 0]), ([[], []], [0, 1]), ([[4]], [1]), ([[4], [4]], [1, 1])):
+        m = toxicity.learn([np.array(t, np.int64) for t in rows], np.array(y, np.float32))
+        assert all(0 <= toxicity.score_terms(np.array(t, np.int64), m) <= 1 for t in [*rows, [9, 10]])
+
+
+def test_pairs_left_are_eigenvectors_of_the_matrix_of_pairs():
+    """The matrix of all pairs, made in full, has the same leading part; it is positive or zero along what is returned."""
+    r = np.random.default_rng(6)
+    rows = [np.flatnonzero(r.random(9) < 0.4) for _ in range(60)]
+    left, value = r.normal(size=60), r.random(9).astype(np.float32)
+    config = toxicity.MachineConfig(factors=9, turns=30)
+    v = toxicity._pairs_left(toxicity._Rows(rows, 9), left, value, r, config)
+    full = np.zeros((9, 9))
+    for t, e in zip(rows, left):
+        full[np.ix_(t, t)] += e * np.outer(value[t], value[t])
+    np.fill_diagonal(full, 0)
+    strength, axes = np.linalg.eigh(full)
+    assert np.allclose(v @ v.T, (axes * np.maximum(strength, 0)) @ axes.T, atol=1e-6)
+
+
 def test_toxicity_labels_that_repeat_or_contradict_count_once(spark):
     docs = spark.createDataFrame([(i, "bad word" if i % 3 == 0 else "nice word") for i in range(60)] + [(0, "bad word"), (7, None)], "doc_id long, text string")
     once = [(i, int(i % 3 == 0)) for i in range(60)]
