@@ -44,6 +44,7 @@ class FileConfig:
     widths: tuple[int, ...] = (8, 8, 16)
     file_tokens: int = 1 << 24
     read_tokens: int = 1 << 19
+    read_tasks: int = 20_000
 
 
 # --- codes --------------------------------------------------------------------------------------------------------------
@@ -261,7 +262,8 @@ def read_documents(files: DataFrame, with_ids: bool = False, config: FileConfig
                     first = last
 
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return files.select("file", "start").repartition("file").mapInArrow(read, kinds)
+    tasks = min(max(1, files.count()), config.read_tasks)
+    return files.select("file", "start").repartition(tasks).mapInArrow(read, kinds)
 
 
 def tokens_at(files: DataFrame, positions: DataFrame, config: FileConfig = FileConfig()) -> DataFrame:
