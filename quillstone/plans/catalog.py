@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import audits, cleaning, measure, scores
+from quillstone.plans import audits, cleaning, measure, revisions, scores
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measure.QUERIES, **audits.QUERIES, **cleaning.QUERIES, **scores.QUERIES}
-ORACLE_SQL: dict[str, str] = {**measure.ORACLE_SQL, **audits.ORACLE_SQL, **cleaning.ORACLE_SQL, **scores.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measure.QUERIES, **audits.QUERIES, **cleaning.QUERIES, **scores.QUERIES, **revisions.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measure.ORACLE_SQL, **audits.ORACLE_SQL, **cleaning.ORACLE_SQL, **scores.ORACLE_SQL, **revisions.ORACLE_SQL}
