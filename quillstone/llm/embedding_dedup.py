@@ -1,4 +1,4 @@
-"""Operator 10: embedding near-duplicates by tiles of vectors in the order of principal components."""
+"""Operator 10: embedding near-duplicates by tiles of vectors, compared in the order of principal components."""
 
 from __future__ import annotations
 
@@ -10,19 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, forest, stored, table
+from quillstone.llm.common import components, forest, join_facts, stored, table
 
 
 @dataclass(frozen=True)
 class TileConfig:
     """threshold: least cosine of a link. tile: vectors of a tile, about; a task holds two. lead: leading dimensions read first.
-    bounds: leading dimensions of a tile's bounds. strip: rows of a tile compared at a time."""
+    strip: rows of a tile compared at a time. pivots: cells at most, one for each per_pivot vectors. most_tiles: tiles at most, as
+    each task knows them; with more vectors than that tiles are larger."""
 
     threshold: float = 0.95
     tile: int = 4096
     lead: int = 16
-    bounds: int = 4
     strip: int = 512
+    pivots: int = 1024
+    per_pivot: int = 64
+    most_tiles: int = 100_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -101,61 +104,121 @@ def _links(a: np.ndarray, b: np.ndarray, same: bool, axes: np.ndarray, config: T
             yield i, j
 
 
-def _partners(placed: DataFrame, bounds: int, config: TileConfig) -> DataFrame:
-    """(tile, other), both ways: pairs of tiles, each with itself too, that may hold a link by their bounds in the leading
-    dimensions of placed (tile, lead). For unit vectors of cosine c the squared distance is 2 - 2c, and that of some coordinates is no
-    more. Tiles meet by cells of the first coordinate that are as wide as the distance; the bounds decide."""
-    most = 2 - 2 * config.threshold + 1e-6
-    reach = most**0.5
-    box = [f(F.col("lead")[k]).alias(f"{name}{k}") for k in range(bounds) for name, f in (("low", F.min), ("high", F.max))]
-    boxes = stored(placed.groupBy("tile").agg(*box), "tile-bounds")
-    cell = lambda x: F.floor(x / reach)
-    own = boxes.withColumn("cell", F.explode(F.sequence(cell(F.col("low0")), cell(F.col("high0")))))
-    theirs = boxes.select(*(F.col(c).alias(f"other_{c}") for c in boxes.columns), F.explode(F.sequence(cell(F.col("low0") - reach), cell(F.col("high0") + reach))).alias("cell"))
-    gaps = [F.greatest(F.lit(0.0), F.col(f"low{k}") - F.col(f"other_high{k}"), F.col(f"other_low{k}") - F.col(f"high{k}")) for k in range(bounds)]
-    near = own.join(theirs, "cell").where(sum(g * g for g in gaps) <= most)
-    found = near.select("tile", F.col("other_tile").alias("other"))
-    return found.unionByName(found.select(F.col("other").alias("tile"), F.col("tile").alias("other"))).distinct()
+def _pivots(nodes: DataFrame, n: int, config: TileConfig) -> np.ndarray:
+    """Unit vectors that cells are made around, as many as config.pivots at most: of eight times as many, those of least hash, each
+    time the one furthest from all taken yet, so that no cluster of some size is without one."""
+    wanted = max(1, min(config.pivots, n // config.per_pivot))
+    drawn = nodes.select(F.xxhash64("node").alias("h"), "node", "embedding").orderBy("h", "node").limit(8 * wanted).collect()
+    x = _unit(np.array([r.embedding for r in drawn], np.float64))
+    taken, near = [0], x @ x[0]
+    while len(taken) < wanted:
+        taken.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[taken[-1]])
+    return x[taken]
 
 
-def _compare(nodes: DataFrame, d: int, n: int, config: TileConfig) -> DataFrame:
-    """nodes (node, copies, embedding), all of d components: rows of node, links (copies that it links with) and parent, which
-    connects what links connect (null in rows that only count)."""
-    axes = _axes(nodes, d)
-    tiles = max(1, -(-n // config.tile))
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles of the rows of x to each pivot."""
+    return np.arccos(np.clip(_unit(x) @ pivots.T, -1, 1))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, none empty: each has an angle to every pivot."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y = _unit(_matrix(batch.column("embedding"))) @ axes if batch.num_rows else np.zeros((0, d))
-            lo = pa.array([[*map(float, r[: config.bounds])] for r in y], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lo], names=[*batch.schema.names, "lead"])
 
+def _placed(nodes: DataFrame, pivots: np.ndarray, n: int, config: TileConfig) -> tuple[DataFrame, list]:
+    """nodes with cell (their nearest pivot), angle (to it) and tile, and the tiles: rows (tile, cell, low, high). A tile is a ring of a
+    cell: about so many of its vectors that follow each other by angle. Tiles are numbered by cell, then by angle."""
     kind = dict(nodes.dtypes)["embedding"]
-    ordered = nodes.mapInArrow(lead, f"node long, copies long, embedding {kind}, lead array<double>")
-    placed = stored(ordered.repartitionByRange(tiles, F.col("lead")[0], "node").withColumn("range", F.spark_partition_id()), "tiles")
-    ranges = placed.agg(F.max("range")).first()[0] + 1
-    placed = placed.withColumn("tile", F.floor(F.col("range") * min(tiles, ranges) / ranges).cast("int"))  # where more ranges were made
-    sent = placed.join(_partners(placed, min(config.bounds, d), config), "tile")
-    sent = sent.select(F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "node", "copies", "embedding")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            angles = _angles(_matrix(batch.column("embedding")), pivots)
+            cell = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "angle"])
+
+    tiles = max(1, min(config.most_tiles, -(-n // config.tile)))
+    placed = stored(nodes.mapInArrow(near, f"node long, copies long, embedding {kind}, cell int, angle double").repartitionByRange(tiles, "cell", "angle", "node").withColumn("range", F.spark_partition_id()), "ranges")
+    rings = placed.groupBy("range", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # tiles and cells at most
+    rings.sort(key=lambda r: (r.cell, r.low, r.range))
+    facts = [(k, r.range, r.cell, r.low, r.high) for k, r in enumerate(rings)]
+    numbers = nodes.sparkSession.createDataFrame([f[:3] for f in facts], "tile int, range int, cell int")
+    return placed.join(F.broadcast(numbers), ["range", "cell"]), facts
+
+
+def _visits(placed: DataFrame, pivots: np.ndarray, tiles: list, config: TileConfig) -> DataFrame:
+    """placed with visit, each tile that a vector is compared in: its own, and those before it that may hold one it links with.
+
+    A vector of a tile is as far from its pivot as the ring says, from low to high; what is within the threshold's angle of it is
+    at most that angle nearer or further. So a vector visits a ring if its own angle to that pivot is in the ring, widened by the
+    threshold's angle; of a cell's rings those lie side by side."""
+    reach = float(np.arccos(config.threshold)) + 1e-6
+    rings: dict[int, list] = {}
+    for t in tiles:
+        rings.setdefault(t[2], []).append(t)
+    cells = [(c, own[0][0], np.array([t[3] for t in own]), np.maximum.accumulate([t[4] for t in own])) for c, own in rings.items()]
+    kind = dict(placed.dtypes)["embedding"]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            angles = _angles(_matrix(batch.column("embedding")), pivots)
+            own = batch.column("tile").to_numpy()
+            rows, to = [np.arange(len(own))], [own]
+            for cell, number, low, high in cells:
+                first = np.searchsorted(high, angles[:, cell] - reach, side="left")
+                n = np.searchsorted(low, angles[:, cell] + reach, side="right") - first
+                met = np.flatnonzero((n > 0) & (own > number + first))
+                if met.size:
+                    n = n[met]
+                    tile = np.repeat(number + first[met] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    at = np.repeat(met, n)
+                    before = tile < own[at]
+                    rows.append(at[before])
+                    to.append(tile[before])
+            at = np.concatenate(rows)
+            taken = pa.Table.from_batches([batch]).take(pa.array(at)).append_column("visit", pa.array(np.concatenate(to).astype(np.int32)))
+            yield from taken.to_batches(max_chunksize=20_000)
+
+    names = ["node", "copies", "embedding", "tile"]
+    return placed.select(*names).mapInArrow(visit, f"node long, copies long, embedding {kind}, tile int, visit int")
+
+
+def _compare(nodes: DataFrame, d: int, n: int, config: TileConfig) -> DataFrame:
+    """nodes (node, copies, embedding), all of d components: rows of node, links (copies that it links with) and parent, which
+    connects what links connect (null in rows that only count). Each pair meets in one task: that of the lower of its tiles, in
+    which the tile's vectors meet each other, and a lot of so many visitors."""
+    axes, pivots = _axes(nodes, d), _pivots(nodes, n, config)
+    placed, tiles = _placed(nodes, pivots, n, config)
+    sizes = _visits(placed, pivots, tiles, config).where("tile <> visit").groupBy("visit").count().collect()  # a row for each tile
+    lots = {r.visit: -(-r["count"] // config.tile) for r in sizes}
+    lots = nodes.sparkSession.createDataFrame([(t[0], lots.get(t[0], 1)) for t in tiles], "visit int, lots int")
+    sent = _visits(placed, pivots, tiles, config).join(F.broadcast(lots), "visit")
+    own = F.sequence(F.lit(0), F.col("lots") - 1)
+    lot = F.when(F.col("tile") == F.col("visit"), own).otherwise(F.array(F.pmod(F.xxhash64("node"), "lots").cast("int")))
+    sent = sent.select("visit", F.explode(lot).alias("lot"), "tile", "node", "copies", "embedding")
 
     def tile_pair(keys: tuple, both: pa.Table) -> pa.Table:
-        x, y = (k.as_py() for k in keys)
+        visit, lot = (k.as_py() for k in keys)
         tile = both.column("tile").to_numpy()
         node, copies = both.column("node").to_numpy(), both.column("copies").to_numpy()
         vectors = _matrix(both.column("embedding").combine_chunks())
-        left, right = np.flatnonzero(tile == x), np.flatnonzero(tile == y)
+        here, guests = np.flatnonzero(tile == visit), np.flatnonzero(tile != visit)
         count = np.zeros(len(node), np.int64)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in _links(vectors[left], vectors[right], x == y, axes, config):
-            p, q = left[i], right[j]
-            count += np.bincount(p, weights=copies[q], minlength=len(node)).astype(np.int64)
-            count += np.bincount(q, weights=copies[p], minlength=len(node)).astype(np.int64)
-            out.append(forest(p, q, len(node)))
+        for left, right, same in ((here, here, True),) * (lot == 0) + ((here, guests, False),) * (guests.size > 0):
+            for i, j in _links(vectors[left], vectors[right], same, axes, config):
+                p, q = left[i], right[j]
+                count += np.bincount(p, weights=copies[q], minlength=len(node)).astype(np.int64)
+                count += np.bincount(q, weights=copies[p], minlength=len(node)).astype(np.int64)
+                out.append(forest(p, q, len(node)))
         child, root = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         some = np.flatnonzero(count)
         return pa.table({"node": np.concatenate((node[some], node[child])), "links": np.concatenate((count[some], np.zeros(child.size, np.int64))), "parent": pa.array([None] * some.size + node[root].tolist(), pa.int64())})
 
-    return sent.groupBy("x", "y").applyInArrow(tile_pair, "node long, links long, parent long")
+    return sent.groupBy("visit", "lot").applyInArrow(tile_pair, "node long, links long, parent long")
 
 
 def near_vectors(vectors: DataFrame, config: TileConfig = TileConfig()) -> DataFrame:
@@ -164,7 +227,7 @@ def near_vectors(vectors: DataFrame, config: TileConfig = TileConfig()) -> DataF
     A row without a vec_id links with nothing, has no component and is kept. Rows that repeat a vec_id are vectors of their own,
     each of which counts as a link; all rows whose vec_id is that of their component are kept.
 
-    Links are the pairs with cosine at or over the threshold, all of them: every pair of tiles is compared whose bounds
+    Links are the pairs with cosine at or over the threshold, all of them: a vector is compared in every tile whose bounds
     allow one. Vectors that are null, empty, zero or hold a null or a component that isn't finite link with nothing, as do
     vectors of different lengths with each other. Equal vectors become one node with a count before anything is compared;
     tiles give counts and forests, never their pairs. Other columns are left out.
@@ -173,7 +236,7 @@ def near_vectors(vectors: DataFrame, config: TileConfig = TileConfig()) -> DataF
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(F.col("embedding").isNotNull() & finite, F.lit(False))
     rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
-    nodes = stored(rows.where("embedding IS NOT NULL AND vec_id IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
+    nodes = stored(rows.where("embedding IS NOT NULL AND vec_id IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     sizes = nodes.groupBy(F.size("embedding").alias("d")).count().collect()
     found = None
     for r in sorted(sizes, key=lambda r: r.d):
@@ -185,11 +248,15 @@ def near_vectors(vectors: DataFrame, config: TileConfig = TileConfig()) -> DataF
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     graph = components(found.where("parent IS NOT NULL").select(F.col("node").alias("a"), F.col("parent").alias("b")))
     known = nodes.join(counts, "node", "left").join(graph, "node", "left")
-    known = known.select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = rows.withColumn("embedding", F.when(F.col("vec_id").isNotNull(), F.col("embedding"))).join(known, "embedding", "left")
-    component = F.coalesce("component", "vec_id")
-    kept = F.coalesce(F.col("vec_id") == component, F.lit(True))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
+    known = stored(known.select("embedding", "copies", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("group")), "known")
+    firsts = known.groupBy("group").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    known = stored(join_facts(known, firsts, ["group"], "members", known.count()).select("embedding", "copies", "links", "component"), "named")
+    there = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
+    some = rows.where(there)
+    met = join_facts(some, known, ["embedding"], "copies", some.count()).select("vec_id", "links", "component")
+    alone = rows.where(~there).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True))
+    return met.unionByName(alone).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

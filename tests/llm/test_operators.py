@@ -363,6 +363,66 @@ def test_simhash_of_awkward_rows(spark, docs, rows):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def brute_fingerprint(text):
+    """Bits set in over half of the shingles' hashes, shingle by shingle."""
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_fingerprints_equal_brute_force(spark, docs, rows):
+    long = [(20, "One two THREE four five " * 4000, "a", "b", 1), (21, "ÄÖ İ \x85 a\u00a0b \u3000 c d e", "a", "b", 1), (22, "w w w w w w w", "a", "b", 1)]
+    frame = docs.unionByName(spark.createDataFrame(long, DOCS)).withColumn("fp", F.lit("old"))
+    got = {r.doc_id: r.fp for r in simhash.near_duplicates(frame).collect()}
+    assert {k: v % (1 << 64) for k, v in got.items()} == {r[0]: brute_fingerprint(r[1]) for r in [*rows, *long]}
+
+
+def test_simhash_rows_that_repeat_an_id_do_not_link_by_it(spark):
+    a, b, c = prose(71, 60), prose(72, 60), prose(73, 60)
+    got = simhash.near_duplicates(spark.createDataFrame([(5, a), (5, b), (7, b), (9, c), (None, c), (None, prose(74, 60))], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 9), (5, 5), (5, 5), (7, 5), (9, 9)]
+
+
+@pytest.mark.parametrize("mean", [0.0, 1.0])
+def test_embeddings_of_clusters_meet_few_others_and_lose_no_link(spark, mean):
+    """20,000 vectors in 300 clusters, some of which are near copies, with and without a common mean."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(300, 32))
+    x = middles[rng.integers(0, 300, 20_000)] + 0.3 * rng.normal(size=(20_000, 32)) + mean
+    x[15_000:] = x[:5_000] + 0.02 * rng.normal(size=(5_000, 32))
+    x = x.astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = np.concatenate([(u[k : k + 2000] @ u.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(u), 2000)])
+    config = embedding_dedup.TileConfig(tile=512)
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(8)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(frame, config).collect()}
+    assert [got[k] for k in range(len(x))] == want.tolist() and want.sum() >= 10_000
+    nodes = frame.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), "embedding")
+    pivots = embedding_dedup._pivots(nodes, len(x), config)
+    placed, tiles = embedding_dedup._placed(nodes, pivots, len(x), config)
+    counts = embedding_dedup._visits(placed, pivots, tiles, config).groupBy("visit").agg(F.count_if(F.col("tile") == F.col("visit")).alias("own"), F.count("*").alias("all")).collect()
+    assert sum(r.own for r in counts) == len(x)
+    assert sum(r.own * (r["all"] - r.own) + r.own**2 / 2 for r in counts) < 0.1 * len(x) ** 2 / 2
+
+
+def test_embeddings_copies_and_repeated_or_null_ids(spark):
+    """A vector in most rows; rows without an id link with nothing, those that share one are vectors of their own."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(k, a) for k in range(10, 700)] + [(5, a), (5, a), (5, b), (None, a), (None, None), (3, None), (800, [0.99, 0.05, 0.0])]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got if r.vec_id == 5) == [(0, 5, True), (692, 5, True), (692, 5, True)]
+    assert {(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None and r.vec_id >= 10} == {(692, 5, False)}
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None) == [(0, None, True), (0, None, True)]
+    assert [(r.n_links, r.component_id) for r in got if r.vec_id == 3] == [(0, 3)]
+
+
 @pytest.mark.parametrize("tile", [4096, 7])
 def test_embedding_links(spark, tile):
     rng = np.random.default_rng(3)
@@ -372,7 +432,7 @@ def test_embedding_links(spark, tile):
     rows = [(i + 10, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))]
     odd = [(1, None), (2, [0.0] * 9), (3, [float("nan")] + [1.0] * 8), (4, [float("inf")] * 9), (5, []), (6, [1.0, None]), (7, [1.0, 2.0])]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("links", F.lit(0))
-    got = {r.vec_id: r for r in embedding_dedup.near_vectors(frame, embedding_dedup.TileConfig(tile=tile, lead=4)).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(frame, embedding_dedup.TileConfig(tile=tile, lead=4, per_pivot=tile)).collect()}
     u = np.array([v for _, v in rows])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
