@@ -161,13 +161,17 @@ def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) ->
 
     Equal fingerprints are one class before anything is compared, so copies are never paired. Null and empty texts have
     fingerprint zero and link like others. Rows with a null doc_id take part through their class, and have a null
-    component_id where no row of their component has an id. Other columns are left out.
+    component_id where no row of their component has an id; rows that repeat a doc_id are texts of their own, which don't link
+    by it. Other columns are left out.
     """
     made = stored(fingerprints(docs.select("doc_id", "text"), config).select("doc_id", "fp"), "fingerprints")
-    classes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = components(link(classes.where("node IS NOT NULL"), config))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).withColumn("node", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
+    found = components(link(classes.select("node", "fp"), config))
+    grouped = stored(classes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).select("fp", "members", "least", "group"), "grouped")
+    firsts = grouped.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    named = stored(join_facts(grouped, firsts, ["group"], "classes", grouped.count()).select("fp", "members", "component_id"), "named")
+    return join_facts(made, named, ["fp"], "members", made.count()).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
