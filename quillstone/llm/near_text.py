@@ -175,6 +175,6 @@ def first_of_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
     made = stored(marked(own, config), "marked")
     groups = components(candidates(made, config))
     linked = components(verified(made, groups, config))
-    named = made.select("doc_id", "row", "node").join(linked, "node", "left")
-    kept = named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "node", "row")).row.alias("row"))
+    firsts = made.groupBy("node").agg(F.min(F.struct("doc_id", "node", "row")).alias("first"))  # so that no node's rows meet in one task
+    kept = firsts.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").row.alias("row"))
     return made.join(kept.select("row"), "row", "left_semi").select("_row.*").unionByName(docs.where("doc_id IS NULL"))
