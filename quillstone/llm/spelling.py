@@ -41,7 +41,7 @@ class SpellConfig:
     min_length: int = 7
     min_count: int = 2
     ratio: int = 10
-    most: int = 20_000
+    most: int = 5_000
     held: int = 300_000
 
 
