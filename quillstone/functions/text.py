@@ -99,9 +99,13 @@ def sentences_runs(text: Column | str, delimiters: str) -> Column:
     return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
 
+#: Addresses of the web and of mail, whose local part has at most 64 characters, so that long runs of letters are read once.
+ADDRESS = r"(?:https?://|www\.)[!-~]+|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+"
+
+
 def sentences_apart_from_urls(text: Column | str, delimiters: str) -> Column:
-    """As sentences_runs, but a delimiter within a URL or mail address cuts nothing. (Possessive, so of this engine only.)"""
-    unit = rf"(?:(?:https?://|www\.)[!-~]++|[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++|[^{delimiters}])*+"
+    """As sentences_runs, but a delimiter within an address cuts nothing. (Possessive, so of this engine only.)"""
+    unit = rf"(?:(?>{ADDRESS})|[^{delimiters}])*+"
     parts = F.regexp_extract_all(col(text), F.lit(f"{unit}[{delimiters}]+|(?:{unit})$"), F.lit(0))
     return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
@@ -110,11 +114,6 @@ def paragraphs(text: Column | str) -> Column:
     return F.filter(F.transform(F.split(col(text), "\n"), trimmed), lambda p: p != "")
 
 
-def structured_spans(text: Column | str) -> Column:
-    """URLs and mail addresses."""
-    return F.regexp_extract_all(col(text), F.lit(r"(?:https?://|www\.)[!-~]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))
-
-
 def bigrams(text: Column | str) -> Column:
     """Pairs of neighbouring characters, white space and punctuation left out; one pass of a pattern that looks ahead."""
     plain = F.regexp_replace(col(text), f"(?:{SPACE_CLASS}|{PUNCTUATION})+", "")

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.functions.text import ADDRESS
+
 #: What may not be cut or changed, by kind: addresses of the web and of mail, and titles of works. Code is a stretch
 #: between backticks on one line.
-PATTERNS = {"address": r"(?:https?://|www\.)[!-~]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+", "title": "《[^》]*》", "code": "`[^`\n]+`"}
+PATTERNS = {"address": ADDRESS, "title": "《[^》]*》", "code": "`[^`\n]+`"}
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
