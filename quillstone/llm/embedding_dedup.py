@@ -24,7 +24,7 @@ class TileConfig:
     lead: int = 16
     strip: int = 512
     pivots: int = 1024
-    per_pivot: int = 64
+    per_pivot: int = 256
     most_tiles: int = 100_000
 
 
@@ -114,7 +114,17 @@ def _pivots(nodes: DataFrame, n: int, config: TileConfig) -> np.ndarray:
     while len(taken) < wanted:
         taken.append(int(near.argmin()))
         near = np.maximum(near, x @ x[taken[-1]])
-    return x[taken]
+    return x[_beside(x[taken], np.array(taken))]
+
+
+def _beside(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """names of the rows of x in an order in which near ones are close: halves along the main axis, each ordered likewise."""
+    if len(names) < 3:
+        return names
+    along = x @ np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][0]
+    order = np.argsort(along, kind="stable")
+    halves = np.array_split(order, 2)
+    return np.concatenate([_beside(x[h], names[h]) for h in halves])
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -130,8 +140,9 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.
 
 
 def _placed(nodes: DataFrame, pivots: np.ndarray, n: int, config: TileConfig) -> tuple[DataFrame, list]:
-    """nodes with cell (their nearest pivot), angle (to it) and tile, and the tiles: rows (tile, cell, low, high). A tile is a ring of a
-    cell: about so many of its vectors that follow each other by angle. Tiles are numbered by cell, then by angle."""
+    """nodes with tile and ring, and the rings: (ring, tile, cell, low, high). A tile is about so many vectors that follow each other by
+    cell (their nearest pivot) and angle to it; a ring is what it has of one cell, whose angles are from low to high. Rings are numbered
+    by cell, then by angle."""
     kind = dict(nodes.dtypes)["embedding"]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,84 +152,103 @@ def _placed(nodes: DataFrame, pivots: np.ndarray, n: int, config: TileConfig) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "angle"])
 
     tiles = max(1, min(config.most_tiles, -(-n // config.tile)))
-    placed = stored(nodes.mapInArrow(near, f"node long, copies long, embedding {kind}, cell int, angle double").repartitionByRange(tiles, "cell", "angle", "node").withColumn("range", F.spark_partition_id()), "ranges")
-    rings = placed.groupBy("range", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # tiles and cells at most
-    rings.sort(key=lambda r: (r.cell, r.low, r.range))
-    facts = [(k, r.range, r.cell, r.low, r.high) for k, r in enumerate(rings)]
-    numbers = nodes.sparkSession.createDataFrame([f[:3] for f in facts], "tile int, range int, cell int")
-    return placed.join(F.broadcast(numbers), ["range", "cell"]), facts
+    placed = stored(nodes.mapInArrow(near, f"node long, copies long, embedding {kind}, cell int, angle double").repartitionByRange(tiles, "cell", "angle", "node").withColumn("tile", F.spark_partition_id()), "tiles")
+    found = placed.groupBy("tile", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # tiles and cells at most
+    rings = [(k, r.tile, r.cell, r.low, r.high) for k, r in enumerate(sorted(found, key=lambda r: (r.cell, r.low, r.tile)))]
+    numbers = nodes.sparkSession.createDataFrame([r[:3] for r in rings], "ring int, tile int, cell int")
+    return placed.join(F.broadcast(numbers), ["tile", "cell"]).select("node", "copies", "embedding", "tile", "ring"), rings
 
 
-def _visits(placed: DataFrame, pivots: np.ndarray, tiles: list, config: TileConfig) -> DataFrame:
-    """placed with visit, each tile that a vector is compared in: its own, and those before it that may hold one it links with.
+def _visits(placed: DataFrame, pivots: np.ndarray, rings: list, config: TileConfig) -> DataFrame:
+    """placed with visit and met: a row for each tile that a vector is compared in, its own always, and the rings there, all before
+    its own, that may hold a vector it links with.
 
-    A vector of a tile is as far from its pivot as the ring says, from low to high; what is within the threshold's angle of it is
-    at most that angle nearer or further. So a vector visits a ring if its own angle to that pivot is in the ring, widened by the
-    threshold's angle; of a cell's rings those lie side by side."""
+    A vector of a ring is as far from its pivot as the ring says, from low to high; what is within the threshold's angle of it is
+    at most that angle nearer or further. So a vector meets a ring if its own angle to that pivot is in the ring, widened by the
+    threshold's angle; of a cell's rings those lie side by side. Each pair of rings is met from one side only."""
     reach = float(np.arccos(config.threshold)) + 1e-6
-    rings: dict[int, list] = {}
-    for t in tiles:
-        rings.setdefault(t[2], []).append(t)
-    cells = [(c, own[0][0], np.array([t[3] for t in own]), np.maximum.accumulate([t[4] for t in own])) for c, own in rings.items()]
+    tile_of = np.array([r[1] for r in rings])
+    own_rings: dict[int, list] = {}
+    for r in rings:
+        own_rings.setdefault(r[2], []).append(r)
+    cells = [(c, own[0][0], np.array([r[3] for r in own]), np.maximum.accumulate([r[4] for r in own])) for c, own in own_rings.items()]
     kind = dict(placed.dtypes)["embedding"]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             angles = _angles(_matrix(batch.column("embedding")), pivots)
-            own = batch.column("tile").to_numpy()
-            rows, to = [np.arange(len(own))], [own]
+            home, ring = batch.column("tile").to_numpy(), batch.column("ring").to_numpy()
+            rows, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for cell, number, low, high in cells:
                 first = np.searchsorted(high, angles[:, cell] - reach, side="left")
                 n = np.searchsorted(low, angles[:, cell] + reach, side="right") - first
-                met = np.flatnonzero((n > 0) & (own > number + first))
-                if met.size:
-                    n = n[met]
-                    tile = np.repeat(number + first[met] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    at = np.repeat(met, n)
-                    before = tile < own[at]
+                some = np.flatnonzero((n > 0) & (ring > number + first))
+                if some.size:
+                    n = n[some]
+                    there = np.repeat(number + first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    at = np.repeat(some, n)
+                    before = there < ring[at]
                     rows.append(at[before])
-                    to.append(tile[before])
-            at = np.concatenate(rows)
-            taken = pa.Table.from_batches([batch]).take(pa.array(at)).append_column("visit", pa.array(np.concatenate(to).astype(np.int32)))
+                    to.append(there[before])
+            at, met = np.concatenate(rows), np.concatenate(to)
+            tile = tile_of[met]
+            none = np.arange(len(home))  # the row of a vector's own tile, whether it meets a ring there or not
+            at, tile, met = np.concatenate((at, none)), np.concatenate((tile, home)), np.concatenate((met, np.full(len(home), -1)))
+            order = np.lexsort((met, tile, at))
+            at, tile, met = at[order], tile[order], met[order]
+            new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (tile[1:] != tile[:-1]))))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, at.size).astype(np.int32)), pa.array(met.astype(np.int32)))
+            taken = pa.Table.from_batches([batch]).take(pa.array(at[new])).append_column("visit", pa.array(tile[new].astype(np.int32))).append_column("met", lists)
             yield from taken.to_batches(max_chunksize=20_000)
 
-    names = ["node", "copies", "embedding", "tile"]
-    return placed.select(*names).mapInArrow(visit, f"node long, copies long, embedding {kind}, tile int, visit int")
+    names = ["node", "copies", "embedding", "tile", "ring"]
+    return placed.select(*names).mapInArrow(visit, f"node long, copies long, embedding {kind}, tile int, ring int, visit int, met array<int>")
 
 
 def _compare(nodes: DataFrame, d: int, n: int, config: TileConfig) -> DataFrame:
     """nodes (node, copies, embedding), all of d components: rows of node, links (copies that it links with) and parent, which
-    connects what links connect (null in rows that only count). Each pair meets in one task: that of the lower of its tiles, in
-    which the tile's vectors meet each other, and a lot of so many visitors."""
+    connects what links connect (null in rows that only count). Each pair meets in one task: that of the tile of its lower ring, in
+    which the tile's vectors meet each other, and a lot of so many visitors; by rings, so that only rings that met are compared."""
     axes, pivots = _axes(nodes, d), _pivots(nodes, n, config)
-    placed, tiles = _placed(nodes, pivots, n, config)
-    sizes = _visits(placed, pivots, tiles, config).where("tile <> visit").groupBy("visit").count().collect()  # a row for each tile
+    placed, rings = _placed(nodes, pivots, n, config)
+    visits = _visits(placed, pivots, rings, config)
+    sizes = visits.where("tile <> visit").groupBy("visit").count().collect()  # a row for each tile
     lots = {r.visit: -(-r["count"] // config.tile) for r in sizes}
-    lots = nodes.sparkSession.createDataFrame([(t[0], lots.get(t[0], 1)) for t in tiles], "visit int, lots int")
-    sent = _visits(placed, pivots, tiles, config).join(F.broadcast(lots), "visit")
+    lots = nodes.sparkSession.createDataFrame([(t, lots.get(t, 1)) for t in sorted({r[1] for r in rings})], "visit int, lots int")
+    sent = visits.join(F.broadcast(lots), "visit")
     own = F.sequence(F.lit(0), F.col("lots") - 1)
     lot = F.when(F.col("tile") == F.col("visit"), own).otherwise(F.array(F.pmod(F.xxhash64("node"), "lots").cast("int")))
-    sent = sent.select("visit", F.explode(lot).alias("lot"), "tile", "node", "copies", "embedding")
+    sent = sent.select("visit", F.explode(lot).alias("lot"), "tile", "ring", "met", "node", "copies", "embedding")
 
-    def tile_pair(keys: tuple, both: pa.Table) -> pa.Table:
+    def tile_lot(keys: tuple, both: pa.Table) -> pa.Table:
         visit, lot = (k.as_py() for k in keys)
-        tile = both.column("tile").to_numpy()
+        home, ring = both.column("tile").to_numpy() == visit, both.column("ring").to_numpy()
         node, copies = both.column("node").to_numpy(), both.column("copies").to_numpy()
         vectors = _matrix(both.column("embedding").combine_chunks())
-        here, guests = np.flatnonzero(tile == visit), np.flatnonzero(tile != visit)
+        lists = both.column("met").combine_chunks()
+        met = lists.flatten().to_numpy(zero_copy_only=False)
+        whose = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
+        whose, met = (x[met >= 0] for x in (whose, met))
+        if lot:  # the tile's own pairs are of the first lot
+            whose, met = (x[~home[whose]] for x in (whose, met))
+        order = np.argsort(met, kind="stable")
+        whose, met = whose[order], met[order]
         count = np.zeros(len(node), np.int64)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for left, right, same in ((here, here, True),) * (lot == 0) + ((here, guests, False),) * (guests.size > 0):
-            for i, j in _links(vectors[left], vectors[right], same, axes, config):
-                p, q = left[i], right[j]
-                count += np.bincount(p, weights=copies[q], minlength=len(node)).astype(np.int64)
-                count += np.bincount(q, weights=copies[p], minlength=len(node)).astype(np.int64)
-                out.append(forest(p, q, len(node)))
+        for r in np.unique(ring[home]).tolist():
+            left = np.flatnonzero(home & (ring == r))
+            right = whose[np.searchsorted(met, r, side="left") : np.searchsorted(met, r, side="right")]
+            for a, b, same in ((left, left, True),) * (lot == 0) + ((left, right, False),) * (right.size > 0):
+                for i, j in _links(vectors[a], vectors[b], same, axes, config):
+                    p, q = a[i], b[j]
+                    count += np.bincount(p, weights=copies[q], minlength=len(node)).astype(np.int64)
+                    count += np.bincount(q, weights=copies[p], minlength=len(node)).astype(np.int64)
+                    out.append(forest(p, q, len(node)))
         child, root = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         some = np.flatnonzero(count)
         return pa.table({"node": np.concatenate((node[some], node[child])), "links": np.concatenate((count[some], np.zeros(child.size, np.int64))), "parent": pa.array([None] * some.size + node[root].tolist(), pa.int64())})
 
-    return sent.groupBy("visit", "lot").applyInArrow(tile_pair, "node long, links long, parent long")
+    return sent.groupBy("visit", "lot").applyInArrow(tile_lot, "node long, links long, parent long")
 
 
 def near_vectors(vectors: DataFrame, config: TileConfig = TileConfig()) -> DataFrame:

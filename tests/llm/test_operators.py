@@ -399,16 +399,18 @@ def test_embeddings_of_clusters_meet_few_others_and_lose_no_link(spark, mean):
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     want = np.concatenate([(u[k : k + 2000] @ u.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(u), 2000)])
-    config = embedding_dedup.TileConfig(tile=512)
+    config = embedding_dedup.TileConfig(tile=512, per_pivot=64)
     frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(8)
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(frame, config).collect()}
     assert [got[k] for k in range(len(x))] == want.tolist() and want.sum() >= 10_000
     nodes = frame.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), "embedding")
     pivots = embedding_dedup._pivots(nodes, len(x), config)
-    placed, tiles = embedding_dedup._placed(nodes, pivots, len(x), config)
-    counts = embedding_dedup._visits(placed, pivots, tiles, config).groupBy("visit").agg(F.count_if(F.col("tile") == F.col("visit")).alias("own"), F.count("*").alias("all")).collect()
-    assert sum(r.own for r in counts) == len(x)
-    assert sum(r.own * (r["all"] - r.own) + r.own**2 / 2 for r in counts) < 0.1 * len(x) ** 2 / 2
+    placed, rings = embedding_dedup._placed(nodes, pivots, len(x), config)
+    size = {r.ring: r["count"] for r in placed.groupBy("ring").count().collect()}
+    visits = embedding_dedup._visits(placed, pivots, rings, config)
+    met = visits.select(F.explode("met").alias("ring")).where("ring >= 0").groupBy("ring").count().collect()
+    assert sum(size.values()) == len(x)
+    assert sum(r["count"] * size[r.ring] for r in met) + sum(n * n / 2 for n in size.values()) < 0.1 * len(x) ** 2 / 2
 
 
 def test_embeddings_copies_and_repeated_or_null_ids(spark):
