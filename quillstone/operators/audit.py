@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import text as T
+from quillstone.operators import local_score
 
 NUMBER = "[0-9]+(?:[.][0-9]+)?"
 #: Terms hold no digits, so that a number that stands right behind one doesn't make it another.
@@ -39,6 +40,10 @@ EXPERIENCE = (
 SPECIFIC = "去年|上个月|前阵子|那天|我认识|我同事|我家|我朋友|楼下|小区|说白了|讲真|有一说一"
 PREDICATE = "[是有着在能会要得让把被和或与及的出现发生变得成为觉得知道]|[哦呵啧呣诶呀嘛呢吧啊嗯这那他她它你我不]"
 SENTENCE_CUT = "[。！？!?；;\n]"
+#: For languages of Latin script: forms of to be and to have, and whatever isn't all letters, beside the fixed class.
+LATIN_PREDICATE = PREDICATE + "|[^A-Za-zÀ-ÿ ]|(?i)(?:^| )(?:is|are|was|were|be|has|had|have|est|sont|était|ont|ist|sind|war|hat|es|son|era|ha|han)(?: |$)"
+#: Traces that a rewrite isn't refused for, as they are of its rhythm or follow the original's spacing.
+NOT_VETOING = ("even rhythm", "suspect deviation", "mixed spacing")
 
 
 def _all(column: str, pattern: str) -> Column:
@@ -124,17 +129,25 @@ def adjacent_duplicates(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("before", before).where("sent = before").select("doc_id", "sent_idx")
 
 
+def _signals(phrases: tuple[str, ...] = EXPERIENCE) -> Column:
+    has = lambda column: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col(column), p))
+    return F.array_except(has("rewritten"), has("original"))
+
+
 def new_signals(pairs: DataFrame, phrases: tuple[str, ...] = EXPERIENCE) -> DataFrame:
     """Phrases that only the rewrite has."""
-    has = lambda column: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col(column), p))
-    return pairs.select("doc_id", F.explode(F.array_except(has("rewritten"), has("original"))).alias("phrase"))
+    return pairs.select("doc_id", F.explode(_signals(phrases)).alias("phrase"))
+
+
+def _unpaired(partners: dict[str, tuple[str, ...]] = PARTNERS) -> Column:
+    found = [F.when(F.contains("rewritten", F.lit(a)) & ~_any(bs), F.lit(a)) for a, bs in partners.items()]
+    opening = F.when(T.trimmed("rewritten").rlike(OPENING_PRONOUN), "opening pronoun")
+    return F.filter(F.array(*found, opening), lambda x: x.isNotNull())
 
 
 def unpaired(pairs: DataFrame, partners: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Connectives of the rewrite without a partner, and a pronoun that opens it."""
-    found = [F.when(F.contains("rewritten", F.lit(a)) & ~_any(bs), F.lit(a)) for a, bs in (partners or PARTNERS).items()]
-    opening = F.when(T.trimmed("rewritten").rlike(OPENING_PRONOUN), "opening pronoun")
-    return pairs.select("doc_id", F.explode(F.filter(F.array(*found, opening), lambda x: x.isNotNull())).alias("connective"))
+    return pairs.select("doc_id", F.explode(_unpaired(partners or PARTNERS)).alias("connective"))
 
 
 def _any(phrases: tuple[str, ...]) -> Column:
@@ -144,9 +157,8 @@ def _any(phrases: tuple[str, ...]) -> Column:
     return out
 
 
-def deletion_stubs(pairs: DataFrame) -> DataFrame:
-    """Sentences of 2 to 6 characters without a predicate that stand in the original within a longer sentence."""
-    parts = F.filter(F.transform(F.split("rewritten", SENTENCE_CUT), T.trimmed), lambda s: F.length(s).between(2, 6) & ~s.rlike(PREDICATE))
+def _stubs(predicate: str) -> Column:
+    parts = F.filter(F.transform(F.split("rewritten", SENTENCE_CUT), T.trimmed), lambda s: F.length(s).between(2, 6) & ~s.rlike(predicate))
 
     def cut(s: Column) -> Column:
         at = F.instr("original", s)
@@ -154,7 +166,12 @@ def deletion_stubs(pairs: DataFrame) -> DataFrame:
         whole = ((at == 1) | before.rlike(SENTENCE_CUT)) & ((after == "") | after.rlike(SENTENCE_CUT))
         return (at > 0) & ~whole
 
-    return pairs.select("doc_id", F.explode(F.filter(parts, cut)).alias("stub"))
+    return F.filter(parts, cut)
+
+
+def deletion_stubs(pairs: DataFrame, predicate: str = PREDICATE) -> DataFrame:
+    """Sentences of 2 to 6 characters without a predicate that stand in the original within a longer sentence."""
+    return pairs.select("doc_id", F.explode(_stubs(predicate)).alias("stub"))
 
 
 def added_content(pairs: DataFrame) -> DataFrame:
@@ -171,15 +188,20 @@ def added_content(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", F.inline(T.let(made, rows)))
 
 
-def hard_gate(pairs: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
-    """All issues of a pair as rows (doc_id, issue, detail), but those whose names are exempt: one pass over the pairs."""
+def hard_gate(pairs: DataFrame, marks: local_score.Marks, predicate: str = PREDICATE) -> DataFrame:
+    """All that a rewrite is refused for, as rows (doc_id, issue, detail): traces of a fingerprint but those of NOT_VETOING, numbers and
+    terms, coherence, added experience, size, stubs, collapsed clauses, lost structure. The audits are one pass over the pairs, the
+    fingerprint another."""
     issue = lambda name, detail: F.struct(name.alias("issue"), detail.alias("detail"))
     parts = [
         F.transform(_number_rows(), lambda x: issue(F.concat(F.lit("number "), x.kind), x.token)),
         F.transform(_lost_terms(), lambda t: issue(F.lit("term lost"), t)),
+        F.transform(_unpaired(), lambda t: issue(F.lit("unpaired"), t)),
+        F.transform(_signals(), lambda t: issue(F.lit("experience added"), t)),
         F.transform(_sizes(), lambda x: issue(x.kind, F.lit(""))),
+        F.transform(_stubs(predicate), lambda t: issue(F.lit("stub"), t)),
         F.transform(_structure(), lambda x: issue(F.concat(x.kind, F.lit(" lost")), F.lit(""))),
         F.transform(_collapsed(2, 4, 16), lambda x: issue(F.lit("collapsed"), x.clause)),
     ]
-    out = pairs.select("doc_id", F.inline(F.concat(*parts)))
-    return out.where(~F.col("issue").isin(*exempt)) if exempt else out
+    traces = local_score.fingerprint_issues(pairs.select("doc_id", F.col("rewritten").alias("text")), marks).where(~F.col("kind").isin(*NOT_VETOING))
+    return pairs.select("doc_id", F.inline(F.concat(*parts))).unionByName(traces.select("doc_id", F.lit("trace").alias("issue"), F.col("kind").alias("detail")))

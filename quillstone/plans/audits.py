@@ -19,21 +19,29 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: What the pairs of documents add to a text, by what is to be found: a connective without its partner and somebody's experience; a
+#: heading and a scene that only the original has.
+ADDED, STRUCTURED = "\n其次，我见过。", "# Title\n【场景：hall】\n"
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a rewrite that changes digits, keeps the first third, or adds to the text, by the remainder of the id; and the
-    written pairs, one of which at least each audit finds and one it doesn't, under ids below 0."""
+    """Documents with a rewrite, by the remainder of the id: digits changed, the first third kept, the text doubled, a connective and an
+    experience added, heading and scene dropped, a stub of the first words put before; and the written pairs, one of which at least
+    each audit finds and one it doesn't, under ids below 0."""
     text = F.coalesce("text", F.lit(""))
-    kind = F.col("doc_id") % 3
-    new = F.when(kind == 0, F.regexp_replace(text, "[0-9]", "7")).when(kind == 1, F.substring(text, F.lit(1), F.floor(F.length(text) / 3).cast("int"))).otherwise(F.concat(text, F.lit(" Zebra 42. "), text))
-    return docs(spark, sf_dir).select("doc_id", text.alias("original"), new.alias("rewritten")).unionByName(table_of(spark, "zh_pairs"))
+    kind = F.col("doc_id") % 6
+    third = F.substring(text, F.lit(1), F.floor(F.length(text) / 3).cast("int"))
+    new = F.when(kind == 0, F.regexp_replace(text, "[0-9]", "7")).when(kind == 1, third).when(kind == 2, F.concat(text, F.lit(" Zebra 42. "), text))
+    new = new.when(kind == 3, F.concat(text, F.lit(ADDED))).when(kind == 5, F.concat(F.substring(text, 3, 4), F.lit("\n"), text)).otherwise(text)
+    old = F.when(kind == 4, F.concat(F.lit(STRUCTURED), text)).otherwise(text)
+    return docs(spark, sf_dir).select("doc_id", old.alias("original"), new.alias("rewritten")).unionByName(table_of(spark, "zh_pairs"))
 
 
 PAIRS = f"""pr AS (
-  SELECT doc_id, coalesce(text, '') AS original,
-         CASE doc_id % 3 WHEN 0 THEN regexp_replace(coalesce(text, ''), '[0-9]', '7', 'g')
-                         WHEN 1 THEN substring(coalesce(text, ''), 1, CAST(floor(length(coalesce(text, '')) / 3) AS INT))
-                         ELSE coalesce(text, '') || ' Zebra 42. ' || coalesce(text, '') END AS rewritten FROM documents
-  UNION ALL {sql_table('zh_pairs')})"""
+  SELECT doc_id, CASE doc_id % 6 WHEN 4 THEN {lit(STRUCTURED)} ELSE '' END || t AS original,
+         CASE doc_id % 6 WHEN 0 THEN regexp_replace(t, '[0-9]', '7', 'g') WHEN 1 THEN substring(t, 1, CAST(floor(length(t) / 3) AS INT))
+                         WHEN 2 THEN t || ' Zebra 42. ' || t WHEN 3 THEN t || {lit(ADDED)} WHEN 5 THEN substring(t, 3, 4) || chr(10) || t ELSE t END AS rewritten
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) UNION ALL {sql_table('zh_pairs')})"""
 
 
 def _side(column: str, pattern: str, made: str = "{}") -> str:
@@ -69,23 +77,11 @@ _add("term_loss", lambda s, d: A.term_loss(pairs(s, d)), f"WITH {PAIRS}, {_TERMS
 _add("size_issues", lambda s, d: A.size_issues(pairs(s, d)), f"WITH {PAIRS}, {_SIZES} SELECT doc_id, before, after, kind FROM sz")
 _add("structure_loss", lambda s, d: A.structure_loss(pairs(s, d)), f"WITH {PAIRS}, {_STRUCTURE} SELECT * FROM st")
 _add("collapse", lambda s, d: A.collapsed_clauses(pairs(s, d)), f"WITH {PAIRS}, {_COLLAPSED} SELECT doc_id, clause, source FROM co")
-_add(
-    "hard_gate",
-    lambda s, d: A.hard_gate(pairs(s, d), ("heading lost",)),
-    f"""WITH {PAIRS}, {_NUMBERS}, {_TERMS}, {_SIZES}, {_STRUCTURE}, {_COLLAPSED}
-SELECT doc_id, issue, detail FROM (
-  SELECT doc_id, 'number ' || kind AS issue, token AS detail FROM nd UNION ALL SELECT doc_id, 'term lost', token FROM tl
-  UNION ALL SELECT doc_id, kind, '' FROM sz UNION ALL SELECT doc_id, kind || ' lost', '' FROM st
-  UNION ALL SELECT doc_id, 'collapsed', clause FROM co) WHERE issue NOT IN ('heading lost')""",
-)
-_add(
-    "deletion_stubs",
-    lambda s, d: A.deletion_stubs(pairs(s, d)),
-    f"""WITH {PAIRS}, s0 AS (SELECT doc_id, original, unnest(list_transform(regexp_split_to_array(rewritten, {lit(A.SENTENCE_CUT)}), lambda q: {trim('q')})) AS stub FROM pr),
-s1 AS (SELECT *, instr(original, stub) AS k FROM s0 WHERE length(stub) BETWEEN 2 AND 6 AND NOT {has('stub', A.PREDICATE)})
-SELECT doc_id, stub FROM s1 WHERE k > 0 AND NOT ((k = 1 OR {has('substring(original, k - 1, 1)', A.SENTENCE_CUT)})
-  AND (k + length(stub) > length(original) OR {has('substring(original, k + length(stub), 1)', A.SENTENCE_CUT)}))""",
-)
+_STUBS = f"""s0 AS (SELECT doc_id, original, unnest(list_transform(regexp_split_to_array(rewritten, {lit(A.SENTENCE_CUT)}), lambda q: {trim('q')})) AS stub FROM pr),
+s1 AS (SELECT *, instr(original, stub) AS k FROM s0 WHERE length(stub) BETWEEN 2 AND 6 AND NOT {has('stub', A.LATIN_PREDICATE)}),
+du AS (SELECT doc_id, stub FROM s1 WHERE k > 0 AND NOT ((k = 1 OR {has('substring(original, k - 1, 1)', A.SENTENCE_CUT)})
+  AND (k + length(stub) > length(original) OR {has('substring(original, k + length(stub), 1)', A.SENTENCE_CUT)})))"""
+_add("deletion_stubs", lambda s, d: A.deletion_stubs(pairs(s, d), A.LATIN_PREDICATE), f"WITH {PAIRS}, {_STUBS} SELECT doc_id, stub FROM du")
 _MORE = lambda p: f"{n_of('rewritten', p)} - {n_of('original', p)}"
 _add(
     "added_content",
@@ -101,9 +97,10 @@ _add(
     f"WITH {base_sql(LATIN, 'documents')} SELECT doc_id, sent_idx FROM (SELECT doc_id, sent_idx, sent, lag(sent) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS b FROM s) WHERE sent = b",
 )
 _signal_sql = " UNION ALL ".join(f"SELECT doc_id, {lit(p)} AS phrase FROM pr WHERE contains(rewritten, {lit(p)}) AND NOT contains(original, {lit(p)})" for p in A.EXPERIENCE)
-_add("fabrication_signals", lambda s, d: A.new_signals(pairs(s, d)), f"WITH {PAIRS} {_signal_sql}")
 _partner_sql = " UNION ALL ".join(f"SELECT doc_id, {lit(a)} AS connective FROM pr WHERE contains(rewritten, {lit(a)}) AND NOT (" + " OR ".join(f"contains(rewritten, {lit(b)})" for b in bs) + ")" for a, bs in A.PARTNERS.items())
-_add("coherence", lambda s, d: A.unpaired(pairs(s, d)), f"WITH {PAIRS} {_partner_sql} UNION ALL SELECT doc_id, 'opening pronoun' FROM pr WHERE {has(trim('rewritten'), A.OPENING_PRONOUN)}")
+_COHERENCE = f"{_partner_sql} UNION ALL SELECT doc_id, 'opening pronoun' FROM pr WHERE {has(trim('rewritten'), A.OPENING_PRONOUN)}"
+_add("fabrication_signals", lambda s, d: A.new_signals(pairs(s, d)), f"WITH {PAIRS} {_signal_sql}")
+_add("coherence", lambda s, d: A.unpaired(pairs(s, d)), f"WITH {PAIRS} {_COHERENCE}")
 
 
 def _fixture(name: str, source: str, query, sql: str) -> None:
