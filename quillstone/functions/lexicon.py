@@ -37,9 +37,6 @@ class Lexicon:
     delimiters: str
     span_delimiters: str
     ignore: str
-    tail_particles: str
-    broken: tuple[str, ...]
-    typos: tuple[str, ...]
     pads: tuple[str, ...]
 
 
@@ -82,9 +79,6 @@ CHINESE = Lexicon(
     delimiters="。！？!?；;",
     span_delimiters="。！？!?；;",
     ignore="，,、",
-    tail_particles="(?:呢|啊|吧|嘛)[。！？]",
-    broken=("说到底说", "的的", "了了"),
-    typos=("己经", "因该", "必需要", "按装", "在次"),
     pads=("说实话", "其实", "老实说", "说白了"),
 )
 
@@ -118,8 +112,5 @@ LATIN = Lexicon(
     delimiters=".!?;",
     span_delimiters=".!?;",
     ignore=",|",
-    tail_particles="(?:ou|on)[.!?]",
-    broken=("the the", "and and", "de de", "der der"),
-    typos=("thth", "thst", "eux"),
     pads=("with", "from", "avec", "para"),
 )
