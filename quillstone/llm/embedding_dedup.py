@@ -152,7 +152,9 @@ def _placed(nodes: DataFrame, pivots: np.ndarray, n: int, config: TileConfig) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "angle"])
 
     tiles = max(1, min(config.most_tiles, -(-n // config.tile)))
-    placed = stored(nodes.mapInArrow(near, f"node long, copies long, embedding {kind}, cell int, angle double").repartitionByRange(tiles, "cell", "angle", "node").withColumn("tile", F.spark_partition_id()), "tiles")
+    placed = stored(nodes.mapInArrow(near, f"node long, copies long, embedding {kind}, cell int, angle double").repartitionByRange(tiles, "cell", "angle", "node").withColumn("range", F.spark_partition_id()), "ranges")
+    ranges = (placed.agg(F.max("range")).first()[0] or 0) + 1
+    placed = placed.withColumn("tile", F.floor(F.col("range") * min(tiles, ranges) / ranges).cast("int"))  # where more ranges were made than asked for
     found = placed.groupBy("tile", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # tiles and cells at most
     rings = [(k, r.tile, r.cell, r.low, r.high) for k, r in enumerate(sorted(found, key=lambda r: (r.cell, r.low, r.tile)))]
     numbers = nodes.sparkSession.createDataFrame([r[:3] for r in rings], "ring int, tile int, cell int")
