@@ -23,7 +23,7 @@ STUDENT, STUDENT_MORE = {1: 12.706, 2: 4.303, 3: 3.182}, 2.776
 def ols_errors(points: DataFrame, by: str = "track") -> DataFrame:
     """Of each line with three points or more at different x: standard errors, 95 % bounds of its slope, largest residual."""
     lines = ols_lines(points, by).where("n > 2 AND r2 IS NOT NULL")
-    both = points.join(F.broadcast(lines), by).withColumn("residual", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
+    both = points.join(lines, by).withColumn("residual", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
     out = both.groupBy(by, "n", "slope").agg(F.sum(F.col("residual") * F.col("residual")).alias("ssr"), F.avg("x").alias("mx"), (F.var_pop("x") * F.count("*")).alias("sxx"), F.max(F.abs("residual")).alias("max_residual"))
     se = F.sqrt(F.col("ssr") / (F.col("n") - 2))
     t = F.lit(STUDENT_MORE)
@@ -42,7 +42,7 @@ def plain_median(judgements: DataFrame) -> DataFrame:
 def robust_lines(points: DataFrame, by: str = "track") -> DataFrame:
     """Lines fitted again without each track's point of largest residual."""
     lines = ols_lines(points, by)
-    residual = points.join(F.broadcast(lines), by).withColumn("residual", F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")))
+    residual = points.join(lines, by).withColumn("residual", F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("residual"), "x", "y"))
     kept = residual.withColumn("rank", rank).where((F.col("rank") > 1) | (F.col("n") < 3)).select(by, "x", "y")
     return ols_lines(kept, by)

@@ -11,6 +11,7 @@ from quillstone.operators import audit as A
 from quillstone.operators import calibration as C
 from quillstone.operators import detector as D
 from quillstone.operators import spans as S
+from quillstone.plans.derived import given, given_sql
 from quillstone.plans.fixtures import sql_table, table_of
 from quillstone.sources.tables import read_table
 from quillstone.plans.measure import bare, base_sql, docs, feature_sql, has, lit, n_of, trim
@@ -104,7 +105,7 @@ _add("coherence", lambda s, d: A.unpaired(pairs(s, d)), f"WITH {PAIRS} {_COHEREN
 
 
 def _fixture(name: str, source: str, query, sql: str) -> None:
-    _add(name, lambda s, d: query(table_of(s, source)), f"WITH {source} AS ({sql_table(source)}) {sql}")
+    _add(name, lambda s, d: query(given(s, d, source)), f"WITH {source} AS ({given_sql(source)}) {sql}")
 
 
 def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
@@ -179,8 +180,8 @@ UNION ALL SELECT id, 'out of range' FROM n WHERE NOT pct BETWEEN 0 AND 100 UNION
 UNION ALL SELECT id, 'no line' FROM (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) AS k(id) WHERE id NOT IN (SELECT id FROM ledger)""",
 )
 _add(
-    "append_only_check", lambda s, d: C.append_only(table_of(s, "ledger_old"), table_of(s, "ledger").select("line", "sha")),
-    f"""WITH o AS ({sql_table('ledger_old')}), n AS ({sql_table('ledger')})
+    "append_only_check", lambda s, d: C.append_only(given(s, d, "ledger_old"), given(s, d, "ledger").select("line", "sha")),
+    f"""WITH o AS ({given_sql('ledger_old')}), n AS ({given_sql('ledger')})
 SELECT line, what FROM (SELECT o.line, CASE WHEN n.sha IS NULL THEN 'truncated' ELSE 'modified' END AS what FROM o LEFT JOIN n USING (line) WHERE n.sha IS NULL OR n.sha <> o.sha) ORDER BY line LIMIT 1""",
 )
 _fixture(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions.lexicon import LATIN
 from quillstone.operators import cleanup as C
+from quillstone.plans.derived import given, given_sql
 from quillstone.plans.fixtures import sql_table, table_of
 from quillstone.plans.measure import docs, lit
 from quillstone.sources.tables import read_table
@@ -32,7 +33,7 @@ def strip_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_of(spark, "spaced").select("doc_id", C.strip_typed_spaces("original").alias("stripped"), C.restore_typed_spaces("original", "rewritten").alias("restored"))
+    return given(spark, sf_dir, "spaced").select("doc_id", C.strip_typed_spaces("original").alias("stripped"), C.restore_typed_spaces("original", "rewritten").alias("restored"))
 
 
 def strip_edge_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ ORACLE_SQL = {
     "dedupe_pads": f"WITH t AS ({_ALL}) {_limited([(p, 1, '') for p in PADS])}",
     "strip_phrases": f"""WITH t AS ({_ALL}), c AS (SELECT doc_id, {_strip('text', C.CLICHES, '。！？；，、', '，?')} AS x FROM t), r AS (SELECT doc_id, {_instead('x')} AS x FROM c)
         SELECT doc_id, {_strip('x', C.CONNECTIVES, '。！？!?', '[，,]?', '[ ' + chr(9) + ']*')} AS cleaned FROM r""",
-    "typed_spaces": f"""WITH p AS ({sql_table('spaced')}) SELECT doc_id, CASE WHEN regexp_matches(original, {lit(C.TYPED)}) THEN original ELSE {_closed('original')} END AS stripped,
+    "typed_spaces": f"""WITH p AS ({given_sql('spaced')}) SELECT doc_id, CASE WHEN regexp_matches(original, {lit(C.TYPED)}) THEN original ELSE {_closed('original')} END AS stripped,
         CASE WHEN regexp_matches(original, {lit(C.TYPED)}) THEN {_opened('rewritten')} ELSE rewritten END AS restored FROM p""",
     "strip_edge_spaces": f"SELECT doc_id, {_EDGES} AS cleaned FROM documents",
     "page_text": f"SELECT page_id, {_shown()} AS shown FROM pages",

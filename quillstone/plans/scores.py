@@ -10,6 +10,7 @@ from quillstone.functions.lexicon import CHINESE, LATIN, Lexicon
 from quillstone.operators import calibration as C
 from quillstone.operators import local_score as L
 from quillstone.operators import spans as S
+from quillstone.plans.derived import given, given_sql
 from quillstone.plans.fixtures import sql_table, table_of
 from quillstone.plans.measure import W, bare, docs, feature_sql, has, lit, n_of, n_sum, spans_sql, trim
 from quillstone.sources.tables import read_table
@@ -132,28 +133,28 @@ SELECT threshold, count(*) FILTER (WHERE polluted >= threshold AND quality = 1)
 QUERIES["score_totals"] = lambda s, d: L.local_score(docs(s, d), L.LATIN_MARKS).agg(F.count("*").alias("texts"), F.sum("sentences").alias("sentences"), F.count_if(F.col("sentences") == 0).alias("empty"), F.round(F.avg("score"), 6).alias("mean_score"))
 ORACLE_SQL["score_totals"] = f"WITH {score_sql(L.LATIN_MARKS, 'documents')} SELECT count(*) AS texts, CAST(sum(sentences) AS BIGINT) AS sentences, count(*) FILTER (WHERE sentences = 0) AS empty, round(avg(score), 6) AS mean_score FROM ls"
 
-QUERIES["score_predictions"] = lambda s, _: _six(L.predicted(table_of(s, "scored"), table_of(s, "tracks")), "percent")
-ORACLE_SQL["score_predictions"] = f"""WITH scored AS ({sql_table('scored')}), tracks AS ({sql_table('tracks')}),
+QUERIES["score_predictions"] = lambda s, d: _six(L.predicted(given(s, d, "scored"), table_of(s, "tracks")), "percent")
+ORACLE_SQL["score_predictions"] = f"""WITH scored AS ({given_sql('scored')}), tracks AS ({sql_table('tracks')}),
 k AS (SELECT *, CASE WHEN genre IN ('narrative', 'dialogue') THEN genre WHEN genre = 'humanHand' THEN 'human' ELSE 'main' END AS track FROM scored),
 p AS (SELECT *, least(100.0::DOUBLE, greatest(0.0::DOUBLE, a * score + b)) AS pct FROM k JOIN tracks USING (track))
 SELECT id, track, round(pct, 6) AS percent, CASE WHEN pct >= {S.OFFICIAL_AI} THEN 'ai' WHEN pct >= {S.OFFICIAL_SUSPECTED} THEN 'suspected' ELSE 'human' END AS label,
        CASE WHEN pct <= 20 THEN 'safe' WHEN pct <= 40 THEN 'fair' WHEN pct <= 60 THEN 'doubtful' WHEN pct <= 80 THEN 'heavy' ELSE 'rewrite' END AS advice,
        coalesce(score >= sat, false) AS saturated FROM p"""
 
-QUERIES["scale_guard"] = lambda s, _: _six(L.scale_guard(table_of(s, "scale")), "apart")
-ORACLE_SQL["scale_guard"] = f"""WITH scale AS ({sql_table('scale')}),
+QUERIES["scale_guard"] = lambda s, d: _six(L.scale_guard(given(s, d, "scale")), "apart")
+ORACLE_SQL["scale_guard"] = f"""WITH scale AS ({given_sql('scale')}),
 g AS (SELECT max(score) FILTER (WHERE kind = 'human') AS human_most, min(score) FILTER (WHERE kind = 'machine') AS machine_least,
         avg(score) FILTER (WHERE kind = 'machine') - avg(score) FILTER (WHERE kind = 'human') AS apart FROM scale)
 SELECT human_most, machine_least, round(apart, 6) AS apart, human_most <= {L.HUMAN_MOST} AND machine_least >= {L.MACHINE_LEAST} AND apart >= {L.LEAST_APART} AS ok FROM g"""
 
 _ERRORS = ("slope", "se", "se_slope", "se_intercept", "slope_low", "slope_high", "max_residual")
-QUERIES["ols_errors"] = lambda s, _: _six(C.ols_errors(table_of(s, "calib_points")), *_ERRORS)
-ORACLE_SQL["ols_errors"] = f"""WITH calib_points AS ({sql_table('calib_points')}),
+QUERIES["ols_errors"] = lambda s, d: _six(C.ols_errors(given(s, d, "calib_points")), *_ERRORS)
+ORACLE_SQL["ols_errors"] = f"""WITH calib_points AS ({given_sql('calib_points')}),
 l AS (SELECT track, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS c, avg(x) AS mx, var_pop(x) * count(*) AS sxx FROM calib_points GROUP BY track HAVING count(*) > 2 AND var_pop(x) > 0),
 r AS (SELECT track, any_value(n) AS n, any_value(slope) AS slope, any_value(mx) AS mx, any_value(sxx) AS sxx, sum((y - c - slope * x) ** 2) AS ssr, max(abs(y - c - slope * x)) AS max_residual FROM calib_points JOIN l USING (track) GROUP BY track),
 e AS (SELECT *, sqrt(ssr / (n - 2)) AS se, CASE n - 2 WHEN 1 THEN 12.706::DOUBLE WHEN 2 THEN 4.303::DOUBLE WHEN 3 THEN 3.182::DOUBLE ELSE 2.776::DOUBLE END AS t FROM r)
 SELECT track, n, round(slope, 6) AS slope, round(se, 6) AS se, round(se / sqrt(sxx), 6) AS se_slope, round(se * sqrt(1.0::DOUBLE / n + mx * mx / sxx), 6) AS se_intercept,
        round(slope - t * se / sqrt(sxx), 6) AS slope_low, round(slope + t * se / sqrt(sxx), 6) AS slope_high, round(max_residual, 6) AS max_residual FROM e"""
 
-QUERIES["judge_median"] = lambda s, _: C.plain_median(table_of(s, "judgements"))
-ORACLE_SQL["judge_median"] = f"WITH judgements AS ({sql_table('judgements')}) SELECT doc_id, CAST(floor(median(score) + 0.5) AS BIGINT) AS median FROM judgements WHERE score IS NOT NULL GROUP BY doc_id"
+QUERIES["judge_median"] = lambda s, d: C.plain_median(given(s, d, "judgements"))
+ORACLE_SQL["judge_median"] = f"WITH judgements AS ({given_sql('judgements')}) SELECT doc_id, CAST(floor(median(score) + 0.5) AS BIGINT) AS median FROM judgements WHERE score IS NOT NULL GROUP BY doc_id"
