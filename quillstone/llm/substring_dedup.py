@@ -152,8 +152,9 @@ def passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFr
     return _located(parts, config).groupBy("doc", "row").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
 
 
-def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """Each row of docs (doc_id, text and others) with n_words, n_removed, kept_words (joined by one space) and clean_text.
+def dedup(docs: DataFrame, config: PassageConfig = PassageConfig(), whole_texts: bool = True) -> DataFrame:
+    """Each row of docs (doc_id, text and others) with n_words, n_removed, kept_words (joined by one space) and clean_text; without
+    whole_texts, neither text nor clean_text is made.
 
     Removed is each word of a window of so many words whose sequence also starts in a document with a smaller doc_id, all
     judged on the input. clean_text has the runs of kept words as they stand in the text, with a line break between runs; a
@@ -166,8 +167,11 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
     marks = passages(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), config)
     texts = packed(docs.select(F.struct(*others(docs, *new, "text")).alias("_row"), F.col("doc_id").cast("long").alias("doc"), "text", F.col("text").isNull().alias("_null")))
     joined = texts.join(marks, ["doc", "row"], "left").select("_row", "z", "_null", "marks")
-    kinds = StructType([docs.schema[c] for c in kept]).add("text", "string").add("n_words", "long").add("n_removed", "long").add("kept_words", "string").add("clean_text", "string")
-    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    whole_kinds, counted = (("text", pa.string()), ("clean_text", pa.string())), (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_words", pa.string()))
+    made_kinds = [whole_kinds[0], *counted, whole_kinds[1]] if whole_texts else [*counted]
+    kinds = StructType([docs.schema[c] for c in kept])
+    for c, t in made_kinds:
+        kinds = kinds.add(c, "string" if t == pa.string() else "long")
     word = re.compile(WORD_BYTES)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +181,27 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame
             for text, null, marked in zip(*(batch.column(n).to_pylist() for n in ("z", "_null", "marks"))):
                 raw = z.decompress(text)
                 words = raw.split()
-                whole = raw.decode("utf-8", "replace")
+                whole = raw.decode("utf-8", "replace") if whole_texts and not null else None
                 if not marked:
-                    rows.append((None if null else whole, len(words), 0, b" ".join(words).decode("utf-8", "replace"), None if null else whole))
+                    own = (len(words), 0, b" ".join(words))
+                    rows.append((whole, *own, whole) if whole_texts else own)
                     continue
                 starts = [unplaced(m["place"])[0] + j for m in marked for j in range(config.window) if m["bits"] >> j & 1]
                 gone = covered(np.array(starts, np.int64), config.window, len(words))
+                own = (len(words), int(gone.sum()), b" ".join(x for x, g in zip(words, gone.tolist()) if not g))
+                if not whole_texts:
+                    rows.append(own)
+                    continue
                 spans = [m.span() for m in word.finditer(raw)]
                 edges = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True])).astype(np.int8)))
                 runs = [raw[spans[x][0] : spans[y - 1][1]] for x, y in edges.reshape(-1, 2).tolist()]
-                left = b" ".join(x for x, g in zip(words, gone.tolist()) if not g)
-                rows.append((whole, len(words), int(gone.sum()), left.decode("utf-8", "replace"), b"\n".join(runs).decode("utf-8", "replace")))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, types)]
-            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*kept, "text", *new])
+                rows.append((whole, *own, b"\n".join(runs).decode("utf-8", "replace")))
+            made = [pa.array(c, pa.binary()).cast(t) if n == "kept_words" else pa.array(c, t) for c, (n, t) in zip(zip(*rows) if rows else ((),) * len(made_kinds), made_kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*kept, *(n for n, _ in made_kinds)])
 
     return joined.mapInArrow(clean, kinds)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_texts=False)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
