@@ -74,8 +74,13 @@ def pure(text: Column) -> Column:
 
 
 def literal_count(text: Column, words: tuple[str, ...]) -> Column:
-    """Occurrences of each word, one after the other, added up."""
-    return reduce(lambda a, b: a + b, (F.size(F.split(text, T.alternation([w], literal=True))) - 1 for w in words))
+    """Occurrences of each word, one after the other, added up; a text is only split by the words that it holds."""
+    return reduce(lambda a, b: a + b, (F.when(F.contains(text, F.lit(w)), F.size(F.split(text, T.alternation([w], literal=True))) - 1).otherwise(0) for w in words))
+
+
+def begun(pattern: str, firsts: str) -> str:
+    """pattern, of which every match begins with one of firsts, tried at those places alone."""
+    return f"(?=[{firsts}])(?:{pattern})"
 
 
 def exposition(text: Column) -> Column:
@@ -111,9 +116,9 @@ def features(docs: DataFrame) -> DataFrame:
         h=share(lambda s: pure(s).between(1, 5)),
         b=T.count(t, SCENE_BLOCK) / n,
         e=exposition(t),
-        p=T.count(t, past) / n,
+        p=T.count(t, begun(past, "".join({w[0]: None for w in PAST}))) / n,
         s=T.count(t, SCENE) / n,
-        o=T.count(t, OFFICIAL) / n,
+        o=T.count(t, begun(OFFICIAL, "".join({w[0]: None for w in OFFICIAL.split("|")}))) / n,
     )
 
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
 from quillstone.operators import genre as G
+from quillstone.plans import genres as G_plans
+
+DATA = "/root/testdata/sf0.001"
 
 EXPOSITION = "综上所述，研究表明市场正在变化。数据显示，研发投入同比增长，复合增长率提高。首先要完善战略布局，其次要补上人才缺口。"
 STORY = "昨天我去了公园，在湖边坐了一会儿。后来下了雨，我跑到车站里躲了半天。他已经走到了路上，从商店里买了伞，又回到了房间里。"
@@ -78,3 +86,44 @@ def test_addresses_cut_no_sentence_and_long_runs_are_read_once(spark):
     texts = ["见 http://a.b/c?d=1!e 吧。好！x.y@z.org?再见", "a" * 60_000 + "。" + "b.c_d" * 20_000, "http://a.b?c"]
     got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.sentences_apart_from_urls("t", "。！？!?").alias("s")).collect()]
     assert got[0] == ["见 http://a.b/c?d=1!e 吧。", "好！", "x.y@z.org?", "再见"] and len(got[1]) == 2 and got[2] == ["http://a.b?c"]
+
+
+def test_predictions_read_each_text_once(spark):
+    found = G_plans.genre_predictions(spark, DATA)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "SortMergeJoin" not in plan
+    one = {r.doc_id: r.effective for r in G.genres(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert {r.id: r.track for r in found.collect()} == one
+
+
+ENDS = ("。！？!?…", ".!?;\n", "!+_-")
+
+
+@pytest.mark.parametrize("ends", ENDS)
+def test_sentences_apart_from_addresses_as_character_by_character(spark, ends):
+    bits = ["http", "https", "://", "www.", ".", "a", "b-c", "@", "x@y.de", "!", "?", "。", " ", "\n", "…", ":", "é", "漢", "_", "+", "a" * 70]
+    r = random.Random(3)
+    frame = spark.createDataFrame([("".join(r.choices(bits, k=r.randint(0, 14))),) for _ in range(5000)], "text string")
+    ends_class = "".join("\\" + c if c in "-" else c for c in ends)
+    assert frame.where(T.sentences_apart_from_urls("text", ends) != by_characters(ends_class)).count() == 0
+
+
+def by_characters(ends):
+    unit = rf"(?:(?>{T.ADDRESS})|[^{ends}])*+"
+    parts = F.regexp_extract_all("text", F.lit(f"{unit}[{ends}]+|(?:{unit})$"), F.lit(0))
+    return F.filter(F.transform(parts, T.trimmed), lambda s: s != "")
+
+
+def test_addresses_are_not_looked_for_at_each_character(spark):
+    frame = spark.createDataFrame([("The words of a sentence, with marks and no address. " * 1000,)] * 40, "text string").coalesce(1).cache()
+    frame.count()
+
+    def seconds(parts):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            frame.select(F.size(parts)).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(T.sentences_apart_from_urls("text", ENDS[0])) < seconds(by_characters(ENDS[0])) / 2
