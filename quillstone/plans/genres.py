@@ -39,10 +39,10 @@ def document_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genre_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local scores of documents by the calibration line of their own genre."""
-    rows = docs(spark, sf_dir)
-    scored = L.local_score(G.genres(rows).select("doc_id", "text", "effective"), L.LATIN_MARKS).select("doc_id", "score")
-    found = G.genres(rows).select(F.col("doc_id").alias("id"), F.col("effective").alias("genre")).join(scored.withColumnRenamed("doc_id", "id"), "id")
+    """Local scores of documents by the calibration line of their own genre. A document's genre goes through the score beside its id,
+    so that each text is read once and no row moves; documents without an id are left out."""
+    rows = G.genres(docs(spark, sf_dir).where("doc_id IS NOT NULL")).select(F.struct("doc_id", "effective").alias("doc_id"), "text")
+    found = L.local_score(rows, L.LATIN_MARKS).select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.effective").alias("genre"), "score")
     return L.predicted(found, table_of(spark, "tracks")).withColumn("percent", F.round("percent", 6))
 
 
