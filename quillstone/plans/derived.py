@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.plans.fixtures import sql_table, table_of
 from quillstone.sources.tables import read_table
@@ -44,11 +46,25 @@ DERIVED: dict[str, str] = {
 }
 
 
+def _nll_windows(events: DataFrame) -> DataFrame:
+    """The statement of nll_windows, with each mean's values added one after the other by event_id, as an engine that reads them in this
+    order adds them: where a mean is a whole number, the order of the additions decides what its floor is."""
+    so_far = F.sum("value").over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    sums = events.select("user_id", "event_type", "event_id", "value", so_far.alias("_sum")).groupBy("user_id", "event_type")
+    found = sums.agg(F.count("*").alias("scored"), (F.max_by("_sum", "event_id") / F.nullif(F.count("value"), F.lit(0))).alias("_mean"))
+    return found.select((1000 + F.col("user_id")).alias("doc_id"), F.length("event_type").cast("long").alias("win"), "scored", (F.floor("_mean").cast("double") / 64).alias("mean_nll"))
+
+
+#: Statements that this engine's own plans stand for.
+PLANS = {"nll_windows": _nll_windows}
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived rows of a small table, and its written ones."""
     query, written = DERIVED[name], table_of(spark, name)
     used = {*re.findall(r"(?<!\{)\{(\w+)\}", query)}
-    rows = spark.sql(query, **{t: read_table(spark, sf_dir, t) for t in used})
+    tables = {t: read_table(spark, sf_dir, t) for t in used}
+    rows = PLANS[name](**tables) if name in PLANS else spark.sql(query, **tables)
     return rows.select(*(rows[c].cast(written.schema[c].dataType).alias(c) for c in written.columns)).unionByName(written)
 
 
