@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.sources.tables import in_small_batches
+
 
 @dataclass(frozen=True)
 class ChunkConfig:
@@ -57,7 +59,7 @@ def chunk_rows(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFram
             yield pd.Series([chunks(t, config) if t else [] for t in column])
 
     kept = [c for c in docs.columns if c not in ("text", "chunk", "piece")]
-    return docs.select(*kept, F.posexplode(cut("text")).alias("chunk", "piece"))
+    return in_small_batches(docs).select(*kept, F.posexplode(cut("text")).alias("chunk", "piece"))
 
 
 def within_budget(docs: DataFrame, budget: int, stops: str = BUDGET_STOPS) -> DataFrame:
@@ -86,4 +88,4 @@ def within_budget(docs: DataFrame, budget: int, stops: str = BUDGET_STOPS) -> Da
             yield pd.DataFrame([cut(t) for t in column], columns=["submitted", "chars", "truncated"])
 
     kept = [c for c in docs.columns if c not in ("submitted", "chars", "truncated")]
-    return docs.withColumn("_cut", done("text")).select(*kept, "_cut.*")
+    return in_small_batches(docs).withColumn("_cut", done("text")).select(*kept, "_cut.*")
