@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.protect import PATTERNS, Guard, find_spans
+from quillstone.sources.tables import in_small_batches
 
 #: Rules that a table may hold, as every task holds them; larger ones are refused.
 MOST_RULES = 100_000
@@ -120,4 +121,4 @@ def replace_terms(docs: DataFrame, table: DataFrame, key: Column | str, text: Co
     kept = [c for c in docs.columns if c not in ("rewritten", "sites")]
     key, text = (F.col(c) if isinstance(c, str) else c for c in (key, text))
     made = done(F.coalesce(key.cast("string"), F.lit("")), text)
-    return docs.withColumn("_done", made).select(*kept, "_done.rewritten", "_done.sites")
+    return in_small_batches(docs).withColumn("_done", made).select(*kept, "_done.rewritten", "_done.sites")

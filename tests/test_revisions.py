@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillstone.operators import chunks as C
 from quillstone.operators import difference as D
 from quillstone.operators import protect as P
 from quillstone.operators import replace as R
@@ -221,3 +223,16 @@ def test_explained_changes_sum_to_all_changes(spark):
 def test_the_given_tables_hold_protected_marks(spark):
     got = revisions.guarded_cuts(spark, "/root/testdata/sf0.001").agg(F.sum("cuts"), F.sum("in_address")).first()
     assert 0 < got[1] < got[0]
+
+
+@pytest.mark.parametrize("made", [lambda d: D.sentence_diff(d), lambda d: D.inline_diff(d), lambda d: D.explain(d, [], {}), lambda d: C.chunk_rows(d.withColumnRenamed("before", "text"))])
+def test_texts_go_to_python_in_small_batches(spark, made):
+    @F.pandas_udf("int")
+    def sizes(column: pd.Series) -> pd.Series:
+        return pd.Series([len(column)] * len(column))
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    pairs = spark.range(3000).coalesce(1).select(F.repeat(F.lit("One. Two!\n"), 1000).alias("before"), F.lit("One. Three!").alias("after"))
+    assert made(pairs).limit(1).count() == 1
+    assert pairs.select(F.max(sizes("before"))).first()[0] <= 1000
