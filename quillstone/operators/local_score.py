@@ -7,6 +7,7 @@ All is computed in the document's row: nothing is shuffled but by the sums over
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -176,17 +177,28 @@ def _sentences(docs: DataFrame, m: Marks) -> DataFrame:
 
 
 def polluted_ratio(text: Column, m: Marks) -> Column:
-    """Share of a text's sentences that hold pads, stacked or set off by a comma, particles behind a word, or are fragments."""
-    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"[^{m.stops}\n]*[{m.stops}]|[^{m.stops}\n]+"), F.lit(0)), T.trimmed), lambda s: s != "")
-
-    def bad(s: Column) -> Column:
-        plain = F.regexp_replace(s, f"[{m.stops}]+$", "")
-        found = F.lit(False)
-        for name, pattern in polluted_patterns(m).items():
-            found = found | (plain if name.startswith("bare") else s).rlike(pattern)
-        return found
+    """Share of a text's sentences that hold pads, stacked or set off by a comma, particles behind a word, or are fragments.
 
-    return T.let(parts, lambda p: F.when(F.size(p) > 0, F.size(F.filter(p, bad)) / F.size(p)).otherwise(0.0))
+    Sentences are only held against the patterns of pads where the text has a pad before a comma.
+    """
+    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"[^{m.stops}\n]*[{m.stops}]|[^{m.stops}\n]+"), F.lit(0)), T.trimmed), lambda s: s != "")
+    patterns = polluted_patterns(m)
+    padded = [k for k, p in patterns.items() if any_literal((*m.pads, *m.more_pads)) in p]
+
+    def bad(names: list[str]) -> Callable[[Column], Column]:
+        def holds(s: Column) -> Column:
+            plain = F.regexp_replace(s, f"[{m.stops}]+$", "")
+            found = F.lit(False)
+            for name in names:
+                found = found | (plain if name.startswith("bare") else s).rlike(patterns[name])
+            return found
+
+        return holds
+
+    pads = F.greatest(*(F.contains(text, F.lit(w + c)) for w in (*m.pads, *m.more_pads) for c in m.commas))
+    n = lambda p, names: F.size(F.filter(p, bad(names)))
+    some = lambda p: F.when(pads, n(p, [*patterns])).otherwise(n(p, [k for k in patterns if k not in padded]))
+    return T.let(parts, lambda p: F.when(F.size(p) > 0, some(p) / F.size(p)).otherwise(0.0))
 
 
 def local_score(docs: DataFrame, m: Marks) -> DataFrame:
