@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def left_out_residuals(points: DataFrame, by: str) -> DataFrame:
@@ -17,6 +18,7 @@ def left_out_residuals(points: DataFrame, by: str) -> DataFrame:
     values, so that large means cost no digits.
     """
     known = points.where("x IS NOT NULL AND y IS NOT NULL")
+    known = known.repartition(points.sparkSession.sparkContext.defaultParallelism)  # an exchange that means and points share: points are made once
     means = known.groupBy(by).agg(F.count("*").alias("_n"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.covar_pop("x", "y").alias("_cov"), F.var_pop("x").alias("_var"))
     df = known.join(means.where("_n > 1"), by)
     n, dx, dy = F.col("_n"), F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
@@ -45,9 +47,10 @@ def edited(docs: DataFrame, edits: dict[str, Callable[[Column], Column]]) -> Dat
 def paired_changes(scored: DataFrame, directions: dict[str, int]) -> DataFrame:
     """scored (doc_id, edit, score) of edited documents: of each edit, pairs, up, down and same (how many scores rose, fell, stayed), the
     mean, least and most change, right (the share that went in the direction expected, 1 or -1) and apart (the mean change in
-    standard errors; null for fewer than two pairs or equal changes). A document's versions meet by its id, edits are few."""
-    base = scored.where("edit = ''").select("doc_id", F.col("score").alias("before"))
-    both = scored.where("edit <> ''").join(base, "doc_id").withColumn("change", F.col("score") - F.col("before"))
+    standard errors; null for fewer than two pairs or equal changes). A document's versions meet by its id,
+    edits are few; scored is made once."""
+    base = F.collect_list(F.when(F.col("edit") == "", F.col("score"))).over(Window.partitionBy("doc_id"))
+    both = scored.where("doc_id IS NOT NULL").withColumn("_base", base).where("edit <> ''").withColumn("before", F.explode("_base")).withColumn("change", F.col("score") - F.col("before"))
     c = F.col("change")
     out = both.groupBy("edit").agg(
         F.count("*").alias("pairs"), F.count_if(c > 0).alias("up"), F.count_if(c < 0).alias("down"), F.count_if(c == 0).alias("same"), F.avg(c).alias("mean"),

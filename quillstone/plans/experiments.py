@@ -35,11 +35,12 @@ def paired_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points (lang, x, y): the local score of a labelled document, and 100 where its quality is low."""
+    """Points (lang, x, y): the local score of a labelled document, and 100 where its quality is low. A document's language goes through
+    the score beside its id, so that each text is read once."""
     texts = read_table(spark, sf_dir, "documents", ("doc_id", "text", "lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     labels = read_table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", "quality")
-    scored = L.local_score(texts.select("doc_id", "text"), MARKS).select("doc_id", "score")
-    return texts.select("doc_id", "lang").join(labels, "doc_id").join(scored, "doc_id").select("lang", F.col("score").cast("double").alias("x"), F.when(F.col("quality") == 0, 100.0).otherwise(0.0).alias("y"))
+    scored = L.local_score(texts.select(F.struct("doc_id", "lang").alias("doc_id"), "text"), MARKS).select("doc_id.doc_id", "doc_id.lang", "score")
+    return scored.join(labels, "doc_id").select("lang", F.col("score").cast("double").alias("x"), F.when(F.col("quality") == 0, 100.0).otherwise(0.0).alias("y"))
 
 
 def left_out_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

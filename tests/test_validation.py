@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.plans import experiments
 from quillstone.operators import validation as V
 
 
@@ -51,3 +53,12 @@ def test_paired_changes_by_hand(spark):
     assert (d.pairs, d.up, d.down, d.same, d.mean, d.least, d.most, d.right) == (2, 0, 2, 0, -1.5, -2, -1, 1.0)
     assert d.apart == pytest.approx(-1.5 / (0.5**0.5 / 2**0.5))
     assert (a.pairs, a.up, a.down, a.right, a.apart) == (3, 3, 0, 0.0, None)
+
+
+@pytest.mark.parametrize("name", ["paired_experiment", "left_out_errors"])
+def test_experiments_score_each_text_once(spark, name):
+    found = experiments.QUERIES[name](spark, "/root/testdata/sf0.001")
+    run = found._jdf.queryExecution()
+    found.collect()  # the same plan is run, and is the final one then
+    plan = run.executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet \[doc_id#\d+L?,text", plan)) == 1
