@@ -262,8 +262,8 @@ RHYTHM, LONG_SHARE, LONG_SENTENCE, TRIPLE, RHYTHM_LEAST = (0.28, 0.62), (0.05, 0
 def radar(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id and twelve features from 0 to 1. Rhythm goes by the sample deviation of the spans' lengths; one that is suspect
     lifts it to RHYTHM_LEAST at least."""
-    df = detector.raw_features(docs, lexicon)
-    df = T.once(df, _spans=F.transform(spans.cut(lexicon), lambda x: T.visible_length(x.sent)))
+    df = detector.raw_features(docs, lexicon, [name for name, *_ in DENSITIES])
+    df = T.once(df, _spans=F.transform(F.filter(spans.pieces(lexicon), lambda s: spans.worded(s, lexicon)), T.visible_length))
     df = T.once(df, _mean=T.mean(F.col("_spans")), _std=T.deviation(F.col("_spans"), sample=True), _n=F.size("_spans"))
     even = T.norm(F.when(F.col("_mean") > 0, F.col("_std") / F.col("_mean")).otherwise(0.0), *RHYTHM, invert=True)
     suspect = (F.col("_n") >= SUSPECT_STD[0]) & F.col("_std").between(*SUSPECT_STD[1:])
