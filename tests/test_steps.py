@@ -39,3 +39,9 @@ def test_occurrences_are_those_of_the_pattern(spark, word):
     texts = [None, "", "aaaaa", "thethe the é", "😀😀 aa 😀"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in frame.select(T.occurrences("t", word)).collect()] == [None if t is None else t.count(word) for t in texts]
+
+
+def test_visible_length_of_a_sentence_is_made_once(spark):
+    scored = S.scored_spans(spark.createDataFrame([(1, "a b.")], "doc_id int, text string"), LATIN)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
