@@ -7,8 +7,9 @@ All is computed in the document's row: nothing is shuffled but by the sums over
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,41 +165,45 @@ def _held(text: Column, words: tuple[str, ...]) -> Column:
     return total
 
 
-def _occurrences(text: Column, word: str) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+def _some(text: Column, words: Iterable[str]) -> Column:
+    """Whether the text holds any of words."""
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+
+
+def _count_where(text: Column, pattern: str, words: Iterable[str]) -> Column:
+    """Count of a pattern whose every match holds one of words: texts without them aren't read by it."""
+    return F.when(_some(text, words), T.count(text, pattern)).otherwise(0)
 
 
 def _sentences(docs: DataFrame, m: Marks) -> DataFrame:
     """docs with t, its text, and the number, mean and population deviation of its sentences' lengths, delimiters left out.
     A delimiter within a URL cuts, too."""
     df = T.once(docs, t=F.coalesce("text", F.lit("")))
-    df = T.once(df, _lens=F.transform(T.sentences_runs("t", m.delimiters), lambda s: F.length(F.regexp_replace(s, f"[{m.delimiters}]", ""))))
+    df = T.once(df, _lens=F.transform(T.sentences_runs("t", m.delimiters), lambda s: F.length(F.rtrim(s, F.lit(m.delimiters)))))
     return T.once(df, n=F.size("_lens"), avg_len=T.mean(F.col("_lens")), std_len=T.deviation(F.col("_lens"))).drop("_lens")
 
 
 def polluted_ratio(text: Column, m: Marks) -> Column:
     """Share of a text's sentences that hold pads, stacked or set off by a comma, particles behind a word, or are fragments.
 
-    Sentences are only held against the patterns of pads where the text has a pad before a comma.
+    A sentence is only held against patterns of which the text holds a word, and a text that holds none isn't cut.
     """
     parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"[^{m.stops}\n]*[{m.stops}]|[^{m.stops}\n]+"), F.lit(0)), T.trimmed), lambda s: s != "")
     patterns = polluted_patterns(m)
-    padded = [k for k, p in patterns.items() if any_literal((*m.pads, *m.more_pads)) in p]
+    pads = (*m.pads, *m.more_pads)
+    groups = (
+        ([k for k, p in patterns.items() if any_literal(pads) in p], [w + c for w in pads for c in m.commas]),
+        (["particle"], [w + c for w in m.particles.split("|") for c in m.commas + m.stops]),
+        (["bare fragment"], m.fragments),
+    )
 
-    def bad(names: list[str]) -> Callable[[Column], Column]:
-        def holds(s: Column) -> Column:
-            plain = F.regexp_replace(s, f"[{m.stops}]+$", "")
-            found = F.lit(False)
-            for name in names:
-                found = found | (plain if name.startswith("bare") else s).rlike(patterns[name])
-            return found
+    def bad(s: Column, held: Column) -> Column:
+        plain = F.regexp_replace(s, f"[{m.stops}]+$", "")
+        hits = [F.get(held, F.lit(k)) & reduce(Column.__or__, ((plain if n.startswith("bare") else s).rlike(patterns[n]) for n in names)) for k, (names, _) in enumerate(groups)]
+        return reduce(Column.__or__, hits)
 
-        return holds
-
-    pads = F.greatest(*(F.contains(text, F.lit(w + c)) for w in (*m.pads, *m.more_pads) for c in m.commas))
-    n = lambda p, names: F.size(F.filter(p, bad(names)))
-    some = lambda p: F.when(pads, n(p, [*patterns])).otherwise(n(p, [k for k in patterns if k not in padded]))
-    return T.let(parts, lambda p: F.when(F.size(p) > 0, some(p) / F.size(p)).otherwise(0.0))
+    share = lambda held: T.let(parts, lambda p: F.when(F.size(p) > 0, F.size(F.filter(p, lambda s: bad(s, held))) / F.size(p)).otherwise(0.0))
+    return T.let(F.array(*(_some(text, words) for _, words in groups)), lambda held: F.when(F.array_contains(held, F.lit(True)), share(held)).otherwise(0.0))
 
 
 def local_score(docs: DataFrame, m: Marks) -> DataFrame:
@@ -208,9 +213,11 @@ def local_score(docs: DataFrame, m: Marks) -> DataFrame:
     """
     df = _sentences(docs, m)
     t = F.col("t")
-    structure = F.least(F.lit(TAIL[1]), T.count(t, tail_particle(m))) * TAIL[0] + F.least(F.lit(ORPHAN[1]), T.count(t, orphan(m))) * ORPHAN[0]
+    before_stop = lambda words: [w + c for w in words for c in m.stops]
+    at_most = lambda rule, pattern, words: F.least(F.lit(rule[1]), _count_where(t, pattern, before_stop(words))) * rule[0]
+    structure = at_most(TAIL, tail_particle(m), m.tail.split("|")) + at_most(ORPHAN, orphan(m), m.orphans)
     for w in m.pad_sentences:
-        structure = structure + F.least(F.lit(PAD_SENTENCE[1]), T.count(t, pad_sentence(m, w))) * PAD_SENTENCE[0]
+        structure = structure + at_most(PAD_SENTENCE, pad_sentence(m, w), [w])
     df = T.once(df, hits=_held(t, m.phrases), broken=_held(t, m.broken), typos=T.count_of(t, m.typos), polluted=polluted_ratio(t, m), _structure=structure)
     points = F.lit(0)
     for least, worth in reversed(POLLUTED):
@@ -228,25 +235,27 @@ def band(score: Column) -> Column:
     return F.when(score <= HUMAN_MOST, "human").when(score >= MACHINE_LEAST, "machine").otherwise(F.when(score >= CUT_OFF, "grey, machine side").otherwise("grey, human side"))
 
 
-def fingerprint_issues(docs: DataFrame, m: Marks) -> DataFrame:
-    """(doc_id, kind, n): deterministic traces of a text, a row for each kind found."""
-    df = _sentences(docs, m)
+def fingerprint_issues(docs: DataFrame, m: Marks, without: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kind, n): deterministic traces of a text, a row for each kind found; those of without are not looked for."""
+    df = T.once(docs, t=F.coalesce("text", F.lit(""))) if {"even rhythm", "suspect deviation"} <= {*without} else _sentences(docs, m)
     t = F.col("t")
-    dash, ellipsis, half, full = (_occurrences(t, w) for w in (m.dash, m.ellipsis, m.half_comma, m.full_comma))
-    cv = F.round(F.when(F.col("avg_len") > 0, F.col("std_len") / F.col("avg_len")).otherwise(0.0), 2)
-    std = F.round("std_len", 1)
+    dash, ellipsis, half, full = (T.occurrences(t, w) for w in (m.dash, m.ellipsis, m.half_comma, m.full_comma))
+    cv = lambda: F.round(F.when(F.col("avg_len") > 0, F.col("std_len") / F.col("avg_len")).otherwise(0.0), 2)
+    std = lambda: F.round("std_len", 1)
+    lead = f"(?:^|[{m.stops}!?\n]{T.SPACE_CLASS}*){any_literal(m.transitions)}"
+    half_commas = lambda h, f: F.when((h > 0) & (h / (f + h) > HALF_SHARE), h).otherwise(0)
     kinds = [
-        ("mixed spacing", T.count_of(t, m.spaced), 0),
-        *((f"repeated pad {w}", _occurrences(t, w + m.full_comma.strip()), 1) for w in m.pads),
-        ("dashes", dash, 1),
-        ("ellipses", ellipsis, 1),
-        ("leading transition", T.count(t, f"(?:^|[{m.stops}!?\n]{T.SPACE_CLASS}*){any_literal(m.transitions)}"), 0),
-        ("stock phrase", _held(t, m.phrases), 0),
-        ("even rhythm", ((F.col("n") >= LEAST_CV[0]) & (cv < LEAST_CV[1])).cast("int"), 0),
-        ("suspect deviation", ((F.col("n") >= SUSPECT_STD[0]) & std.between(*SUSPECT_STD[1:])).cast("int"), 0),
-        ("half commas", F.when((half > 0) & (half / (full + half) > HALF_SHARE), half).otherwise(0), 0),
+        ("mixed spacing", lambda: T.count_of(t, m.spaced), 0),
+        *((f"repeated pad {w}", lambda w=w: T.occurrences(t, w + m.full_comma.strip()), 1) for w in m.pads),
+        ("dashes", lambda: dash, 1),
+        ("ellipses", lambda: ellipsis, 1),
+        ("leading transition", lambda: _count_where(t, lead, m.transitions), 0),
+        ("stock phrase", lambda: _held(t, m.phrases), 0),
+        ("even rhythm", lambda: ((F.col("n") >= LEAST_CV[0]) & (cv() < LEAST_CV[1])).cast("int"), 0),
+        ("suspect deviation", lambda: ((F.col("n") >= SUSPECT_STD[0]) & std().between(*SUSPECT_STD[1:])).cast("int"), 0),
+        ("half commas", lambda: T.let(F.struct(half.alias("h"), full.alias("f")), lambda x: half_commas(x.h, x.f)), 0),
     ]
-    found = F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("int").alias("n"), F.lit(over).alias("over")) for k, c, over in kinds))
+    found = F.array(*(F.struct(F.lit(k).alias("kind"), c().cast("int").alias("n"), F.lit(over).alias("over")) for k, c, over in kinds if k not in without))
     df = T.once(df.select("doc_id", found.alias("_f")), _i=F.filter("_f", lambda x: x["n"] > x["over"]))
     return df.select("doc_id", F.explode("_i").alias("_x")).select("doc_id", "_x.kind", "_x.n")
 

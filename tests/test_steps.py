@@ -45,3 +45,23 @@ def test_visible_length_of_a_sentence_is_made_once(spark):
     scored = S.scored_spans(spark.createDataFrame([(1, "a b.")], "doc_id int, text string"), LATIN)
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1
+
+
+def polluted(text, m):
+    parts = [s for s in (p.strip(T.SPACES) for p in re.findall(f"[^{m.stops}\n]*[{m.stops}]|[^{m.stops}\n]+", text)) if s]
+    bad = lambda s: any(re.search(p, re.sub(f"[{m.stops}]+$", "", s) if k.startswith("bare") else s) for k, p in L.polluted_patterns(m).items())
+    return sum(map(bad, parts)) / len(parts) if parts else 0.0
+
+
+@pytest.mark.parametrize("m", [L.LATIN_MARKS, L.CHINESE_MARKS])
+def test_polluted_share_equals_plain_python(spark, m):
+    stop, comma, pad = m.stops[0], m.commas[0], m.pads[0]
+    texts = ["", f"abc{stop}", f"{pad}{comma}abc{stop}abc{stop}", f"abcdef {pad}{comma}x{stop}", f"{pad}{comma} {m.more_pads[0]}{comma}x{stop}b{stop}"]
+    texts += [f"abc{stop}{m.fragments[0]}{stop}", f"我x {m.particles.split('|')[0]}{comma}y{stop}z{stop}", f"{pad} {m.fragments[1]}{stop}", f"好{m.particles.split('|')[1]}{stop}好{stop}"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(L.polluted_ratio(frame.t, m)).collect()] == [polluted(t, m) for t in texts]
+
+
+def test_a_pattern_reads_only_texts_with_one_of_its_words(spark):
+    frame = spark.createDataFrame([("aaa",), ("aaab",)], "t string")
+    assert [r[0] for r in frame.select(L._count_where(frame.t, "a", ["b"])).collect()] == [0, 3]
