@@ -5,6 +5,8 @@ Both texts of a pair stand in one row, so every audit is an expression over arra
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +26,8 @@ PARTICLES = "[吧呢啊嘛呀哦哈呗咯嗯]+$"
 #: Blocks of a script, headings, and speakers with their role.
 SCENE = "(?m)^[ \t]*【[^】\n]{2,}】"
 HEADING = "(?m)^[ \t]{0,3}#{1,6}[ \t]+[^ \t\n]"
-ROLE = "[一-龥A-Za-z]{1,6}[（(][^）()\n]{1,14}[）)][ \t]*[:：]"
+ROLE_END = "[（(][^）()\n]{1,14}[）)][ \t]*[:：]"
+ROLE = "[一-龥A-Za-z]{1,6}" + ROLE_END
 #: Connectives that need one of their partners, and pronouns that can't open a text.
 PARTNERS = {
     "其次": ("首先", "再者", "第二", "头一件", "一来"), "再者": ("首先", "第二", "一来"), "另一方面": ("一方面",), "其二": ("其一",), "其三": ("其一", "其二"),
@@ -66,8 +69,14 @@ def number_fidelity(pairs: DataFrame) -> DataFrame:
 
 
 def _lost_terms() -> Column:
-    upper = lambda c: F.transform(_all(c, TERM), lambda t: F.upper(t))
-    return F.array_except(upper("original"), upper("rewritten"))
+    """Terms are put in capitals only where the rewrite lacks some as they are written."""
+    upper = lambda terms: F.transform(terms, lambda t: F.upper(t))
+
+    def lost(v: Column) -> Column:
+        away = F.array_except(v.a, v.b)
+        return F.when(F.size(away) > 0, F.array_except(upper(away), upper(F.array_distinct(v.b)))).otherwise(away)
+
+    return T.let(F.struct(_all("original", TERM).alias("a"), _all("rewritten", TERM).alias("b")), lost)
 
 
 def term_loss(pairs: DataFrame) -> DataFrame:
@@ -79,7 +88,7 @@ def _sizes() -> Column:
     def kinds(v: Column) -> Column:
         inflated = (v.before >= LEAST_ORIGINAL) & (v.after > INFLATED * v.before) & (v.after - v.before > LEAST_MORE)
         some = v.text != ""
-        found = F.array(F.when(~some, "empty"), F.when(some & ~v.text.rlike(FINISHED), "unfinished"), F.when(some & (v.after < SHRUNK * v.before), "shrunk"), F.when(inflated, "inflated"))
+        found = F.array(F.when(~some, "empty"), F.when(some & ~F.right(v.text, F.lit(1)).rlike(FINISHED), "unfinished"), F.when(some & (v.after < SHRUNK * v.before), "shrunk"), F.when(inflated, "inflated"))
         return F.transform(F.filter(found, lambda k: k.isNotNull()), lambda k: F.struct(v.before.alias("before"), v.after.alias("after"), k.alias("kind")))
 
     return T.let(F.struct(T.visible_length("original").alias("before"), T.visible_length("rewritten").alias("after"), T.trimmed("rewritten").alias("text")), kinds)
@@ -94,10 +103,14 @@ def _collapsed(least: int, shortest: int, longest: int) -> Column:
     clauses = lambda c: F.filter(F.transform(F.split(c, CLAUSE_CUT), T.trimmed), lambda p: p != "")
 
     def rows(v: Column) -> Column:
-        heads = F.filter(F.transform(v.b, lambda c: F.regexp_replace(c, PARTICLES, "")), lambda c: F.length(c).between(shortest, longest))
+        padded = lambda c: F.right(c, F.lit(1)).rlike(PARTICLES)
+        heads = F.filter(F.transform(v.b, lambda c: F.when(padded(c), F.regexp_replace(c, PARTICLES, "")).otherwise(c)), lambda c: F.length(c).between(shortest, longest))
+        hits = lambda gone: F.transform(F.when(F.size(gone) > 0, heads).otherwise(F.slice(heads, 1, 0)), lambda h: F.struct(h.alias("clause"), hit(gone, h).alias("source")))
         gone = F.array_except(F.filter(v.a, lambda c: F.length(c) >= shortest), v.b)
-        hit = lambda h: F.get(F.filter(gone, lambda s: s.startswith(h) & (F.length(s) - F.length(h) >= least)), F.lit(0))
-        return F.filter(F.transform(heads, lambda h: F.struct(h.alias("clause"), hit(h).alias("source"))), lambda x: x.source.isNotNull())
+        return T.let(gone, lambda g: F.filter(hits(g), lambda x: x.source.isNotNull()))
+
+    def hit(gone: Column, h: Column) -> Column:
+        return F.get(F.filter(gone, lambda s: s.startswith(h) & (F.length(s) - F.length(h) >= least)), F.lit(0))
 
     return T.let(F.struct(clauses("original").alias("a"), clauses("rewritten").alias("b")), rows)
 
@@ -113,7 +126,8 @@ def _structure() -> Column:
         both = F.array(one("scene", v.s0, v.s1, v.s1 < v.s0), one("heading", v.h0, v.h1, v.h1 < v.h0), one("role", v.r0, v.r1, (v.r0 >= 2) & (v.r1 == 0)))
         return F.filter(both, lambda x: x.isNotNull() & (T.trimmed("rewritten") != ""))
 
-    counts = [T.count(c, p).alias(f"{n}{k}") for n, p in (("s", SCENE), ("h", HEADING), ("r", ROLE)) for k, c in enumerate(("original", "rewritten"))]
+    roles = lambda c: F.when(F.col(c).rlike(ROLE_END), T.count(c, ROLE)).otherwise(0)
+    counts = [f(c).alias(f"{n}{k}") for n, f in (("s", lambda c: T.count(c, SCENE)), ("h", lambda c: T.count(c, HEADING)), ("r", roles)) for k, c in enumerate(("original", "rewritten"))]
     return T.let(F.struct(*counts), rows)
 
 
@@ -130,8 +144,14 @@ def adjacent_duplicates(sentences: DataFrame) -> DataFrame:
 
 
 def _signals(phrases: tuple[str, ...] = EXPERIENCE) -> Column:
-    has = lambda column: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col(column), p))
-    return F.array_except(has("rewritten"), has("original"))
+    """Each phrase is looked for where the rewrite holds a character of it; few characters stand for all phrases."""
+    common, rest = [], [*phrases]
+    while rest:
+        common.append(max({c for p in rest for c in p}, key=lambda c: (sum(c in p for p in rest), c)))
+        rest = [p for p in rest if common[-1] not in p]
+    new = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains("rewritten", p) & ~F.contains("original", p))
+    some = reduce(Column.__or__, (F.contains("rewritten", F.lit(c)) for c in common))
+    return F.when(some, F.array_distinct(new)).otherwise(F.array().cast("array<string>"))
 
 
 def new_signals(pairs: DataFrame, phrases: tuple[str, ...] = EXPERIENCE) -> DataFrame:
@@ -203,5 +223,5 @@ def hard_gate(pairs: DataFrame, marks: local_score.Marks, predicate: str = PREDI
         F.transform(_structure(), lambda x: issue(F.concat(x.kind, F.lit(" lost")), F.lit(""))),
         F.transform(_collapsed(2, 4, 16), lambda x: issue(F.lit("collapsed"), x.clause)),
     ]
-    traces = local_score.fingerprint_issues(pairs.select("doc_id", F.col("rewritten").alias("text")), marks).where(~F.col("kind").isin(*NOT_VETOING))
+    traces = local_score.fingerprint_issues(pairs.select("doc_id", F.col("rewritten").alias("text")), marks, without=NOT_VETOING)
     return pairs.select("doc_id", F.inline(F.concat(*parts))).unionByName(traces.select("doc_id", F.lit("trace").alias("issue"), F.col("kind").alias("detail")))

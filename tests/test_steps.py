@@ -65,3 +65,30 @@ def test_polluted_share_equals_plain_python(spark, m):
 def test_a_pattern_reads_only_texts_with_one_of_its_words(spark):
     frame = spark.createDataFrame([("aaa",), ("aaab",)], "t string")
     assert [r[0] for r in frame.select(L._count_where(frame.t, "a", ["b"])).collect()] == [0, 3]
+
+
+def test_traces_that_do_not_veto_are_not_looked_for(spark):
+    frame = spark.createDataFrame([(1, "abcdefgh. " * 12)], "doc_id int, text string")
+    kinds = lambda **by: {r.kind for r in L.fingerprint_issues(frame, L.LATIN_MARKS, **by).collect()}
+    assert "even rhythm" in kinds()
+    assert not {*A.NOT_VETOING} & kinds(without=A.NOT_VETOING)
+
+
+def test_a_rewrite_is_finished_by_its_last_character(spark):
+    texts = ["Done.", "Done.\u0085", "Done.\n", "Do.ne", "完。"]
+    frame = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)], "doc_id int, original string, rewritten string")
+    assert sorted(r.doc_id for r in A.size_issues(frame).collect() if r.kind == "unfinished") == [1, 3]
+
+
+def test_roles_terms_clauses_and_experience(spark):
+    rows = [
+        (1, "Ann(loud): hi. Bob（soft）： no. (x) y", "hi. no."),
+        (2, "Alpha beta-x ALPHA gamma", "alpha BETA-X"),
+        (3, "the long clause here, and more", "the long吧, and more"),
+        (4, "plain", "那天我 plain. 有一次我 plain"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id int, original string, rewritten string")
+    assert [(r.doc_id, r.kind, r.before) for r in A.structure_loss(frame).collect()] == [(1, "role", 2)]
+    assert [r.token for r in A.term_loss(frame).collect() if r.doc_id == 2] == ["GAMMA"]
+    assert [(r.clause, r.source) for r in A.collapsed_clauses(frame).collect() if r.doc_id == 3] == [("the long", "the long clause here")]
+    assert [r.phrase for r in A.new_signals(frame).collect()] == ["有一次我", "那天我"]
