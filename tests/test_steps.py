@@ -84,7 +84,7 @@ def test_roles_terms_clauses_and_experience(spark):
     rows = [
         (1, "Ann(loud): hi. Bob（soft）： no. (x) y", "hi. no."),
         (2, "Alpha beta-x ALPHA gamma", "alpha BETA-X"),
-        (3, "the long clause here, and more", "the long吧, and more"),
+        (3, "the long clause here，and more", "the long吧，and more"),
         (4, "plain", "那天我 plain. 有一次我 plain"),
     ]
     frame = spark.createDataFrame(rows, "doc_id int, original string, rewritten string")
