@@ -156,7 +156,7 @@ def anchors_of(docs: DataFrame, units: Callable[[], Callable[[bytes], np.ndarray
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "ctx", "doc", "place"])
 
-    return docs.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text").mapInArrow(read, ANCHORS)
+    return texts_of(docs).where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text").mapInArrow(read, ANCHORS)
 
 
 def recurring(anchors: DataFrame, where: str, routing: Routing, hot: DataFrame | None = None, first_doc: bool = False) -> DataFrame:
@@ -215,9 +215,17 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     return texts_of(docs).select(*kept, press(F.col(text)).alias("_z")).select(*kept, "_z.z", "_z.row")
 
 
+def beside(texts: DataFrame, facts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """texts, as packed makes them, joined to facts in a shuffle even where facts are few: packing and what reads the rows are tasks of
+    their own then, and an executor holds one Python worker a core, not two."""
+    return texts.join(facts.hint("merge"), on, how)
+
+
 STRETCHES = "key long, salt int, rep boolean, window boolean, doc long, row long, place long, part binary"
 _KINDS = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 _NAMES = [c.split()[0] for c in STRETCHES.split(", ")]
+#: Bytes of stretches, or of texts, that a task holds before it sends them on.
+HELD = 1 << 21
 
 
 def own_places(raw: bytes, asked: dict[str, np.ndarray], sketch: Sketch, hashed: Callable[[bytes], np.ndarray]) -> np.ndarray:
@@ -227,6 +235,64 @@ def own_places(raw: bytes, asked: dict[str, np.ndarray], sketch: Sketch, hashed:
     return np.array([x in mine for x in zip(*(asked[c].tolist() for c in ("key", "ctx", "place")))], bool)
 
 
+def cut(batches: Iterator[pa.RecordBatch], hashed: Callable[[], Callable[[bytes], np.ndarray]], units: Callable[[bytes], Sequence], part: Callable[[Sequence], bytes], window: int, k: int) -> Iterator[pa.RecordBatch]:
+    """STRETCHES of batches with doc, row, z and asked, as stretches says. What is made is sent on by few megabytes, as stretches overlap
+    and hold several times the bytes of their texts."""
+    z, sketch, unit = zstandard.ZstdDecompressor(), Sketch(window, k), hashed()
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    parts: list[bytes] = []
+    rows: list[tuple] = []
+    held = 0
+
+    def plain_batch() -> pa.RecordBatch:
+        joined = [np.concatenate(c) for c in columns]
+        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(joined, _KINDS)), pa.array(parts, pa.binary())], names=_NAMES)
+
+    for batch in batches:
+        asked = batch.column("asked")
+        ends = np.cumsum(asked.value_lengths().to_numpy())
+        every = {f.name: asked.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in asked.type.value_type}
+        for (doc, row, text), start, end in zip(zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "z"))), [0, *ends.tolist()], ends.tolist()):
+            raw = z.decompress(text)
+            own = units(raw)
+            x = {c: v[start:end] for c, v in every.items()}
+            at, n = x["place"] >> 16, x["place"] >> 8 & 255
+            order = np.argsort(at, kind="stable")
+            if (at[order[1:]] < (at + n)[order[:-1]]).any():
+                mine = own_places(raw, x, sketch, unit)
+                x = {c: v[mine] for c, v in x.items()}
+                at, n = at[mine], n[mine]
+            fits = at + n + window - 1 <= len(own)
+            plain = fits & (x["spread"] == 1) & (~x["many"] | x["copies"])
+            keys = np.where(x["many"], x["key"] ^ x["ctx"], x["key"])
+            m = int(plain.sum())
+            none = np.zeros(m, np.int64)
+            for c, v in zip(columns, (keys[plain], none, x["rep"][plain], none, none + doc, none + row, x["place"][plain])):
+                c.append(v)
+            new = [part(own[i:j]) for i, j in zip(at[plain].tolist(), (at + n + window - 1)[plain].tolist())]
+            parts += new
+            held += sum(map(len, new))
+            if held > HELD:
+                yield plain_batch()
+                columns, parts, held = [[] for _ in range(7)], [], 0
+            for e in np.flatnonzero(fits & ((x["spread"] > 1) | x["many"])).tolist():
+                i, j, rep, spread, place = int(at[e]), int(n[e]), bool(x["rep"][e]), int(x["spread"][e]), int(x["place"][e])
+                if spread > 1 and (not x["many"][e] or x["copies"][e]):
+                    one = part(own[i : i + j + window - 1])
+                    rows += [(int(keys[e]), salt, rep, False, doc, row, place, one) for salt in (range(spread) if rep else (row % spread,))]
+                if x["many"][e] and rep:
+                    for a in range(i, i + j):
+                        one = part(own[a : a + window])
+                        rows.append((_signed(xxhash.xxh3_64_intdigest(one)), 0, True, True, doc, row, (a << 16) | (1 << 8), one))
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+                    rows = []
+    if parts:
+        yield plain_batch()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+
+
 def stretches(docs: DataFrame, found: DataFrame, hashed: Callable[[], Callable[[bytes], np.ndarray]], units: Callable[[bytes], Sequence], part: Callable[[Sequence], bytes], window: int, k: int) -> DataFrame:
     """What the rows found by recurring stand for, read from every row of docs (doc, text): key, salt, doc, row (a hash of the
     text), place and part, the stretch's own bytes; rep and window (a single window, by its own hash) as follows.
@@ -237,54 +303,10 @@ def stretches(docs: DataFrame, found: DataFrame, hashed: Callable[[], Callable[[
     that aren't the row's (own_places): they were asked of another row of that id.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, sketch, unit = zstandard.ZstdDecompressor(), Sketch(window, k), hashed()
-        for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-            parts: list[bytes] = []
-            rows: list[tuple] = []
-            asked = batch.column("asked")
-            ends = np.cumsum(asked.value_lengths().to_numpy())
-            every = {f.name: asked.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in asked.type.value_type}
-            for (doc, row, text), start, end in zip(zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "z"))), [0, *ends.tolist()], ends.tolist()):
-                raw = z.decompress(text)
-                own = units(raw)
-                x = {c: v[start:end] for c, v in every.items()}
-                at, n = x["place"] >> 16, x["place"] >> 8 & 255
-                order = np.argsort(at, kind="stable")
-                if (at[order[1:]] < (at + n)[order[:-1]]).any():
-                    mine = own_places(raw, x, sketch, unit)
-                    x = {c: v[mine] for c, v in x.items()}
-                    at, n = at[mine], n[mine]
-                fits = at + n + window - 1 <= len(own)
-                plain = fits & (x["spread"] == 1) & (~x["many"] | x["copies"])
-                keys = np.where(x["many"], x["key"] ^ x["ctx"], x["key"])
-                m = int(plain.sum())
-                none = np.zeros(m, np.int64)
-                for c, v in zip(columns, (keys[plain], none, x["rep"][plain], none, none + doc, none + row, x["place"][plain])):
-                    c.append(v)
-                parts += [part(own[i:j]) for i, j in zip(at[plain].tolist(), (at + n + window - 1)[plain].tolist())]
-                for e in np.flatnonzero(fits & ((x["spread"] > 1) | x["many"])).tolist():
-                    i, j, rep, spread, place = int(at[e]), int(n[e]), bool(x["rep"][e]), int(x["spread"][e]), int(x["place"][e])
-                    if spread > 1 and (not x["many"][e] or x["copies"][e]):
-                        one = part(own[i : i + j + window - 1])
-                        rows += [(int(keys[e]), salt, rep, False, doc, row, place, one) for salt in (range(spread) if rep else (row % spread,))]
-                    if x["many"][e] and rep:
-                        for a in range(i, i + j):
-                            one = part(own[a : a + window])
-                            rows.append((_signed(xxhash.xxh3_64_intdigest(one)), 0, True, True, doc, row, (a << 16) | (1 << 8), one))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
-                    rows = []
-            if parts:
-                joined = [np.concatenate(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(joined, _KINDS)), pa.array(parts, pa.binary())], names=_NAMES)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
-
     asked = found.groupBy("doc").agg(F.collect_set(F.struct("key", "ctx", "place", "rep", "copies", "many", "spread")).alias("asked"))
     texts = packed(docs.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text"))
-    return texts.join(asked, "doc").select("doc", "row", "z", "asked").mapInArrow(cut, STRETCHES)
+    joined = beside(texts, asked, ["doc"]).select("doc", "row", "z", "asked")
+    return joined.mapInArrow(lambda batches: cut(batches, hashed, units, part, window, k), STRETCHES)
 
 
 def _signed(h: int) -> int:

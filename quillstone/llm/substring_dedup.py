@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillstone.llm.common import WORD_BYTES, others, table
-from quillstone.llm.repeats import Routing, anchors_of, covered, dealt, lots_of, packed, unplaced
+from quillstone.llm.repeats import Routing, anchors_of, beside, covered, dealt, lots_of, packed, unplaced
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def dedup(docs: DataFrame, config: PassageConfig = PassageConfig(), whole_texts:
     kept = [c for c in docs.columns if c not in (*new, "text")]
     marks = passages(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), config)
     texts = packed(docs.select(F.struct(*others(docs, *new, "text")).alias("_row"), F.col("doc_id").cast("long").alias("doc"), "text", F.col("text").isNull().alias("_null")))
-    joined = texts.join(marks, ["doc", "row"], "left").select("_row", "z", "_null", "marks")
+    joined = beside(texts, marks, ["doc", "row"], "left").select("_row", "z", "_null", "marks")
     whole_kinds, counted = (("text", pa.string()), ("clean_text", pa.string())), (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_words", pa.string()))
     made_kinds = [whole_kinds[0], *counted, whole_kinds[1]] if whole_texts else [*counted]
     kinds = StructType([docs.schema[c] for c in kept])

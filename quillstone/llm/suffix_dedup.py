@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from quillstone.llm.common import others, table
-from quillstone.llm.repeats import Powers, Prefixes, Routing, anchors_of, covered, dealt, lots_of, mixed, packed, unplaced
+from quillstone.llm.repeats import HELD, Powers, Prefixes, Routing, anchors_of, beside, covered, dealt, lots_of, mixed, packed, unplaced
 
 
 @dataclass(frozen=True)
@@ -197,16 +197,25 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc")
     own = docs.select(F.struct(*others(docs, *new, "text")).alias("_row"), doc, "text")
     marks = repeated_strings(own.select("doc", "text"), config)
-    joined = packed(own).join(marks, ["doc", "row"], "left").select("_row", "z", "marks")
+    joined = beside(packed(own), marks, ["doc", "row"], "left").select("_row", "z", "marks")
     kinds = StructType([docs.schema[c] for c in kept]).add("n_bytes", "long").add("n_removed", "long").add("spans", ArrayType(StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
     types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
+            rows, held, sent = [], 0, 0
+
+            def made() -> pa.RecordBatch:
+                own = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, types)]
+                return pa.RecordBatch.from_arrays([*batch.column("_row").slice(sent, len(rows)).flatten(), *own], names=[*kept, *new])
+
             for text, marked in zip(*(batch.column(n).to_pylist() for n in ("z", "marks"))):
+                if held > HELD:  # texts may be many times what they are packed
+                    yield made()
+                    rows, held, sent = [], 0, sent + len(rows)
                 raw = z.decompress(text)
+                held += len(raw)
                 if not marked:
                     rows.append((len(raw), 0, [], raw))
                     continue
@@ -218,8 +227,7 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
                 gone = covered(np.concatenate(starts), config.length, units.size)
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
                 rows.append((len(raw), int(gone.sum()), [{"start": x, "end": y} for x, y in edges.tolist()], units[~gone].tobytes()))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, types)]
-            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), *made], names=[*kept, *new])
+            yield made()
 
     return joined.mapInArrow(clean, kinds)
 

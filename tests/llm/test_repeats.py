@@ -146,3 +146,28 @@ def test_lots_tell_stretches_of_one_key_and_context_by_their_bytes(spark):
     parts = spark.createDataFrame([(0, 1, True, d, d, place, bytearray(x)) for d, x in ((1, a), (2, b), (3, a))], "lot int, key long, rep boolean, doc long, row long, place long, part binary").coalesce(1)
     got = {r.doc: r.bits for r in suffix_dedup._located(parts, replace(suffix_dedup.SuffixConfig(), length=40)).collect()}
     assert got == {1: None, 3: None}
+
+
+def test_what_a_task_makes_is_sent_on_by_few_megabytes():
+    """A batch of 3,000 texts that share one passage, each asked for all of its anchors: their stretches hold some 25 MB."""
+    import pyarrow as pa
+    import zstandard
+
+    from quillstone.llm import repeats
+
+    text = prose(8, 600).encode()[:2400]
+    config, z = suffix_dedup.SuffixConfig(), zstandard.ZstdCompressor(level=1)
+    a = Sketch(config.length, config.k).anchors(suffix_dedup._units(text))
+    asked = [{"key": k, "ctx": c, "place": p, "rep": False, "copies": True, "many": False, "spread": 1} for k, c, p in zip(a.key.tolist(), a.ctx.tolist(), repeats.placed(a).tolist())]
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("ctx", pa.int64()), ("place", pa.int64()), ("rep", pa.bool_()), ("copies", pa.bool_()), ("many", pa.bool_()), ("spread", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(range(3000), pa.int64()), pa.array([z.compress(text)] * 3000, pa.binary()), pa.array([asked] * 3000, kind)], names=["doc", "row", "z", "asked"])
+    made = [*repeats.cut(iter([batch]), lambda: suffix_dedup._units, bytes, bytes, config.length, config.k)]
+    assert sum(b.num_rows for b in made) == 3000 * len(asked) and {len(p) for b in made for p in b.column("part").to_pylist()} == set((a.windows + config.length - 1).tolist())
+    assert sum(b.nbytes for b in made) > 20_000_000 and max(b.nbytes for b in made) < 4_000_000
+
+
+@pytest.mark.parametrize("dedup", (suffix_dedup.dedup, substring_dedup.dedup))
+def test_packing_is_a_stage_of_its_own(spark, docs, dedup):  # noqa: F811
+    done = dedup(docs)
+    done.collect()
+    assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
