@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from quillstone.llm.common import table, texts_of
 _NONE = np.int64(1 << 62)
 #: Pieces of at most so many bytes are merged side by side in arrays; longer ones one by one.
 _SHORT = 64
+#: Trees over at most so many positions are made anew by whole levels, which costs less than the paths of three leaves.
+_SMALL = 16
 
 
 class Merger:
@@ -31,16 +34,31 @@ class Merger:
         self.ranks = ranks
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        keys = np.array([(a << 20) | b for a, b in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.made = keys[order], np.array([*self.pairs.values()], np.int64)[order]
+        keys, made = np.array([(a << 20) | b for a, b in self.pairs], np.int64), np.array([*self.pairs.values()], np.int64)
+        # A table with a place for each pair; pairs whose place another took are found in order.
+        self.shift = np.uint64(64 - (4 * keys.size).bit_length())
+        place = self._place(keys)
+        self.held, self.makes = np.full(1 << 64 - int(self.shift), -1), np.full(1 << 64 - int(self.shift), -1, np.int32)
+        self.held[place] = keys
+        has = self.held[place] == keys
+        self.makes[place[has]] = made[has]
+        order = np.argsort(keys[~has])
+        self.keys, self.made = np.append(keys[~has][order], _NONE), np.append(made[~has][order], -1)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 if it isn't to be merged; tokens below 0 are none."""
         key = (left << 20) | right
-        at = np.searchsorted(self.keys, key)
-        at[at == self.keys.size] = 0
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
+        place = self._place(key)
+        there = self.held[place]
+        none = (left < 0) | (right < 0)
+        out = np.where((there == key) & ~none, self.makes[place], np.int64(-1))
+        other = np.flatnonzero((there >= 0) & (there != key) & ~none)
+        at = np.searchsorted(self.keys, key[other])
+        out[other] = np.where(self.keys[at] == key[other], self.made[at], -1)
+        return out
 
     def _long(self, piece: bytes) -> list[int]:
         n = len(piece)
@@ -110,7 +128,12 @@ class Merger:
             tree[rows, size + i] = np.where(right >= 0, right * size + i, _NONE)
             own = prev < size
             tree[rows[own], size + prev[own]] = np.where(left >= 0, left * size + prev, _NONE)[own]
-            for at in (size + j, size + i, size + np.where(own, prev, i)):
+            if size <= _SMALL:
+                level = tree[rows, size:].ravel()
+                while level.size > rows.size:
+                    level = np.minimum(level[::2], level[1::2])
+                tree[rows, 1] = level
+            for at in () if size <= _SMALL else (size + j, size + i, size + np.where(own, prev, i)):
                 node = at >> 1
                 while node[0]:
                     tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
@@ -141,49 +164,67 @@ class Merger:
         return out
 
 
+class Kept:
+    """What was made of strings, kept by halves: of over keep / 2 strings the older half goes, but for those asked for meanwhile."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, asked: set[str]) -> list[str]:
+        """Those of asked that young hasn't, even from the older half, to be added by the caller."""
+        if len(self.young) > self.keep // 2:
+            self.old, self.young = self.young, {}
+        out = asked - self.young.keys()
+        known = out & self.old.keys()
+        self.young.update((x, self.old[x]) for x in known)
+        return [*(out - known)]
+
+    def forget_long(self, new: list[str]) -> None:
+        for x in new:
+            if len(x) > 64:
+                del self.young[x]
+
+
 class Encoder:
     """Encodes texts; each match of the pattern is merged by itself.
 
     A text whose spaces each stand between two characters that aren't white space is cut there first: no match of a pattern
-    that takes a space only before what it leads can cross such a cut, so the ids of a cut-out are kept for its repeats.
+    that takes a space only before what it leads can cross such a cut, so the ids of a cut-out are kept for its repeats, and new
+    ones, each led by its space, are matched as one string.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 120_000) -> None:
-        self.merger, self.find, self.keep = Merger(ranks), regex.compile(pattern).findall, keep
-        self.whole: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.merger, self.find = Merger(ranks), regex.compile(pattern).findall
+        self.words, self.parts = Kept(keep), Kept(keep)
         self.tokens = {r: t for t, r in ranks.items()}
         self.split = pattern_takes_leading_space(pattern)
 
-    def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.parts]
-        for p, ids in zip(new, self.merger.merge([p.encode("utf-8", "replace") for p in new])):
-            self.parts[p] = ids
-
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.whole) > self.keep:
-            self.whole = {}
-        if len(self.parts) > self.keep:
-            self.parts = {}
         cuts = [self._cut(t) for t in texts]
-        new = {c for cut in cuts for c in cut if c not in self.whole}
-        found = {c: self.find(c) for c in new}
-        self._learn({p for parts in found.values() for p in parts})
-        part = self.parts.__getitem__
-        self.whole.update((c, b"".join(map(part, parts))) for c, parts in found.items())
-        out = [b"".join(map(self.whole.__getitem__, cut)) for cut in cuts]
-        for c in [c for c in new if len(c) > 64]:
-            del self.whole[c]
-        for p in [p for p in self.parts if len(p) > 64]:
-            del self.parts[p]
+        new = self.words.missing({*chain.from_iterable(rest for _, rest in cuts)})
+        heads = [self.find(head) for head, _ in cuts]
+        led = self.find(" " + " ".join(new)) if new else []
+        pieces = self.parts.missing({*led, *chain.from_iterable(heads)})
+        self.parts.young.update(zip(pieces, self.merger.merge([p.encode("utf-8", "replace") for p in pieces])))
+        part = self.parts.young.__getitem__
+        starts = [k for k, p in enumerate(led) if p[0] == " "]  # where a cut-out begins, as it has no space besides
+        ids = [*map(part, led)]
+        self.words.young.update((w, ids[a] if b - a == 1 else b"".join(ids[a:b])) for w, a, b in zip(new, starts, [*starts[1:], len(led)]))
+        word = self.words.young.__getitem__
+        out = [b"".join([*map(part, head), *map(word, rest)]) for head, (_, rest) in zip(heads, cuts)]
+        self.words.forget_long(new)
+        self.parts.forget_long(pieces)
         return out
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> tuple[str, list[str]]:
+        """The text up to its first cut, and what follows each cut's space."""
         if not self.split or not text or text[0].isspace() or text[-1].isspace() or _ODD(text):
-            return [text] if text else []
-        first, *rest = text.split(" ")
-        return [first, *(" " + r for r in rest)]
+            return text, []
+        head, *rest = text.split(" ")
+        return head, rest
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
