@@ -98,11 +98,12 @@ def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total:
     """rows joined to facts, which has one row for each key and in n how many rows hold it; total: rows there are.
 
     Keys with over a 4096th of all rows are at most 4096. Those are broadcast, so that their rows stay where they are and no
-    task gets all of one key; the others meet in a shuffle.
+    task gets all of one key; the others meet in a shuffle, by a hint, as Spark would judge rows made by an explode, or files of
+    packed columns, to be small enough for the driver.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
     hot = facts.where(F.col(n) > most)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.where(F.col(n) <= most), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.where(F.col(n) <= most).hint("merge"), on)
     return rest.unionByName(rows.join(F.broadcast(hot), on))
 
 
@@ -123,7 +124,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     for _ in range(max_rounds):
         size, centres = now.agg(F.count("*"), F.countDistinct("u")).first()
-        if size == centres and now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        if size == centres and now.join(now.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = starred(both, 2 * size).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))

@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) ->
     classes = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).withColumn("node", F.monotonically_increasing_id())
     classes = stored(classes, "classes")
     found = components(link(classes.select("node", "fp"), config))
-    grouped = stored(classes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).select("fp", "members", "least", "group"), "grouped")
+    grouped = stored(classes.join(found.hint("merge"), "node", "left").withColumn("group", F.coalesce("component", "node")).select("fp", "members", "least", "group"), "grouped")
     firsts = grouped.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
     named = stored(join_facts(grouped, firsts, ["group"], "classes", grouped.count()).select("fp", "members", "component_id"), "named")
     return join_facts(made, named, ["fp"], "members", made.count()).select("doc_id", "fp", "component_id")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import byte_bpe, chat_format, embedding_dedup, language_id, packing, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
-from quillstone.llm.common import components, forest
+from quillstone.llm.common import components, forest, stored
 
 DOCS = "doc_id long, text string, key string, z string, shard int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -388,6 +388,13 @@ def test_simhash_rows_that_repeat_an_id_do_not_link_by_it(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 9), (5, 5), (5, 5), (7, 5), (9, 9)]
 
 
+def test_simhash_broadcasts_hot_keys_only(spark):
+    """Fingerprints of a small file are many postings, which Spark thinks as small: only the table of hot keys goes to the driver."""
+    classes = stored(spark.range(2000).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp")), "classes")
+    plan = simhash.link(classes)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+
+
 @pytest.mark.parametrize("mean", [0.0, 1.0])
 def test_embeddings_of_clusters_meet_few_others_and_lose_no_link(spark, mean):
     """20,000 vectors in 300 clusters, some of which are near copies, with and without a common mean."""
