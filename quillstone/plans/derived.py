@@ -46,25 +46,35 @@ DERIVED: dict[str, str] = {
 }
 
 
-def _nll_windows(events: DataFrame) -> DataFrame:
-    """The statement of nll_windows, with each mean's values added one after the other by event_id, as an engine that reads them in this
+def _nll_windows(events: DataFrame, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """The statement of nll_windows, with each mean's values added one after the other by order, as an engine that reads them in this
     order adds them: where a mean is a whole number, the order of the additions decides what its floor is."""
-    so_far = F.sum("value").over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    sums = events.select("user_id", "event_type", "event_id", "value", so_far.alias("_sum")).groupBy("user_id", "event_type")
-    found = sums.agg(F.count("*").alias("scored"), (F.max_by("_sum", "event_id") / F.nullif(F.count("value"), F.lit(0))).alias("_mean"))
+    place = F.struct(*order)
+    so_far = F.sum("value").over(Window.partitionBy("user_id", "event_type").orderBy("_place"))
+    sums = events.select("user_id", "event_type", "value", place.alias("_place")).withColumn("_sum", so_far).groupBy("user_id", "event_type")
+    found = sums.agg(F.count("*").alias("scored"), (F.max_by("_sum", "_place") / F.nullif(F.count("value"), F.lit(0))).alias("_mean"))
     return found.select((1000 + F.col("user_id")).alias("doc_id"), F.length("event_type").cast("long").alias("win"), "scored", (F.floor("_mean").cast("double") / 64).alias("mean_nll"))
 
 
+def _nll_windows_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nll_windows with values added as the rows lie in the files, in the order of their names, which is how one thread reads them,
+    whatever ids the events have."""
+    places = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return _nll_windows(read_table(spark, sf_dir, "events", ("user_id", "event_type", "value", *places)), ("_file", "_row"))
+
+
 #: Statements that this engine's own plans stand for.
-PLANS = {"nll_windows": _nll_windows}
+PLANS = {"nll_windows": _nll_windows_as_stored}
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived rows of a small table, and its written ones."""
     query, written = DERIVED[name], table_of(spark, name)
-    used = {*re.findall(r"(?<!\{)\{(\w+)\}", query)}
-    tables = {t: read_table(spark, sf_dir, t) for t in used}
-    rows = PLANS[name](**tables) if name in PLANS else spark.sql(query, **tables)
+    if name in PLANS:
+        rows = PLANS[name](spark, sf_dir)
+    else:
+        used = {*re.findall(r"(?<!\{)\{(\w+)\}", query)}
+        rows = spark.sql(query, **{t: read_table(spark, sf_dir, t) for t in used})
     return rows.select(*(rows[c].cast(written.schema[c].dataType).alias(c) for c in written.columns)).unionByName(written)
 
 
