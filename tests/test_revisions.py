@@ -71,6 +71,27 @@ def test_written_examples():
     assert D.units("") == [] and D.units("。。") == ["。。"]
 
 
+@pytest.mark.parametrize("n", [1499, 1501, 6000])
+def test_characters_are_aligned_whatever_the_length(spark, n):
+    """A character changed at both ends of one sentence and in its middle, which is no less a change in a longer one."""
+    r = random.Random(n)
+    first, second = ("".join(r.choice("abcdefgh ") for _ in range(n // 2)) for _ in range(2))
+    before, after = f"X{first}X{second}X", f"Y{first}Y{second}Y"
+    one = [("deleted", "X", ""), ("inserted", "", "Y")]
+    assert D.inline_parts(before, after) == [*one, ("kept", first, first), *one, ("kept", second, second), *one]
+    pairs = spark.createDataFrame([(before, after)], "before string, after string")
+    got = D.inline_diff(pairs).select(*D.change_share(F.col("parts")).values()).first()
+    assert tuple(got) == (len(first + second), 3, 3, 0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc", max_size=60), st.text("abc", max_size=60), st.text("abc", max_size=20), st.integers(0, 50))
+def test_memory_bound_and_common_ends_do_not_change_the_result(a, b, shared, most):
+    for x, y in ((a, b), (shared + a, shared + b), (a + shared, b + shared), (shared + a + shared, shared + b + shared)):
+        assert D.common(x, y, most) == table_of_lengths(x, y)
+    assert D.inline_parts(a, b, most=most) == D.inline_parts(a, b)
+
+
 def test_diff_of_null_empty_and_repeated_rows(spark):
     rows = [(1, None, None), (2, "", "新的。"), (3, "旧的。", None), (4, "一样。", "一样。"), (4, "一样。", "一样。")]
     pairs = spark.createDataFrame([(*r, "p") for r in rows], "id long, before string, after string, parts string")
