@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,8 @@ from quillstone.functions import text as T
 # What the densities count, and the thresholds of the rules.
 DELIMITERS = "。！？!?…"
 PURE = "[一-龥A-Za-z0-9]"
+#: A Chinese character: each word of the lists below, and each match of PAST, SCENE and OFFICIAL, begins with one.
+HAN = "[一-龥]"
 QUOTED = ("「[^」]{2,60}」", '"[^"]{2,60}"')
 SPEAKER = "^[一-龥A-Za-z0-9_\\- \t\r\n\f\u000b 　（）()【】\\[\\]]{1,24}?[：:]"
 SCHEME = r"(?i)\b(?:https?|ftp|mailto|file)://"
@@ -70,7 +73,19 @@ class GenreConfig:
 
 
 def pure(text: Column) -> Column:
-    return T.count(text, PURE)
+    """How many characters of PURE the text holds, by runs of them: a text has far fewer runs than characters."""
+    return F.length(F.array_join(F.regexp_extract_all(text, F.lit(PURE + "+"), F.lit(0)), ""))
+
+
+def over_five_pure(text: Column) -> Column:
+    """Whether a text holds more than five characters of PURE; it is read up to the sixth only."""
+    others = T.all_but("".join(c for c in map(chr, range(ord("龥") + 1)) if re.match(PURE, c)))
+    return text.rlike(f"(?:{PURE}[{others}]*+){{6}}")
+
+
+def count_where(text: Column, pattern: str, marks: tuple[str, ...]) -> Column:
+    """Count of a pattern whose every match holds one of marks: texts without them aren't read by it."""
+    return F.when(T.some(text, marks), T.count(text, pattern)).otherwise(0)
 
 
 def literal_count(text: Column, words: tuple[str, ...]) -> Column:
@@ -83,42 +98,45 @@ def begun(pattern: str, firsts: str) -> str:
     return f"(?=[{firsts}])(?:{pattern})"
 
 
-def exposition(text: Column) -> Column:
-    """0 to 1: how much a text reads as an exposition, by its markers for a thousand characters, less for dialogue and stories."""
-    strong, weak = literal_count(text, STRONG), literal_count(text, WEAK)
+def exposition(text: Column, han: Column) -> Column:
+    """0 to 1: how much a text reads as an exposition, by its markers for a thousand characters, less for dialogue and stories. han:
+    whether the text holds a character of HAN; one without holds no word of the lists. Counts that are held against two limits are
+    made once."""
+    strong, weak, story = (F.when(han, literal_count(text, words)).otherwise(0) for words in (STRONG, WEAK, OWN_STORY))
     per = F.greatest(F.lit(0.4), T.visible_length(text) / 1000)
-    dialogue, said, story = T.count(text, DIALOGUE), T.count(text, SAID), literal_count(text, OWN_STORY)
+    dialogue, said = count_where(text, DIALOGUE, ("【", "（", "：")), count_where(text, SAID, ("“", '"', "「"))
     score = F.least(F.lit(0.55), (strong * 0.18 + weak * 0.06) / per)
-    score = score - F.when(dialogue >= 2, 0.45).when(dialogue == 1, 0.2).otherwise(0.0) - F.when(said >= 3, 0.2).otherwise(0.0)
-    score = score - F.when(story >= 3, 0.35).when(story >= 1, 0.1).otherwise(0.0)
+    score = score - T.let(dialogue, lambda n: F.when(n >= 2, 0.45).when(n == 1, 0.2).otherwise(0.0)) - F.when(said >= 3, 0.2).otherwise(0.0)
+    score = score - T.let(story, lambda n: F.when(n >= 3, 0.35).when(n >= 1, 0.1).otherwise(0.0))
     return F.when(F.length(T.trimmed(text)) < 40, 0.0).otherwise(T.clamp(score))
 
 
 def speaks(sentence: Column) -> Column:
-    """Whether a sentence begins with a speaker and a colon."""
+    """Whether a sentence begins with a speaker and a colon; one without a colon isn't looked into."""
     start = F.ltrim(F.regexp_replace(sentence, f"^{T.SPACE_CLASS}+", ""))
     head = T.trimmed(F.regexp_replace(F.regexp_extract(start, SPEAKER, 0), "[：:]$", ""))
-    return start.rlike(SPEAKER) & ~start.rlike(SCHEME) & ~head.rlike(f"(?:{'|'.join(LABELS)})$")
+    return T.some(sentence, (":", "：")) & start.rlike(SPEAKER) & ~start.rlike(SCHEME) & ~head.rlike(f"(?:{'|'.join(LABELS)})$")
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs (text and others) with _text, _pure, _sents and the densities q (quotes), c (colons), h (short sentences), b (scene blocks),
+    """docs (text and others) with _text, _pure, _sents, _han and the densities q (quotes), c (colons), h (short sentences), b (scene blocks),
     e (exposition), p (past), s (scenes) and o (official phrases); null counts as empty."""
     df = T.once(docs, _text=F.coalesce("text", F.lit("")))
-    df = T.once(df, _pure=pure(F.col("_text")), _sents=T.sentences_apart_from_urls("_text", DELIMITERS))
+    df = T.once(df, _pure=pure(F.col("_text")), _sents=T.sentences_apart_from_urls("_text", DELIMITERS), _han=F.col("_text").rlike(HAN))
     t, n, sents = F.col("_text"), F.greatest(F.lit(1), F.col("_pure")), F.greatest(F.lit(1), F.size("_sents"))
     share = lambda f: F.size(F.filter("_sents", f)) / sents
     past = f"(?:{'|'.join(PAST)})(?!{PAST_NOT_BEFORE})"
+    in_han = lambda pattern: F.when(F.col("_han"), T.count(t, pattern)).otherwise(0)
     return T.once(
         df,
-        q=sum(T.count(t, p) for p in QUOTED) / n,
+        q=sum(count_where(t, p, (p[0],)) for p in QUOTED) / n,
         c=share(speaks),
-        h=share(lambda s: pure(s).between(1, 5)),
-        b=T.count(t, SCENE_BLOCK) / n,
-        e=exposition(t),
-        p=T.count(t, begun(past, "".join({w[0]: None for w in PAST}))) / n,
-        s=T.count(t, SCENE) / n,
-        o=T.count(t, begun(OFFICIAL, "".join({w[0]: None for w in OFFICIAL.split("|")}))) / n,
+        h=share(lambda s: ~over_five_pure(s) & pure(s).between(1, 5)),
+        b=count_where(t, SCENE_BLOCK, ("【",)) / n,
+        e=exposition(t, F.col("_han")),
+        p=in_han(begun(past, "".join({w[0]: None for w in PAST}))) / n,
+        s=in_han(SCENE) / n,
+        o=in_han(begun(OFFICIAL, "".join({w[0]: None for w in OFFICIAL.split("|")}))) / n,
     )
 
 

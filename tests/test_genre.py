@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 import pytest
@@ -127,3 +128,25 @@ def test_addresses_are_not_looked_for_at_each_character(spark):
         return min(took)
 
     assert seconds(T.sentences_apart_from_urls("text", ENDS[0])) < seconds(by_characters(ENDS[0])) / 2
+
+
+def test_what_is_held_against_two_limits_is_counted_once(spark):
+    plan = G.features(spark.createDataFrame([(1, "a")], "id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(G.DIALOGUE) == 1 and plan.count(f"{G.OWN_STORY[0]}") == plan.count(f"{G.STRONG[0]}") > 0
+
+
+def test_texts_without_chinese_are_not_read_by_its_lists(spark):
+    for word in (*G.PAST, *G.OFFICIAL.split("|"), *G.STRONG, *G.WEAK, *G.OWN_STORY, *"在到从来去回"):
+        assert re.match(G.HAN, word)
+    plan = G.features(spark.createDataFrame([(1, "a")], "id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    guarded = re.findall(r"CASE WHEN _han#\d+ THEN cast\(size\(regexp_extract_all\(_text#\d+, (.*)", plan.replace("CASE", "\nCASE"))
+    for pattern in (G.SCENE, G.OFFICIAL, "|".join(G.PAST)):
+        assert plan.count(pattern) == sum(pattern in g[:len(pattern) + 40] for g in guarded) == 1
+
+
+def test_pure_characters_as_character_by_character(spark):
+    r = random.Random(4)
+    texts = [None, "", *("".join(r.choices("aZ09一龥龦丿é😀 \n。_:", k=r.randint(0, 20))) for _ in range(500)), "é" * 5000 + "a" * 5 + "\n" * 5000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(G.pure(F.col("t")), G.over_five_pure(F.col("t"))).collect()
+    counts = [None if t is None else len(re.findall(G.PURE, t)) for t in texts]
+    assert [tuple(g) for g in got] == [(n, None if n is None else n > 5) for n in counts]
