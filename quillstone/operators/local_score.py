@@ -157,17 +157,28 @@ def polluted_patterns(m: Marks) -> dict[str, str]:
     }
 
 
+def _behind(words: Iterable[str], marks: str) -> str:
+    """Pattern of one of marks right behind one of words, looked for from the marks on, as a text has few of them. A word that has its
+    own look behind is compared at one place."""
+    return f"[{marks}](?:" + "|".join(f"(?<={re.escape(w)}[{marks}])" for w in words) + ")"
+
+
+def _spaced(words: Iterable[str]) -> str:
+    """Pattern of any of words, each of which holds a space, looked for from its first space on."""
+    parts = ((w, w.partition(" ")[2]) for w in words)
+    return " (?:" + "|".join(f"{re.escape(rest)}(?<={re.escape(w)})" for w, rest in parts) + ")"
+
+
 def _held(text: Column, words: tuple[str, ...]) -> Column:
-    """How many of words the text holds."""
-    total = F.lit(0)
-    for w in words:
-        total = total + F.contains(text, F.lit(w)).cast("int")
-    return total
+    """How many of words the text holds. Words with spaces are only looked for one by one in texts that hold any."""
+    count = lambda some: reduce(Column.__add__, (F.contains(text, F.lit(w)).cast("int") for w in some), F.lit(0))
+    spaced = [w for w in words if " " in w]
+    total = count(w for w in words if " " not in w)
+    return total + F.when(~text.rlike(_spaced(spaced)), 0).otherwise(count(spaced)) if spaced else total
 
 
 def _some(text: Column, words: Iterable[str]) -> Column:
-    """Whether the text holds any of words."""
-    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+    return T.some(text, words)
 
 
 def _count_where(text: Column, pattern: str, words: Iterable[str]) -> Column:
@@ -192,9 +203,9 @@ def polluted_ratio(text: Column, m: Marks) -> Column:
     patterns = polluted_patterns(m)
     pads = (*m.pads, *m.more_pads)
     groups = (
-        ([k for k, p in patterns.items() if any_literal(pads) in p], [w + c for w in pads for c in m.commas]),
-        (["particle"], [w + c for w in m.particles.split("|") for c in m.commas + m.stops]),
-        (["bare fragment"], m.fragments),
+        ([k for k, p in patterns.items() if any_literal(pads) in p], text.rlike(_behind(pads, m.commas))),
+        (["particle"], text.rlike(_behind(m.particles.split("|"), m.commas + m.stops))),
+        (["bare fragment"], _some(text, m.fragments)),
     )
 
     def bad(s: Column, held: Column) -> Column:
@@ -203,7 +214,7 @@ def polluted_ratio(text: Column, m: Marks) -> Column:
         return reduce(Column.__or__, hits)
 
     share = lambda held: T.let(parts, lambda p: F.when(F.size(p) > 0, F.size(F.filter(p, lambda s: bad(s, held))) / F.size(p)).otherwise(0.0))
-    return T.let(F.array(*(_some(text, words) for _, words in groups)), lambda held: F.when(F.array_contains(held, F.lit(True)), share(held)).otherwise(0.0))
+    return T.let(F.array(*(some for _, some in groups)), lambda held: F.when(F.array_contains(held, F.lit(True)), share(held)).otherwise(0.0))
 
 
 def local_score(docs: DataFrame, m: Marks) -> DataFrame:
@@ -218,6 +229,8 @@ def local_score(docs: DataFrame, m: Marks) -> DataFrame:
     structure = at_most(TAIL, tail_particle(m), m.tail.split("|")) + at_most(ORPHAN, orphan(m), m.orphans)
     for w in m.pad_sentences:
         structure = structure + at_most(PAD_SENTENCE, pad_sentence(m, w), [w])
+    ending = (*m.tail.split("|"), *m.orphans, *m.pad_sentences)  # each trace of structure ends with one of them and a stop
+    structure = F.when(t.rlike(_behind(ending, m.stops)), structure).otherwise(0)
     df = T.once(df, hits=_held(t, m.phrases), broken=_held(t, m.broken), typos=T.count_of(t, m.typos), polluted=polluted_ratio(t, m), _structure=structure)
     points = F.lit(0)
     for least, worth in reversed(POLLUTED):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions.lexicon import LATIN
@@ -67,6 +69,35 @@ def test_a_pattern_reads_only_texts_with_one_of_its_words(spark):
     assert [r[0] for r in frame.select(L._count_where(frame.t, "a", ["b"])).collect()] == [0, 3]
 
 
+def test_words_before_a_mark_are_looked_for_from_the_marks(spark):
+    frame = spark.createDataFrame([(1, "a b.")], "doc_id int, text string")
+    plan = L.local_score(frame, L.LATIN_MARKS)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN RLIKE\(t#\d+, \[\.!\?\]\(\?:\(\?<= oh", plan.replace("\\ ", " "))
+    assert not re.search(r"Contains\(t#\d+, honestly,\)", plan)
+
+
+@pytest.mark.parametrize("m", [L.LATIN_MARKS, L.CHINESE_MARKS])
+def test_guards_and_held_words_as_plain_python(spark, m):
+    r = random.Random(6)
+    words = [*m.phrases[:20], *m.broken, *m.pads, *m.orphans, *m.stops, *m.commas, " ", "the ", "the", " de", "de ", "in", "x", "\n", "é", "文"]
+    texts = ["", "the the the ", " de de de ", "in in conclusion", *("".join(r.choices(words, k=r.randint(0, 9))) for _ in range(600))]
+    t = F.col("t")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(L._held(t, m.phrases), L._held(t, m.broken), t.rlike(L._behind(m.pads, m.commas)), t.rlike(L._behind(m.orphans, m.stops))).collect()
+    held = lambda text, some: sum(w in text for w in some)
+    behind = lambda text, some, marks: any(w + c in text for w in some for c in marks)
+    assert [tuple(g) for g in got] == [(held(x, m.phrases), held(x, m.broken), behind(x, m.pads, m.commas), behind(x, m.orphans, m.stops)) for x in texts]
+    nothing = spark.createDataFrame([(None,)], "t string").select(L._held(t, m.phrases)).first()
+    assert nothing[0] is None
+
+
+@pytest.mark.parametrize("ends", [".!?;\n", "。！？!?；;\n", ".!?"])
+def test_runs_of_sentences_as_plain_python(spark, ends):
+    r = random.Random(7)
+    texts = ["", "\n", "abc\n", "a\r", "".join(ends), *("".join(r.choices([*ends, "ab", " ", "\n", "\r", "\u3000", "é", "文"], k=r.randint(0, 12))) for _ in range(500))]
+    got = [g.s for g in spark.createDataFrame([(t,) for t in texts], "t string").select(T.sentences_runs("t", ends).alias("s")).collect()]
+    assert got == [[s for s in (p.strip(T.SPACES) for p in re.findall(f"[^{ends}]*[{ends}]+|[^{ends}]+", t)) if s] for t in texts]
+
+
 def test_traces_that_do_not_veto_are_not_looked_for(spark):
     frame = spark.createDataFrame([(1, "abcdefgh. " * 12)], "doc_id int, text string")
     kinds = lambda **by: {r.kind for r in L.fingerprint_issues(frame, L.LATIN_MARKS, **by).collect()}
