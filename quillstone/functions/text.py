@@ -188,23 +188,23 @@ def windows(text: Column | str, size: int = 384, stride: int = 320) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * stride + 1, F.lit(size))))
 
 
-def running_sum(values: Column, block: int = 64) -> Column:
-    """Sums of an array of integers up to each place, blocks first, so that no long array is copied for each place."""
+def running_sum(values: Column, block: int = 16, levels: int = 4) -> Column:
+    """Sums of an array of integers up to each place, blocks first, so that no long array is copied for each place. The sums of blocks
+    are summed in blocks themselves, levels times, so that the work grows as the array does: only one sum in block ** levels is added
+    up anew for each place. The sums of one block are there without a further level."""
+    add = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    each = lambda x, base: F.transform(x, lambda _, j: base + add(F.slice(x, F.lit(1), j + 1)))
+
+    def within(b: Column) -> Column:
+        after = lambda t: let(running_sum(t, block, levels - 1), lambda s: F.flatten(F.transform(b, lambda x, i: each(x, F.get(s, i) - F.get(t, i)))))
+        return let(F.transform(b, add), after)
 
     def sums(v: Column) -> Column:
         n = F.ceil(F.size(v) / block).cast("int")
-        blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(v, b * block + 1, F.lit(block))))
-        add = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
-
-        def within(b: Column) -> Column:
-            totals = F.transform(b, add)
-            before = let(totals, lambda t: F.transform(t, lambda _, i: add(F.slice(t, F.lit(1), i))))
-            each = lambda x, base: F.transform(x, lambda _, j: base + add(F.slice(x, F.lit(1), j + 1)))
-            return let(before, lambda s: F.flatten(F.transform(b, lambda x, i: each(x, F.get(s, i)))))
-
-        return F.coalesce(let(blocks, within), F.array().cast("array<int>"))
+        blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+        return F.when(F.size(v) > block, let(blocks, within)).otherwise(each(v, F.lit(0)))
 
-    return let(values, sums)
+    return F.coalesce(let(values, sums if levels else lambda v: each(v, F.lit(0))), F.array().cast("array<int>"))
 
 
 def mean(values: Column) -> Column:

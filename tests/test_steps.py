@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -123,3 +124,24 @@ def test_roles_terms_clauses_and_experience(spark):
     assert [r.token for r in A.term_loss(frame).collect() if r.doc_id == 2] == ["GAMMA"]
     assert [(r.clause, r.source) for r in A.collapsed_clauses(frame).collect() if r.doc_id == 3] == [("the long", "the long clause here")]
     assert [r.phrase for r in A.new_signals(frame).collect()] == ["有一次我", "那天我"]
+
+
+def test_sums_of_long_arrays_are_summed_by_blocks_of_blocks(spark):
+    r = random.Random(8)
+    arrays = [None, [], [5], *([r.randrange(9) for _ in range(n)] for n in (15, 16, 17, 255, 256, 257, 4097, 70_000))]
+    v = spark.createDataFrame([(a,) for a in arrays], "v array<int>")
+    wanted = [[*itertools.accumulate(a or [])] for a in arrays]
+    assert [g[0] for g in v.select(T.running_sum(F.col("v"))).collect()] == wanted
+    assert [g[0] for g in v.where("size(v) < 300").select(T.running_sum(F.col("v"), block=2, levels=2)).collect()] == [w for a, w in zip(arrays, wanted) if a is not None and len(a) < 300]
+
+
+def test_rows_that_come_twice_are_one_document_in_spans(spark):
+    mixed = "The statement of the nation in the station is the element of the treatment. He ate 3 eggs? No. The movement of the moment in the nation and the station is it."
+    once = [(1, mixed), (2, "He ate. So?"), (3, ""), (4, None), (None, mixed)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id int, text string")
+    found = lambda rows: sorted(map(str, S.top_spans(frame(rows), LATIN).collect()))
+    scored = S.scored_spans(frame(once[:1]), LATIN).orderBy("sent_idx").collect()
+    runs = [[*g] for k, g in itertools.groupby(scored, lambda x: x.label) if k != "human"]
+    got = S.merged_spans(frame(once[:1]), LATIN).orderBy("start").collect()
+    assert len(runs) > 1 and [(g.first_idx, g.last_idx, g.start, g.end, g.label) for g in got] == [(x[0].sent_idx, x[-1].sent_idx, x[0].start, x[-1].end, x[0].label) for x in runs]
+    assert found(once) == found(once * 2) and len(found(once)) == 2 * len(runs)
